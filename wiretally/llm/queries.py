@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import bpe, token_counts
+from wiretally.llm import bpe, licenses, mixing, secrets, sharding, syncmers, token_counts
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -24,6 +24,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_documents(documents(spark, sf_dir), n_shards=16)
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_documents(documents(spark, sf_dir), tokenizer_path())
     return out.select(
@@ -31,13 +42,33 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path())
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan_documents(documents(spark, sf_dir))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ring_shards": op1_ring_shards,
+    "op2_syncmer_fingerprints": op2_syncmer_fingerprints,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op6_license_scan": op6_license_scan,
     "op7_token_counts": op7_token_counts,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_source_mix": op10_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
