@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import bpe, licenses, mixing, secrets, sharding, syncmers, token_counts
+from wiretally.llm import bpe, licenses, mixing, secrets, sharding, syncmers, token_counts, topk
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -35,6 +35,11 @@ def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op3_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, scale=64, every=20)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_documents(documents(spark, sf_dir), tokenizer_path())
     return out.select(
@@ -64,6 +69,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ring_shards": op1_ring_shards,
     "op2_syncmer_fingerprints": op2_syncmer_fingerprints,
+    "op3_impact_top_k": op3_impact_top_k,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_license_scan": op6_license_scan,
     "op7_token_counts": op7_token_counts,
@@ -71,4 +77,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": op10_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_impact_top_k": """
+        WITH parts AS (
+            SELECT vec_id, len(embedding) AS n, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d
+            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        ), good AS (
+            SELECT vec_id FROM parts GROUP BY vec_id, n HAVING count(*) FILTER (WHERE isfinite(x)) = n
+        ), v AS (
+            SELECT p.vec_id, p.d, CAST(floor(64 * p.x) AS BIGINT) AS x FROM parts p JOIN good g USING (vec_id)
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.d = c.d AND q.vec_id <> c.vec_id
+            WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, c.vec_id
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+}
