@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import bpe, licenses, mixing, secrets, sharding, syncmers, token_counts, topk
+from wiretally.llm import bpe, licenses, mixing, quality, secrets, sharding, syncmers, token_counts, topk
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -47,6 +47,18 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = quality.score_documents(docs, model)
+    return out.select(
+        "doc_id",
+        (quality.remainder() == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan_licenses(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -71,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_syncmer_fingerprints": op2_syncmer_fingerprints,
     "op3_impact_top_k": op3_impact_top_k,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_quality_scores": op5_quality_scores,
     "op6_license_scan": op6_license_scan,
     "op7_token_counts": op7_token_counts,
     "op9_secret_scan": op9_secret_scan,
