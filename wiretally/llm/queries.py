@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm import bpe, licenses, mixing, quality, secrets, sharding, syncmers, token_counts, topk
+from wiretally.llm import bpe, licenses, mixing, neardup, quality, secrets, sharding, syncmers, token_counts, topk
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -68,6 +68,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_bottom_k_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_documents(documents(spark, sf_dir))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -86,11 +90,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_scores": op5_quality_scores,
     "op6_license_scan": op6_license_scan,
     "op7_token_counts": op7_token_counts,
+    "op8_bottom_k_near_dups": op8_bottom_k_near_dups,
     "op9_secret_scan": op9_secret_scan,
     "op10_source_mix": op10_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_bottom_k_near_dups": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []
+                WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g
+            FROM w
+        ), n AS (
+            SELECT w.doc_id, count(s.g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id
+        ), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id
+        ), link AS (
+            SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+        ), edge AS (
+            SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+        ), reach AS (
+            SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.r
+        )
+        SELECT n.doc_id, n.n AS n_shingles, min(reach.r) AS component_id, min(reach.r) = n.doc_id AS kept
+        FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id, n.n
+    """,
     "op3_impact_top_k": """
         WITH parts AS (
             SELECT vec_id, len(embedding) AS n, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d
