@@ -108,5 +108,40 @@ def mix_sources(
     crossed = F.floor(F.col("offset") + (start + 1) * F.col("expected")) - F.floor(F.col("offset") + start * F.col("expected"))
     out = rows.join(F.broadcast(params), (F.col("_pid") == F.col("pid")) & F.col("source").eqNullSafe(F.col("src")))
     return out.withColumn("copies", crossed.cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id",
+        "source",
+        F.col("_crc").alias("text_crc32"),
+        "size",
+        "source_size",
+        "target",
+        "copies",
+        (F.col("copies") * F.col("size")).alias("taken"),
     )
+
+
+def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **recipe) -> DataFrame:
+    """The mix itself: the rows of docs with all their columns, each as often as mix_sources says.
+
+    Rows are told apart by id, source and checksum of the text; of rows equal in these any may be emitted.
+    """
+    plan = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **recipe)
+    key = ["_id", "_source", "_crc"]
+    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_crc32").alias("_crc"))
+    plan = cut(plan.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0"))
+    plan = plan.select(*(F.col(k).alias(f"_p{k}") for k in key), "_copies", "_rows")
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("_source"), crc.alias("_crc"),
+        F.struct("*").alias("_row"),
+    )
+
+    def times(found: DataFrame, n) -> DataFrame:
+        return found.withColumn("_n", n).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select("_row")
+
+    same = [F.col(k).eqNullSafe(F.col(f"_p{k}")) for k in key]
+    out = times(rows.join(plan, same), F.floor(F.col("_copies") / F.col("_rows")))
+    uneven = plan.where("_copies % _rows > 0")  # of repeated rows some are emitted once more
+    if uneven.limit(1).count():
+        one = rows.join(uneven, same).dropDuplicates(key)
+        out = out.unionAll(times(one, F.col("_copies") % F.col("_rows")))
+    return out.select("_row.*")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,3 +120,27 @@ def redact(text: str, spans: str) -> str:
             out += [text[at:a], f"[{kind}]"]
         at = max(at, b)
     return "".join(out) + text[at:]
+
+
+def redact_documents(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with every finding in text_col replaced by its kind in brackets; all rows and columns stay.
+
+    length_col, if there is one, follows the new length in code points of rows that changed. A null text stays null.
+    """
+    entries = scan_blobs(docs, ledger, text_col)
+    if ledger is not None:
+        entries = entries.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).dropDuplicates(["blob"]))
+    entries = entries.where("spans <> ''").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    rows = docs.select(blob_address(text_col).alias("_blob"), F.struct("*").alias("_row"))
+
+    @F.pandas_udf("string")
+    def blank(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None or t is None else redact(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    out = rows.join(entries, "_blob", "left").withColumn("_new", blank(F.col("_row")[text_col], F.col("_spans")))
+    row = F.col("_row").withField(text_col, F.col("_new"))
+    if length_col in docs.columns:
+        old = F.col("_row")[length_col]
+        kind = docs.schema[length_col].dataType
+        row = row.withField(length_col, F.when(F.col("_spans").isNotNull(), F.length("_new").cast(kind)).otherwise(old))
+    return out.select(row.alias("_row")).select("_row.*")
