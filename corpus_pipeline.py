@@ -1,18 +1,56 @@
-"""A corpus pipeline of the operators in wiretally.llm."""
+"""A corpus pipeline of the operators in wiretally.llm: quality, near duplicates, secrets, mixing, BPE.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
+return the columns of documents; docs are read from Parquet between stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wiretally.llm import bpe
+from wiretally.llm import bpe, mixing, neardup, quality, secrets
 from wiretally.llm.queries import tokenizer_path
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, tokenizer_path())
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (score below the threshold) go."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score_documents(docs, model, keep=COLUMNS).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of smallest id stays; documents without an id stay."""
+    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*COLUMNS)
 
 
-STAGES = [("bpe", encode)]
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every finding is replaced by its kind in brackets; n_chars follows. All documents stay."""
+    return secrets.redact_documents(docs).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document is emitted as often as its source's target asks: not at all, once or twice."""
+    return mixing.emit(docs).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (binary, little-endian 32-bit) of every emitted document, and a check that they decode."""
+    out = bpe.encode_documents(docs, tokenizer_path())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix),
+    ("bpe", encode),
+]
+#: Trained tables, sketches and BPE merges can't be told in SQL: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
