@@ -1,11 +1,11 @@
 """Exact top-k inner products with an impact-ordered index, score at a time.
 
-Vectors are integers. A block of vectors is indexed by postings: for each dimension and value, the
-vectors that have it. A query turns each posting segment into an impact (its component times the value, shifted to
-be no less than 0 in each dimension), processes segments by descending quantised impact and adds them up. After each
-wave every vector has a lower bound (its sum so far) and an upper bound (plus, for each dimension not yet seen, the
-most that is still to come there). A vector is ruled out only when its upper bound is below the k-th lower bound; all
-others are rescored exactly.
+Vectors are integers. The postings of a block of vectors are cut into segments by quantised impact, the bit length of a
+component's magnitude; query components are quantised the same way. Pairs of segments are processed by descending
+impact of their product, for all queries of a block at once, and add to running scores. After a wave, what the
+remaining segments can still bring is bounded by the norms of their parts (Cauchy-Schwarz), so each vector has a lower
+and an upper bound. A vector is ruled out only when its upper bound is below the k-th lower bound; a query stops when few
+vectors are left, and these are rescored exactly.
 """
 
 from __future__ import annotations
@@ -19,74 +19,77 @@ from wiretally.llm.common import blocks_for, cut
 
 #: Vectors of an index block and queries of a query block: the memory of a task, not a limit on the search.
 INDEX_BLOCK, QUERY_BLOCK = 4096, 512
-#: Quantised impact levels of a query.
-LEVELS = 8
+#: Impact levels of a component; the last one holds all smaller magnitudes.
+LEVELS = 4
+
+
+def segments(matrix: np.ndarray) -> list[np.ndarray]:
+    """The matrix as a sum of LEVELS matrices, by descending bit length of the components' magnitudes."""
+    size = np.abs(matrix)
+    top = int(size.max(initial=0)).bit_length()
+    out = []
+    for i in range(LEVELS):
+        held = size < 1 << max(top - i, 0)
+        if i < LEVELS - 1:
+            held &= size >= 1 << max(top - i - 1, 0)
+        out.append(np.where(held if i else held | (size >= 1 << top), matrix, 0))
+    return out
+
+
+def norms(parts: list[np.ndarray]) -> np.ndarray:
+    """Euclidean norms of the rows of each part: shape (LEVELS, rows)."""
+    return np.stack([np.sqrt((p.astype(np.float64) ** 2).sum(1)) for p in parts])
 
 
 class ImpactIndex:
-    """Postings of a block of integer vectors (one row each)."""
+    """Segments of a block of integer vectors (one row each)."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = np.ascontiguousarray(vectors, np.int64)
         self.n, self.dims = self.vectors.shape
-        dims, values, starts, ids = [], [], [], []
-        at = 0
-        for d in range(self.dims):
-            column = self.vectors[:, d]
-            order = np.argsort(column, kind="stable")
-            value, first = np.unique(column[order], return_index=True)
-            dims.append(np.full(len(value), d))
-            values.append(value)
-            starts.append(first + at)
-            ids.append(order)
-            at += self.n
-        join = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-        self.dim, self.value, self.start, self.ids = (
-            join(dims, np.int64), join(values, np.int64), join(starts, np.int64), join(ids, np.int32)
-        )
-        self.length = np.diff(np.append(self.start, at))
-        #: first segment of each dimension
-        self.first = np.searchsorted(self.dim, np.arange(self.dims))
-
-    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) that hold all vectors of the k highest scores, and all ties of the last."""
-        query = query.astype(np.int64)
+        self.parts = segments(self.vectors)
+        self.norms = norms(self.parts)
+        self.most = int(np.abs(self.vectors).max(initial=0))
+        self.cast: dict = {}
+
+    def as_type(self, kind: type) -> list[np.ndarray]:
+        if kind not in self.cast:
+            self.cast[kind] = [np.ascontiguousarray(p.T, kind) for p in self.parts]
+        return self.cast[kind]
+
+    def search(self, queries: np.ndarray, k: int):
+        """(query number, places, scores) for every query; the places hold all vectors of the k highest scores, ties included."""
+        queries = queries.astype(np.int64)
         if self.n <= k or not self.dims:
-            return np.arange(self.n), self.vectors @ query
-        impact = query[self.dim] * self.value
-        impact -= np.minimum.reduceat(impact, self.first)[self.dim]
-        top = int(impact.max())
-        if top == 0:
-            return np.arange(self.n), self.vectors @ query
-        level = impact * LEVELS // (top + 1)
-        order = np.argsort(-level, kind="stable")
-        cuts = np.searchsorted(-level[order], -np.arange(LEVELS - 1, -1, -1), "right")
-        sums = np.zeros(self.n)
-        seen = np.zeros(self.n)
-        best = np.maximum.reduceat(impact, self.first)  # the most that a dimension can still bring
-        total, begin = float(best.sum()), 0
-        brought = np.zeros(self.n)  # for the dimensions seen, the most that they could have brought
-        possible = None
-        for wave, end in enumerate(cuts):
-            part = order[begin:end]
-            begin = end
-            if len(part):
-                length = self.length[part]
-                where = np.repeat(self.start[part] - np.concatenate(([0], np.cumsum(length)[:-1])), length)
-                members = self.ids[where + np.arange(len(where))]
-                sums += np.bincount(members, np.repeat(impact[part], length).astype(float), self.n)
-                seen += np.bincount(members, minlength=self.n)
-                brought += np.bincount(members, np.repeat(best[self.dim[part]], length).astype(float), self.n)
-            if wave < LEVELS // 2 - 1:
+            for i, q in enumerate(queries):
+                yield i, np.arange(self.n), self.vectors @ q
+            return
+        largest = self.most * int(np.abs(queries).max(initial=0)) * self.dims
+        # Sums of integers are exact in floating point below the length of its mantissa.
+        kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64
+        index, parts = self.as_type(kind), [p.astype(kind) for p in segments(queries)]
+        asked = norms(parts)
+        pending, sums = np.arange(len(queries)), np.zeros((len(queries), self.n), kind)
+        for wave in range(2 * LEVELS - 1):
+            for j in range(max(0, wave - LEVELS + 1), min(wave, LEVELS - 1) + 1):
+                if asked[j][pending].any():
+                    sums += parts[j][pending] @ index[wave - j]
+            if wave < LEVELS - 1:
                 continue
-            # Unseen dimensions bring at most what the next level holds, and no more than their own best.
-            ceiling = (LEVELS - 1 - wave) * (top + 1) / LEVELS
-            upper = sums + np.minimum((self.dims - seen) * ceiling, total - brought)
-            least = np.partition(sums, self.n - k)[self.n - k]
-            possible = np.flatnonzero(upper >= least)
-            if len(possible) <= max(8 * k, self.n // 16):
-                break
-        return possible, self.vectors[possible] @ query
+            rest = sum(
+                (np.outer(asked[j][pending], self.norms[max(0, wave - j + 1) :].sum(0)) for j in range(LEVELS) if wave - j + 1 < LEVELS),
+                np.zeros((1, 1)),
+            )
+            rest = np.ceil(rest * 1.000001) + (rest > 0)  # safe against rounding of the norms
+            least = np.partition(sums - rest, self.n - k, axis=1)[:, self.n - k]
+            possible = sums + rest >= least[:, None]
+            few = (possible.sum(1) <= max(4 * k, self.n // 64)) | (wave == 2 * LEVELS - 2)
+            for row in np.flatnonzero(few):
+                at = np.flatnonzero(possible[row])
+                yield pending[row], at, self.vectors[at] @ queries[pending[row]]
+            pending, sums = pending[~few], sums[~few]
+            if not len(pending):
+                return
 
 
 def quantise(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -145,12 +148,15 @@ def top_k(
         index = ImpactIndex(matrix[~asks])
         own, names = rid[~asks], ids[~asks]
         out = []
-        for i in np.flatnonzero(asks):
-            at, scores = index.search(matrix[i], k + 1)  # one more, since the query's own row may be there
-            keep = own[at] != rid[i]
-            at, scores = at[keep], scores[keep]
-            best = np.lexsort((names[at], -scores))[:k]
-            out.append((np.full(len(best), rid[i]), np.full(len(best), ids[i]), names[at[best]], scores[best]))
+        rows = np.flatnonzero(asks)
+        for at_query in range(0, len(rows), query_block):
+            part = rows[at_query : at_query + query_block]
+            for q, at, scores in index.search(matrix[part], k + 1):  # one more: the query's own row may be there
+                i = part[q]
+                keep = own[at] != rid[i]
+                at, scores = at[keep], scores[keep]
+                best = np.lexsort((names[at], -scores))[:k]
+                out.append((np.full(len(best), rid[i]), np.full(len(best), ids[i]), names[at[best]], scores[best]))
         if out:
             arrays = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=["_rid", "query_id", "vec_id", "score"])
