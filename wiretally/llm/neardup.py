@@ -7,10 +7,12 @@ A document is the set of its distinct five-word shingles; documents link if 100
    OVERLAP of them with a chance below 1e-9). So a value needs an inverted list only where it is among the
    rarest of its sketch: two sketches that share o values share one of their (size - o + 1) rarest ones. Lists of
    passages that many documents hold are thus left out by proof, not by a cap.
-3. Each list pairs its members with one hub. Candidate pairs pass if the union sketch puts their similarity
-   within reach of the threshold, then full sets are compared. Components of these links are found.
-4. Lists whose members are still in several components are paired across components only, tested the same
-   way, and components are found anew. A group of a thousand near copies thus costs a thousand pairs.
+3. Each list pairs its members with one hub, the most central one. Pairs pass if the union sketch puts their
+   similarity within reach of the threshold, then full sets are compared. Components of these links are found.
+4. All lists of one hub are one star. Stars whose members are still in several components are left. They are cut
+   into blocks, and each pair of blocks compares the full sets of different components in one task, which
+   returns only links that join components. So near copies cost one pair each, and what is compared beyond that
+   is never spelled out as rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from wiretally.llm.common import bytes_of, cut, text_or_empty
 WORDS = 5
 #: Similarity in hundredths from which documents link.
 PERCENT = 75
-SKETCH, OVERLAP = 40, 12
+SKETCH, OVERLAP = 64, 25
+#: Documents and shingles of a block of a star, roughly.
+BLOCK_DOCS, BLOCK_SHINGLES = 128, 200_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RNG = np.random.default_rng(20)
@@ -134,10 +138,16 @@ def min_common(size: int) -> int:
 
 
 def overlap_needed(n: int) -> int:
-    """How many retained values a node of n shingles must share with any node that it links with."""
-    if n <= 28:  # such a node and all that it may link with are retained whole
-        return -(-PERCENT * n // 100)
-    return 20 if n <= SKETCH else OVERLAP
+    """How many retained values a node of n shingles must share with any node that it links with.
+
+    A node that is retained whole (n <= SKETCH) shares 75 % of its set with the other's full set, whose size is n / 0.75
+    at most; of the common values at least SKETCH - n / 3 are within the other's sketch.
+    """
+    return min(-(-PERCENT * n // 100), 2 * SKETCH // 3) if n <= SKETCH else OVERLAP
+
+
+def digest_of(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def sketch_rows(batches):
@@ -146,7 +156,7 @@ def sketch_rows(batches):
         for data in bytes_of(b):
             s = shingles(data)
             ns.append(len(s))
-            digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            digests.append(digest_of(s))
             sketches.append(s[:SKETCH].tobytes())
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
@@ -157,62 +167,88 @@ def sketch_rows(batches):
 def postings(batches):
     """One row for each retained value of a node."""
     for b in batches:
-        nodes, ns = b.column("node").to_numpy(), b.column("n_shingles").to_numpy()
+        nodes, ns = b.column("node").to_numpy(), b.column("n").to_numpy()
         sketches = [np.frombuffer(x.as_py(), np.int64) for x in b.column("sketch")]
-        sizes = np.array([len(s) for s in sketches], np.int64)
-        if not len(sizes):
-            continue
-        rarest = np.array([len(s) - overlap_needed(int(n)) + 1 for s, n in zip(sketches, ns, strict=True)], np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate(sketches)),
-                pa.array(np.repeat(nodes, sizes)),
-                pa.array(np.repeat(ns, sizes)),
-                pa.array(np.repeat(sizes, sizes).astype(np.int32)),
-                pa.array(np.repeat(rarest, sizes)),
-            ],
-            names=["value", "node", "n", "retained", "rarest"],
-        )
-
-
-def estimate(batches):
-    for b in batches:
-        keep = [
-            within_reach(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), na, nb)
-            for x, y, na, nb in zip(
-                b.column("sa"), b.column("sb"), b.column("na").to_pylist(), b.column("nb").to_pylist(), strict=True
-            )
-        ]
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        if sketches:
+            sizes = [len(s) for s in sketches]
+            arrays = [pa.array(np.concatenate(sketches)), pa.array(np.repeat(nodes, sizes)), pa.array(np.repeat(ns, sizes))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["value", "node", "n"])
 
 
 def confirm(batches):
-    """Links among candidate pairs, from the whole texts; a text whose digest isn't the node's is another row of the id."""
+    """Links among candidate pairs: those that the union sketch lets pass, confirmed on the full sets."""
     name, of_name = None, None
     for b in batches:
         keep = []
-        for ta, tb, da, db in zip(b.column("ta"), b.column("tb"), b.column("da"), b.column("db"), strict=True):
-            da, db = da.as_py(), db.as_py()
-            if name != da:
-                sa = shingles((ta.as_py() or "").encode())
-                name, of_name = (da, sa) if hashlib.blake2b(sa.tobytes(), digest_size=16).digest() == da else (None, None)
-            sb = shingles((tb.as_py() or "").encode())
-            right = name is not None and hashlib.blake2b(sb.tobytes(), digest_size=16).digest() == db
-            keep.append(right and linked(of_name, sb))
+        for a, ta, tb in zip(b.column("a").to_pylist(), b.column("ta"), b.column("tb"), strict=True):
+            if name != a:
+                name, of_name = a, shingles(ta.as_py().encode())
+            other = shingles(tb.as_py().encode())
+            near = within_reach(of_name[:SKETCH], other[:SKETCH], len(of_name), len(other))
+            keep.append(near and linked(of_name, other))
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones of distinct candidate pairs (a, b), materialised."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    near = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimate, "a long, b long"))
-    of = lambda x: nodes.select(F.col("node").alias(x), F.col("min_id").alias(f"i{x}"), F.col("digest").alias(f"d{x}"))
-    named = near.join(of("a"), "a").join(of("b"), "b")
-    needed = named.select(F.col("ia").alias("id")).union(named.select(F.col("ib").alias("id"))).distinct()
-    kept = cut(texts.join(needed, texts["doc_id"] == needed["id"], "left_semi"))
-    text = lambda x: kept.select(F.col("doc_id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
-    both = named.join(text("b"), "ib").join(text("a"), "ia").sortWithinPartitions("da")
-    return cut(both.select("a", "b", "ta", "tb", "da", "db").mapInArrow(confirm, "a long, b long").distinct())
+def right_text(batches):
+    """Rows whose text has the node's digest; another row may have the same id."""
+    for b in batches:
+        keep = [digest_of(shingles(t)) == d.as_py() for t, d in zip(bytes_of(b), b.column("digest"), strict=True)]
+        yield b.select(["node", "text"]).filter(pa.array(keep, pa.bool_()))
+
+
+def compare_blocks(batches):
+    """Links that join components among the documents of each pair of blocks; rows are sorted by (hub, i, j)."""
+    held: list[tuple] = []
+    key = None
+    for b in batches:
+        columns = [b.column(c).to_pylist() for c in ("hub", "i", "j", "node", "comp")]
+        for h, i, j, node, comp, text in zip(*columns, bytes_of(b), strict=True):
+            if key != (h, i, j):
+                yield from joining_links(held)
+                key, held = (h, i, j), []
+            held.append((node, comp, shingles(text)))
+    yield from joining_links(held)
+
+
+def joining_links(docs: list[tuple]):
+    """docs: (node, comp, set). A forest of links between components, found on the full sets, as pairs of components."""
+    if len({d[1] for d in docs}) < 2:
+        return
+    sizes = np.array([len(d[2]) for d in docs], np.int64)
+    every = np.concatenate([d[2] for d in docs])
+    owner = np.repeat(np.arange(len(docs)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    count = np.diff(np.append(first, len(every)))
+    common = np.zeros((len(docs), len(docs)), np.float32)
+    # Shared values a slice at a time: counts of common values are a product of 0/1 matrices, exact in float32.
+    shared = np.flatnonzero(count > 1)
+    for at in range(0, len(shared), 4096):
+        part = shared[at : at + 4096]
+        mark = np.zeros((len(docs), len(part)), np.float32)
+        of_value = np.repeat(np.arange(len(part)), count[part])
+        where = np.concatenate([np.arange(f, f + c) for f, c in zip(first[part], count[part], strict=True)])
+        mark[owner[where], of_value] = 1
+        common += mark @ mark.T
+    both = common.astype(np.int64)
+    hit = 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
+    parent = {d[1]: d[1] for d in docs}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    for x, y in np.argwhere(np.triu(hit, 1)):
+        rx, ry = root(docs[x][1]), root(docs[y][1])
+        if rx != ry:
+            parent[rx] = ry
+            found.append((docs[x][1], docs[y][1]))
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -243,46 +279,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(texts.mapInArrow(sketch_rows, "doc_id long, n_shingles long, digest binary, sketch binary"))
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = full.groupBy("digest").agg(
-        F.min("doc_id").alias("min_id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("min_id"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    schema = "value long, node long, n long, retained int, rarest int"
-    lists = nodes.select("node", "n_shingles", "sketch").mapInArrow(postings, schema)
-    shared = cut(lists.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
-    # Values of one sketch only are the rarest; those shared follow by frequency.
-    lists = lists.join(shared, "value")
-    by_node = Window.partitionBy("node")
-    lists = lists.withColumns(
-        {
-            "place": F.row_number().over(by_node.orderBy("df", "value")),
-            "others": F.col("retained") - F.count("*").over(by_node),
-        }
-    )
-    lists = cut(lists.where(F.col("place") + F.col("others") <= F.col("rarest")).select("value", "node", "n"))
-    hubs = cut(lists.groupBy("value").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"))
-    pairs = lists.join(hubs.select("value", "hub"), "value").where("node <> hub")
-    pairs = cut(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    found = links(pairs, nodes, texts)
-    comp = components(found)
-    # What is left: lists whose members are in more than one component.
-    placed = lists.join(hubs.select("value"), "value").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = cut(placed)
-    split = cut(placed.groupBy("value").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("value"))
-    left = cut(placed.join(split, "value"))
-    x = left.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = left.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    fits = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    more = x.join(y, "value").where(fits).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    found = found.union(links(cut(more), nodes, texts))
+    lists = inverted_lists(nodes)
+    hubs = lists.groupBy("value").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("hub"), F.count("*").alias("members"))
+    hubs = cut(hubs.where("members > 1").select("value", "hub"))
+    stars = cut(lists.join(hubs, "value").select("hub", "node", "n").distinct())
+
+    # Whole texts of all members, gathered once. Rows that repeat id and text are one.
+    named = stars.select("node").distinct().join(nodes.select("node", "min_id", "digest"), "node")
+    whole = texts.join(named, texts["doc_id"] == named["min_id"])
+    whole = whole.dropDuplicates(["doc_id", "node", "text"]).select("node", "digest", "text")
+    whole = cut(whole.mapInArrow(right_text, "node long, text string"))
+    text = lambda x: whole.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    pairs = stars.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    pairs = pairs.join(text("b"), "b").join(text("a"), "a").sortWithinPartitions("a").select("a", "b", "ta", "tb")
+    found = cut(pairs.mapInArrow(confirm, "a long, b long"))
     comp = components(found)
+
+    # Stars whose members are in more than one component.
+    placed = cut(stars.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    split = placed.groupBy("hub").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), blocks.cast("int").alias("blocks"))
+    split = cut(split.where("c0 <> c1").select("hub", "blocks"))
+    # A document goes to every pair of blocks that has its own.
+    dealt = placed.join(split, "hub").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("hub", "node", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.join(whole, "node").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    more = cut(dealt.select("hub", "i", "j", "node", "comp", "text").mapInArrow(compare_blocks, "a long, b long"))
+    if more.limit(1).count():
+        # Links between components: their components name the final ones.
+        again = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("_last"))
+        comp = nodes.select("node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        comp = comp.join(again, "comp", "left").select("node", F.coalesce("_last", "comp").alias("comp"))
+
     # Components by node number; their name is the smallest id of all their nodes.
-    ids = cut(nodes.select("node", "digest", "min_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    names = ids.groupBy("comp").agg(F.min("min_id").alias("component_id"))
-    named = cut(ids.join(names, "comp").select("digest", "component_id"))
-    out = rows.join(named, "digest", "left").withColumn(
+    ids = nodes.select("node", "digest", "min_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    ids = cut(ids.select("comp", "digest", "min_id"))
+    names = cut(ids.groupBy("comp").agg(F.min("min_id").alias("component_id")))
+    named = ids.join(names, "comp").select("digest", "component_id")
+    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    out = out.withColumn(
         "component_id", F.when(F.col("n_shingles") > 0, F.least("component_id", "doc_id")).otherwise(F.col("doc_id"))
     )
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select(
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
+
+
+def inverted_lists(nodes: DataFrame) -> DataFrame:
+    """value, node, n, central: each node under those of its shared retained values that are among its rarest; central is how
+    common its retained values are."""
+    lists = nodes.select("node", "n", "sketch").mapInArrow(postings, "value long, node long, n long")
+    shared = cut(lists.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
+    # Values of one sketch only are the rarest; the shared ones follow by frequency.
+    w = Window.partitionBy("node")
+    lists = lists.join(shared, "value").withColumns(
+        {
+            "place": F.row_number().over(w.orderBy("df", "value")),
+            "common": F.count("*").over(w),
+            "central": F.sum("df").over(w),
+        }
+    )
+    whole = F.least(F.ceil(F.col("n") * PERCENT / 100), F.lit(2 * SKETCH // 3))
+    needed = F.when(F.col("n") <= SKETCH, whole).otherwise(OVERLAP)
+    return cut(lists.where(F.col("place") + needed - 1 <= F.col("common")).select("value", "node", "n", "central"))
