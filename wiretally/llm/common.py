@@ -16,6 +16,15 @@ BATCH_BYTES = 8 << 20
 MID_BITS = 33
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches held to 8 MB: a few long texts then don't fill a worker, whatever the row limit.
+
+    It is a session setting, which Spark reads when a plan runs; every operator that hands texts to Python sets it.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -71,7 +80,7 @@ def map_rows(
             if rows:
                 yield to_batch(rows, arrow_schema)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

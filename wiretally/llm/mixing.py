@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiretally.llm.common import bytes_of, cut, in_global_order, row_tie
+from wiretally.llm.common import bytes_of, cut, in_global_order, row_tie, small_batches
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -74,7 +74,7 @@ def mix_sources(
     empty table. Reruns agree. A source may hold any part of the rows: the order is global and split by
     range, and only the counts of (partition, source) come to the driver.
     """
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_crc"),

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from wiretally.llm.common import bytes_of, cut, text_or_empty
+from wiretally.llm.common import bytes_of, cut, small_batches, text_or_empty
 
 WORDS = 5
 #: Similarity in hundredths from which documents link.
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link nothing. Rows that repeat an id are separate nodes unless their sets are equal. Further columns are ignored; an
     empty table gives an empty table.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = cut(texts.mapInArrow(sketch_rows, "doc_id long, n_shingles long, digest binary, sketch binary"))
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = full.groupBy("digest").agg(

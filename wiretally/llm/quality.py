@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiretally.llm.common import bytes_of, text_or_empty
+from wiretally.llm.common import bytes_of, small_batches, text_or_empty
 
 #: Labelled rows that the model is fitted on at most: the smallest by a hash of the id.
 MOST_LABELLED = 20_000
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, id_col:
     known = known.where("doc_id IS NOT NULL AND quality IS NOT NULL AND quality IN (0, 1)").where(remainder() != 0)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "quality")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = texts.join(F.broadcast(known), "doc_id").mapInArrow(extract, "doc_id long, quality int, features binary")
     # Repeated ids could exceed the bound: then only the first by id and features stay.
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(most).toArrow()
@@ -220,7 +220,7 @@ def score_documents(docs: DataFrame, model: Additive, keep: tuple[str, ...] = ()
     """
     text = text_or_empty(text_col)
     first = [F.col(id_col).cast("long").alias("doc_id")] if id_col not in keep else []
-    rows = docs.select(*first, *keep, text.alias("_text") if "text" in keep else text.alias("text"))
+    rows = small_batches(docs).select(*first, *keep, text.alias("_text") if "text" in keep else text.alias("text"))
     name = "_text" if "text" in keep else "text"
     names = [f.name for f in rows.schema.fields if f.name != name]
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiretally.llm.common import BATCH_BYTES, blocks_for, cut, in_global_order, row_tie, shuffle_partitions, text_or_empty, to_batch
+from wiretally.llm.common import BATCH_BYTES, blocks_for, cut, in_global_order, row_tie, shuffle_partitions, small_batches, text_or_empty, to_batch
 
 K, S = 24, 8
 #: Bytes of an anchor's hash in a fingerprint; three make four characters of base64.
@@ -136,7 +136,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("_h"), text.alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("_h"), text.alias("text"))
     rows = rows.withColumn("_key", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     narrow = rows.select("_key", "_h", F.octet_length("text").alias("_bytes"), row_tie().alias("_tie"))
     order = in_global_order(narrow, *map(F.col, ("_key", "_h", "_tie")))
