@@ -51,7 +51,6 @@ def basic_user(header: Column) -> Column:
     """The user name of a Basic authorization; null if it isn't one, has no colon or holds control bytes. What follows the
     colon never leaves this expression."""
     token = F.regexp_extract(header, "(?i)^basic +([A-Za-z0-9+/=]+) *$", 1)
-    plain = F.expr("null")
     plain = F.try_to_binary(token, F.lit("base64")).cast("string")
     user = F.substring_index(plain, ":", 1)
     return F.when((token != "") & (F.instr(plain, ":") > 0) & ~user.rlike(r"[\x00-\x1f\x7f]"), user)
@@ -73,14 +72,14 @@ def split_target(target: Column) -> Column:
 
 def content_length(value: Column) -> Column:
     """A list of equal decimal lengths is one length; anything else is null."""
-    parts = F.transform(F.split(value, ","), F.trim)
+    parts = F.transform(F.split(value, ","), lambda x: F.trim(x))
     same = F.size(F.array_distinct(parts)) == 1
     return F.when(same & F.get(parts, F.lit(0)).rlike("^[0-9]{1,18}$"), F.get(parts, F.lit(0)).cast("long"))
 
 
 def list_has(value: Column, token: str) -> Column:
     """Whether a comma-separated header value has the token, in any case."""
-    return F.array_contains(F.transform(F.split(F.lower(value), ","), F.trim), token.lower())
+    return F.array_contains(F.transform(F.split(F.lower(value), ","), lambda x: F.trim(x)), token.lower())
 
 
 def label_escape(value: Column) -> Column:

@@ -11,7 +11,9 @@ from wiretally import schema as S
 from wiretally.functions import redis, route, s3, sql_text, url
 from wiretally.operators import cardinality, expose, families, filters, hist, joins, ordering, percentiles, reduce, streams
 from wiretally.plans import adapters as A
-from wiretally.plans import promql, spans
+from wiretally.plans import olap, promql, spans, wire
+from wiretally.sources import lkt1
+from wiretally.streaming import observe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -941,3 +943,118 @@ def snk4_otlp_spans(spark, sf):
 @query()
 def snk8_debug_lines(spark, sf):
     return expose.debug_lines(A.observations(spark, sf))
+
+
+# --- parsers ---------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT user_id AS conn, event_id % 1 AS bad, CASE WHEN event_type = 'signup' THEN 'SELECT' ELSE 'GET' END AS route,
+    CASE WHEN event_type = 'error' THEN 'WRONGTYPE' END AS err_name, coalesce(last_value(CASE WHEN event_type = 'signup' THEN CAST(event_id % 4 AS VARCHAR) END IGNORE NULLS) OVER
+    (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '0') AS db, CAST(floor(value * 1000) AS BIGINT) AS took FROM events""")
+def str1_str19_str20_redis_units(spark, sf):
+    """Redis commands parsed from their bytes; labels follow SELECT from the next command on."""
+    o = observe.observations(observe.parse(wire.redis_events(spark, sf), default="redis"))
+    return o.select("conn", F.lit(0).cast("long").alias("bad"), "route", "err_name", "db", (F.col("ts_complete_ns") - F.col("ts_start_ns")).alias("took"))
+
+
+@query("""SELECT user_id AS conn, '/api/' || event_type || '/' || event_id || '?token=x' AS text, CASE event_type WHEN 'error' THEN 503 WHEN 'click' THEN 404 ELSE 200 END AS err_code,
+    event_id % 50 AS bytes_out, 'r' || event_id AS req_id, 'shop' AS db FROM events""")
+def str15_str16_str17_http_units(spark, sf):
+    o = observe.observations(observe.parse(wire.http_events(spark, sf), default="http"))
+    return o.select("conn", "text", "err_code", "bytes_out", "http.req_id", "db")
+
+
+@query("""SELECT user_id AS conn, 'SELECT * FROM t' || (event_id % 5) || ' WHERE id = ' || event_id AS text, CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 9 END AS rows,
+    CASE WHEN event_type = 'error' THEN '40001' END AS sqlstate, 'shop' AS db, 'app' AS "user"
+    FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1""")
+def str9_str10_str12_postgres_units(spark, sf):
+    o = observe.observations(observe.parse(wire.postgres_events(spark, sf), default="pg"))
+    return o.select("conn", "text", "rows", "sqlstate", "db", "user")
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+    SELECT 'lost_events' AS name, 'redis' AS proto, '' AS reason, count(*) AS n FROM r WHERE k % 10 = 0
+    UNION ALL SELECT 'dropped', 'redis', 'resync', count(*) FROM r WHERE k % 10 = 0
+    UNION ALL SELECT 'resyncs', 'redis', '', 2 * count(*) FROM r WHERE k % 10 = 0""")
+def str2_str27_loss_honesty(spark, sf):
+    """Every tenth reply is lost: nothing is reported for its command, and the loss is counted."""
+    events = wire.redis_events(spark, sf).where(~((F.col("dir") == lkt1.SEND) & (F.col("type") == lkt1.DATA) & (F.floor(F.col("seq") / 2) % 10 == 0)))
+    # The last command of a connection may go without a follower; an event after it shows the loss.
+    last = events.groupBy("conn_id").agg(F.max("seq").alias("m"), F.max("ts_ns").alias("t"))
+    tail = last.select(F.col("conn_id"), F.col("t").alias("ts_ns"), (F.floor(F.col("m") / 2) * 2 + 2).alias("seq"))
+    tail = tail.withColumns({"type": F.lit(lkt1.CLOSE), "dir": F.lit(0), "flags": F.lit(0), "decode_status": F.lit("conn")})
+    closed = events.unionByName(tail, allowMissingColumns=True)
+    return observe.counts(observe.parse(closed, default="redis"))
+
+
+@query("SELECT count(*) AS records, count(*) FILTER (WHERE TRUE) AS decoded, CAST(sum(event_id) AS BIGINT) AS sum_conn FROM events")
+def src2_src3_record_round_trip(spark, sf):
+    """Records written as a recording has them, joined into files and decoded again."""
+    import pandas as pd
+
+    e = A.table(spark, sf, "events").select(
+        F.col("event_id").alias("conn_id"), F.lit(1000).cast("long").alias("ts_ns"), F.lit(1).cast("long").alias("seq"), F.lit(lkt1.DATA).alias("type"), F.lit(lkt1.RECV).alias("dir"),
+        F.lit(0).alias("flags"), F.lit(None).cast(S.TUPLE).alias("tuple"), F.octet_length("props").cast("long").alias("total_len"), F.lit(0).cast("long").alias("off"), F.col("props").cast("binary").alias("payload"),
+    )
+
+    def gather(frames):
+        for f in frames:
+            yield pd.DataFrame({"path": ["part"], "content": [lkt1.join([bytes(r) for r in f["record"]])]})
+
+    files = lkt1.record(e).mapInPandas(gather, "path string, content binary")
+    rows = lkt1.decode_files(files)
+    return rows.agg(F.count("*").alias("records"), F.count_if(F.col("decode_status") == "data").alias("decoded"), F.sum("conn_id").alias("sum_conn"))
+
+
+@query("SELECT user_id % 3 + 50 AS port, event_id % 2 AS dir, count(*) AS packets, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS bytes FROM events GROUP BY ALL")
+def src12_udp_volume(spark, sf):
+    from wiretally.sources import logs
+
+    e = A.table(spark, sf, "events")
+    c = e.select((F.col("user_id") % 3 + 50).alias("port"), (F.col("event_id") % 2).alias("dir"), F.lit(1).cast("long").alias("packets"), F.floor("value").alias("bytes"))
+    return logs.udp_volume(c)
+
+
+@query("SELECT 'wt_x_total' AS name, event_type AS kind, 'a\"b\\' AS odd, CAST(event_id AS DOUBLE) AS value FROM events WHERE event_id < 500")
+def src9_prometheus_text(spark, sf):
+    from wiretally.sources import logs
+
+    e = A.table(spark, sf, "events").where("event_id < 500")
+    line = F.concat(F.lit('wt_x_total{kind="'), F.col("event_type"), F.lit('",odd="a\\"b\\\\"} '), F.col("event_id").cast("string"))
+    out = logs.exposition(e.select(line.alias("value")))
+    return out.select("name", F.col("labels")["kind"].alias("kind"), F.col("labels")["odd"].alias("odd"), "value")
+
+
+@query("SELECT 'c' || (event_id % 9) AS name, event_id AS calls, user_id AS usec, 0.25 AS usec_per_call FROM events WHERE event_id < 500")
+def src8_command_stats(spark, sf):
+    from wiretally.sources import logs
+
+    e = A.table(spark, sf, "events").where("event_id < 500")
+    line = F.concat(F.lit("cmdstat_c"), (F.col("event_id") % 9).cast("string"), F.lit(":calls="), F.col("event_id").cast("string"), F.lit(",usec="), F.col("user_id").cast("string"), F.lit(",usec_per_call=0.25"))
+    return logs.command_stats(e.select(line.alias("value")).union(e.select(F.lit("# other"))))
+
+
+@query("""SELECT event_id AS conn, 'GET' AS method, 200 AS status, user_id AS dur_ns, 'shop' AS host, '/x/' || event_id AS target FROM events WHERE event_id < 500""")
+def src7_observation_lines(spark, sf):
+    from wiretally.sources import logs
+
+    e = A.table(spark, sf, "events").where("event_id < 500")
+    n = F.col("event_id").cast("string")
+    line = F.concat(F.lit("http conn="), n, F.lit(" method=GET status=200 dur="), F.col("user_id").cast("string"), F.lit("ns ttfb=1ns upload=0ns in=0 out=13 obj=0 host=shop user=- flags=0x0 err=- reqid=r route=/x target=/x/"), n)
+    out = logs.obs_lines(e.select(line.alias("value")))
+    return out.select(F.col("conn").cast("long").alias("conn"), "method", "status", "dur_ns", "host", "target")
+
+
+# --- the observed workload's own statements --------------------------------------------------------------------------
+
+
+def _olap(name: str) -> None:
+    def run(spark, sf):
+        return olap.run(spark, sf, name)
+
+    run.__name__ = name
+    query(olap.oracle(name))(run)
+
+
+for _name in olap.STATEMENTS:
+    _olap(_name)

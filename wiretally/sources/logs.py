@@ -23,7 +23,7 @@ def csvlog(spark: SparkSession, path: str) -> DataFrame:
     out = out.where(F.col("severity").isin("LOG", "ERROR") & (F.col("conn") != "[local]"))
     ms = F.regexp_extract("message", r"^duration: ([0-9]+\.[0-9]+) ms", 1)
     phase = F.regexp_extract("message", r"^duration: [0-9.]+ ms +(parse|bind|execute|statement)", 1)
-    return out.withColumn("dur_s", F.when(ms != "", ms.cast("double") / 1000)).withColumn("phase", F.nullif(phase, F.lit("")))
+    return out.withColumn("dur_s", ms.try_cast("double") / 1000).withColumn("phase", F.nullif(phase, F.lit("")))
 
 
 def access_log(spark: SparkSession, path: str) -> DataFrame:
@@ -76,8 +76,8 @@ def obs_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Printed observations back as rows; other lines are dropped."""
     hit = lines.where(F.col(column).rlike(OBS_LINE))
     found = [F.regexp_extract(column, OBS_LINE, i + 1).alias(n) for i, n in enumerate(OBS_FIELDS)]
-    out = hit.select(*found).withColumn("status", F.col("status").cast("int"))
-    return out.withColumns({n: F.col(n).cast("long") for n in OBS_NUMBERS})
+    out = hit.select(*found).withColumn("status", F.col("status").try_cast("int"))
+    return out.withColumns({n: F.col(n).try_cast("long") for n in OBS_NUMBERS})
 
 
 def command_stats(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -85,7 +85,7 @@ def command_stats(lines: DataFrame, column: str = "value") -> DataFrame:
     pattern = r"^cmdstat_([^:]+):calls=(\d+),usec=(\d+),usec_per_call=([0-9.]+)"
     hit = lines.where(F.col(column).rlike(pattern))
     part = lambda i: F.regexp_extract(column, pattern, i)
-    return hit.select(part(1).alias("name"), part(2).cast("long").alias("calls"), part(3).cast("long").alias("usec"), part(4).cast("double").alias("usec_per_call"))
+    return hit.select(part(1).alias("name"), part(2).try_cast("long").alias("calls"), part(3).try_cast("long").alias("usec"), part(4).try_cast("double").alias("usec_per_call"))
 
 
 def memtier(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -94,7 +94,7 @@ def memtier(lines: DataFrame, column: str = "value") -> DataFrame:
     hit = lines.where(F.col(column).rlike(pattern))
     names = ("kind", "ops", "avg_ms", "p50_ms", "p99_ms")
     out = hit.select(*(F.regexp_extract(column, pattern, i + 1).alias(n) for i, n in enumerate(names)))
-    return out.withColumns({n: F.col(n).cast("double") for n in names[1:]})
+    return out.withColumns({n: F.col(n).try_cast("double") for n in names[1:]})
 
 
 SAMPLE = r'^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{(.*)\})?\s+(\S+)(?:\s+\d+)?$'
