@@ -137,9 +137,10 @@ def top_k(
     dealt = both.repartitionById(n_index * n_query, F.col("_t")).select("_rid", "vec_id", "v", "_is")
 
     def search(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)  # one pair of blocks
+        if not sum(b.num_rows for b in held):
             return
+        table = pa.Table.from_batches(held)
         rid, ids = table.column("_rid").to_numpy(), table.column("vec_id").to_numpy()
         lists = table.column("v").combine_chunks()
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
