@@ -137,3 +137,45 @@ def test_push_pauses(monkeypatch):
     monkeypatch.setattr(expose.urllib.request, "urlopen", refuse)
     assert not sink.send(b"x") and sink.failed == 1
     assert not sink.send(b"x") and sink.failed == 1  # paused: not even tried
+
+
+def scrapes(spark):
+    from wiretally.plans.panels import M
+
+    rows = []
+    for t in (60, 120, 180, 240, 300):
+        v = float(t)
+        for code in ("ok", "error", "5xx"):
+            base = {"db": "shop", "slot": "s1", "code": code, "error": "E1", "status": "ok", "direction": "in", "reason": "h2"}
+            names = ("queries_total", "requests_total", "errors_total", "rows_total", "bytes_total", "events_total", "lost_events_total", "resyncs_total", "blind_total", "process_cpu_seconds_total", "connections", "series")
+            rows += [(t, f"{M}_{n}", base, v) for n in names]
+            for h in ("duration_seconds", "txn_seconds", "ttfb_seconds", "upload_seconds", "first_row_seconds", "event_seconds"):
+                rows += [(t, f"{M}_{h}_bucket", base | {"le": le}, v * k) for le, k in (("0.5", 1), ("1", 2), ("+Inf", 2))]
+                rows += [(t, f"{M}_{h}_sum", base, v), (t, f"{M}_{h}_count", base, v * 2)]
+    return spark.createDataFrame(rows, "ts long, name string, labels map<string,string>, value double")
+
+
+def test_panels(spark):
+    from wiretally.plans import panels
+
+    t = scrapes(spark).cache()
+    got = {name: panel(t).collect() for name, panel in panels.PANELS.items()}
+    assert all(got.values()), [k for k, v in got.items() if not v]
+    assert got["overview_error_rate"][0]["value"] == pytest.approx(0.8 / 2.4)
+    assert got["overview_p50"][0]["quantile"] == pytest.approx(0.5)
+    assert got["health_cost_per_event"][0]["mean"] == pytest.approx(0.5)
+    assert all(v.collect() for v in panels.drilldown(t, "s.*").values())
+    assert [r[0] for r in panels.variables(t, "queries_total", "db").collect()] == ["shop"]
+
+
+def test_exact_percentiles_of_a_hot_group(spark):
+    import random
+
+    from wiretally.operators import order
+
+    rng = random.Random(2)
+    rows = [("hot", float(rng.randrange(50))) for _ in range(2000)] + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {r["k"]: (r["p50"], r["p99"], r["p0"]) for r in order.exact_percentiles(df, "v", {"p50": 0.5, "p99": 0.99, "p0": 0.0}, "k").collect()}
+    hot = sorted(v for k, v in rows if k == "hot")
+    assert got == {"hot": (hot[999], hot[1979], hot[0]), "one": (3.0,) * 3, "two": (1.0, 2.0, 1.0)}

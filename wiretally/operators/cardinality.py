@@ -24,10 +24,12 @@ DIM_CAP, DIM_CAP_S3, ERROR_CAP, PROTO_CAP = 32, 128, 64, 8
 def first_seen(df: DataFrame, cap: int, *keys: str, within: tuple[str, ...] = (), seq: str = "seq") -> DataFrame:
     """The first `cap` distinct keys (in each `within`), by their smallest seq.
 
-    Ranks at most cap rows matter, so each partition of the window keeps its cap smallest before they meet.
+    Only the cap smallest of each task meet: a limited sort, or a window whose rank limit Spark applies before the shuffle.
     """
     seen = df.groupBy(*within, *keys).agg(F.min(seq).alias("_first"))
-    w = Window.partitionBy(*within).orderBy("_first", *keys) if within else Window.orderBy("_first", *keys)
+    if not within:
+        return seen.orderBy("_first", *keys).limit(cap).drop("_first")
+    w = Window.partitionBy(*within).orderBy("_first", *keys)
     return seen.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= cap).drop("_first", "_rank")
 
 

@@ -45,10 +45,11 @@ def counted(value: Column) -> Column:
 def latency_cells(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """keys, bucket, n, sum, nonpos: one row for each bucket that has a value."""
     v = F.col(value)
+    # Null values are dropped after counting: a filter before would compute the value twice, here and at the scan.
     return (
-        df.where(v.isNotNull())
-        .groupBy(*keys, bucket(v).alias("bucket"))
-        .agg(F.count("*").alias("n"), F.sum(counted(v)).alias("sum"), F.count_if(F.isnan(v) | (v <= 0)).alias("nonpos"))
+        df.groupBy(*keys, bucket(v).alias("bucket"))
+        .agg(F.count(v).alias("n"), F.sum(counted(v)).alias("sum"), F.count_if(F.isnan(v) | (v <= 0)).alias("nonpos"))
+        .where("n > 0")
     )
 
 
@@ -78,7 +79,7 @@ def octave(size: Column, grid: str) -> Column:
 
 def size_cells(df: DataFrame, size: str, grid: str, *keys: str) -> DataFrame:
     s = F.col(size)
-    return df.where(s.isNotNull()).groupBy(*keys, octave(s, grid).alias("cell")).agg(F.count("*").alias("n"), F.sum(s).alias("sum"))
+    return df.groupBy(*keys, octave(s, grid).alias("cell")).agg(F.count(s).alias("n"), F.sum(s).alias("sum")).where("n > 0")
 
 
 def quantile_from_cumulative(rows: DataFrame, phi: float, *keys: str) -> DataFrame:

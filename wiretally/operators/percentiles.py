@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wiretally.operators import order
+
 
 def nearest_rank(value: str, q: float) -> Column:
-    """v[ceil(q * n) - 1] of the sorted values: the smallest value with at least that share at or below it."""
+    """v[ceil(q * n) - 1] of the sorted values: the smallest value with at least that share at or below it.
+
+    As an aggregate it holds a group's distinct values; order.exact_percentiles takes groups of any size.
+    """
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
 
 
 def rounded_rank(df: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
-    """keys, value: v[round(p * (n - 1))], halves to even; by rank, so no group is gathered into an array."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    at = F.bround((n - 1) * F.lit(p)).cast("long") + 1
-    return df.withColumn("_k", F.row_number().over(w)).withColumn("_at", at).where("_k = _at").select(*keys, F.col(value).alias("value"))
+    """keys, value: v[round(p * (n - 1))], halves to even; by global ranks, so no group is gathered anywhere."""
+    return order.at_ranks(df, value, {"value": F.bround((F.col("n") - 1) * F.lit(p))}, *keys)
 
 
 def median_spread(df: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -12,34 +12,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TYPES = ("view", "click", "signup", "purchase", "error")
+PROTOS = ("http", "redis", "mysql", "pg", "pg")
+CODES = (404, 503, 301, *[200] * 7)
+CYCLE = 30
+
+
+def flags_of(kind: str, m: int) -> int:
+    """The flags of an event by its type and its number modulo CYCLE."""
+    out = 0
+    if kind == "view":
+        code = CODES[m % 10]
+        out |= S.ERROR if code >= 500 else S.CLIENT_ERR if code >= 400 else 0
+        out |= (S.BODY_UNSEEN if m == 23 else 0) | (S.EXPECT_CONT if m % 5 == 0 else 0)
+    elif kind == "click":
+        out |= S.QUEUED if m % 7 == 0 else S.BLOCKING if m % 7 == 1 else 0
+        out |= S.ERROR if m % 11 == 0 else 0
+    else:
+        out |= (S.ERROR if kind == "error" else 0) | (S.ABORTED if m % 13 == 0 else 0) | (S.PIPELINED if m % 3 == 0 else 0)
+        out |= (S.NO_TEXT if m == 17 else 0) | (S.TEXT_TRUNC if m == 19 else 0)
+    return out
+
+
+FLAGS = [flags_of(t, m) for t in TYPES for m in range(CYCLE)]
+
+
+def pick(values, at):
+    """The element of a constant array at a place counted from 0: one lookup, however often it is computed."""
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (at + 1).cast("int"))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One observation for each event: the protocol from the event's type, timings and sizes from its value."""
-    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
+    """One observation for each event: the protocol from the event's type, timings and sizes from its value.
+
+    Columns are cheap expressions, since Catalyst computes them anew wherever it pushes a filter down to the scan.
+    """
+    e, kind = F.col("event_id"), F.col("event_type")
+    k, m = (e * 7 + F.col("user_id")) % 100, e % CYCLE
     start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
     took = F.floor(F.col("value") * 1_000_000)
-    kind, e = F.col("event_type"), F.col("event_id")
-    code = F.when(k % 10 == 0, 404).when(k % 10 == 1, 503).when(k % 10 == 2, 301).otherwise(200)
-    db = (kind == "purchase") | (kind == "signup") | (kind == "error")
-    flags = (
-        F.when(kind == "error", S.ERROR).otherwise(0)
-        + F.when(db & (e % 13 == 0), S.ABORTED).otherwise(0)
-        + F.when(db & (e % 3 == 0), S.PIPELINED).otherwise(0)
-        + F.when(db & (e % 17 == 0), S.NO_TEXT).otherwise(0)
-        + F.when(db & (e % 19 == 0), S.TEXT_TRUNC).otherwise(0)
-        + F.when((kind == "view") & (code >= 500), S.ERROR).when((kind == "view") & (code >= 400), S.CLIENT_ERR).otherwise(0)
-        + F.when((kind == "view") & (e % 23 == 0), S.BODY_UNSEEN).otherwise(0)
-        + F.when((kind == "view") & (e % 5 == 0), S.EXPECT_CONT).otherwise(0)
-        + F.when((kind == "click") & (k % 7 == 0), S.QUEUED).otherwise(0)
-        + F.when((kind == "click") & (k % 7 == 1), S.BLOCKING).otherwise(0)
-        + F.when((kind == "click") & (k % 11 == 0), S.ERROR).otherwise(0)
-    )
-    proto = F.when(kind == "view", "http").when(kind == "click", "redis").when(kind == "signup", "mysql").otherwise("pg")
+    number = F.array_position(F.array(*map(F.lit, TYPES)), kind) - 1
+    db = number >= 2
+    route = F.concat(F.lit("/api/v1/view/"), k.cast("string"))
     return table(spark, sf_dir, "events").select(
         e.alias("seq"),
         F.col("user_id").alias("conn"),
-        proto.alias("proto"),
-        F.when(kind == "view", "request").when(kind == "click", "command").when(e % 29 == 0, "cancel").when(e % 2 == 0, "simple").otherwise("extended").alias("kind"),
-        flags.cast("int").alias("flags"),
+        pick(PROTOS, number).alias("proto"),
+        F.when(kind == "view", "request").when(kind == "click", "command").when(m == 29, "cancel").when(e % 2 == 0, "simple").otherwise("extended").alias("kind"),
+        pick(FLAGS, number * CYCLE + m).alias("flags"),
         F.concat(F.lit("db"), (F.col("user_id") % 7).cast("string")).alias("db"),
         F.concat(F.lit("u"), (F.col("user_id") % 11).cast("string")).alias("user"),
         start.alias("ts_start_ns"),
@@ -47,15 +67,15 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 4 != 0, start + F.floor(took / 2)).alias("ts_first_row_ns"),
         (start + took).alias("ts_complete_ns"),
         (start + took + F.when(e % 6 == 0, 0).otherwise(5000)).alias("ts_ready_ns"),
-        F.when(e % 31 != 0, F.concat(F.lit("SELECT * FROM t"), (k % 10).cast("string"), F.lit(" WHERE id = "), e.cast("string"))).alias("text"),
-        F.when(kind == "view", F.element_at(F.array(F.lit("GET"), F.lit("PUT"), F.lit("POST")), (k % 3 + 1).cast("int"))).alias("op"),
-        F.when(~db, F.when(kind == "click", F.concat(F.lit("CMD"), (k % 20).cast("string"))).otherwise(F.concat(F.lit("/api/v1/"), kind, F.lit("/"), k.cast("string")))).alias("route"),
+        F.when(m != 21, F.concat(F.lit("SELECT * FROM t"), (k % 10).cast("string"), F.lit(" WHERE id = "), e.cast("string"))).alias("text"),
+        F.when(kind == "view", pick(("GET", "PUT", "POST"), k % 3)).alias("op"),
+        F.when(kind == "view", route).when(kind == "click", F.concat(F.lit("CMD"), (k % 20).cast("string"))).alias("route"),
         k.alias("rows"),
         F.floor(F.col("value") * 100).alias("bytes_in"),
         F.floor(F.col("value") * 1000).alias("bytes_out"),
-        F.when(kind == "error", F.element_at(F.array(F.lit("23505"), F.lit("40001"), F.lit("57014")), (k % 3 + 1).cast("int"))).alias("sqlstate"),
-        F.when(kind == "view", code).alias("err_code"),
-        F.when((kind == "click") & (k % 11 == 0), F.element_at(F.array(F.lit("ERR"), F.lit("WRONGTYPE"), F.lit("MOVED")), (e % 3 + 1).cast("int"))).alias("err_name"),
+        F.when(kind == "error", pick(("23505", "40001", "57014"), k % 3)).alias("sqlstate"),
+        F.when(kind == "view", pick(CODES, m % 10)).alias("err_code"),
+        F.when((kind == "click") & (m % 11 == 0), pick(("ERR", "WRONGTYPE", "MOVED"), e % 3)).alias("err_name"),
         F.when(kind == "click", k % 16 + 1).alias("depth"),
         k.alias("k"),
         F.lit(None).cast("long").alias("obj_bytes"),
@@ -63,36 +83,28 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same table for DuckDB, in front of every oracle query that reads observations.
-OBS_SQL = """obs0 AS (
-    SELECT *, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, epoch_us(ts) * 1000 AS st,
-        CAST(floor(value * 1000000) AS BIGINT) AS took, event_type IN ('purchase', 'signup', 'error') AS isdb
+OBS_SQL = f"""obs0 AS (
+    SELECT *, (event_id * 7 + user_id) % 100 AS k, event_id % {CYCLE} AS m, epoch_us(ts) * 1000 AS st, CAST(floor(value * 1000000) AS BIGINT) AS took,
+        list_position({list(TYPES)}, event_type) - 1 AS num, event_type IN ('purchase', 'signup', 'error') AS isdb
     FROM events
-), obs1 AS (
-    SELECT *, CASE WHEN k % 10 = 0 THEN 404 WHEN k % 10 = 1 THEN 503 WHEN k % 10 = 2 THEN 301 ELSE 200 END AS code FROM obs0
 ), obs AS (
-    SELECT event_id AS seq, user_id AS conn,
-        CASE event_type WHEN 'view' THEN 'http' WHEN 'click' THEN 'redis' WHEN 'signup' THEN 'mysql' ELSE 'pg' END AS proto,
+    SELECT event_id AS seq, user_id AS conn, ({list(PROTOS)})[num + 1] AS proto,
         CASE WHEN event_type = 'view' THEN 'request' WHEN event_type = 'click' THEN 'command'
-            WHEN event_id % 29 = 0 THEN 'cancel' WHEN event_id % 2 = 0 THEN 'simple' ELSE 'extended' END AS kind,
-        CAST((event_type = 'error')::INT * 1 + (isdb AND event_id % 13 = 0)::INT * 64 + (isdb AND event_id % 3 = 0)::INT * 128
-            + (isdb AND event_id % 17 = 0)::INT * 4 + (isdb AND event_id % 19 = 0)::INT * 2
-            + CASE WHEN event_type = 'view' AND code >= 500 THEN 1 WHEN event_type = 'view' AND code >= 400 THEN 256 ELSE 0 END
-            + (event_type = 'view' AND event_id % 23 = 0)::INT * 512 + (event_type = 'view' AND event_id % 5 = 0)::INT * 1024
-            + (event_type = 'click' AND k % 7 = 0)::INT * 4096 + (event_type = 'click' AND k % 7 = 1)::INT * 8192
-            + (event_type = 'click' AND k % 11 = 0)::INT * 1 AS INTEGER) AS flags,
+            WHEN m = 29 THEN 'cancel' WHEN event_id % 2 = 0 THEN 'simple' ELSE 'extended' END AS kind,
+        ({FLAGS})[num * {CYCLE} + m + 1] AS flags,
         'db' || (user_id % 7) AS db, 'u' || (user_id % 11) AS "user", st AS ts_start_ns,
         CASE WHEN event_type = 'view' THEN st + took // 4 END AS ts_req_done_ns,
         CASE WHEN event_id % 4 <> 0 THEN st + took // 2 END AS ts_first_row_ns,
         st + took AS ts_complete_ns, st + took + CASE WHEN event_id % 6 = 0 THEN 0 ELSE 5000 END AS ts_ready_ns,
-        CASE WHEN event_id % 31 <> 0 THEN 'SELECT * FROM t' || (k % 10) || ' WHERE id = ' || event_id END AS text,
-        CASE WHEN event_type = 'view' THEN ['GET', 'PUT', 'POST'][k % 3 + 1] END AS op,
-        CASE WHEN event_type = 'click' THEN 'CMD' || (k % 20) WHEN NOT isdb THEN '/api/v1/' || event_type || '/' || k END AS route,
+        CASE WHEN m <> 21 THEN 'SELECT * FROM t' || (k % 10) || ' WHERE id = ' || event_id END AS text,
+        CASE WHEN event_type = 'view' THEN (['GET', 'PUT', 'POST'])[k % 3 + 1] END AS op,
+        CASE WHEN event_type = 'view' THEN '/api/v1/view/' || k WHEN event_type = 'click' THEN 'CMD' || (k % 20) END AS route,
         k AS rows, CAST(floor(value * 100) AS BIGINT) AS bytes_in, CAST(floor(value * 1000) AS BIGINT) AS bytes_out,
-        CASE WHEN event_type = 'error' THEN ['23505', '40001', '57014'][k % 3 + 1] END AS sqlstate,
-        CASE WHEN event_type = 'view' THEN code END AS err_code,
-        CASE WHEN event_type = 'click' AND k % 11 = 0 THEN ['ERR', 'WRONGTYPE', 'MOVED'][event_id % 3 + 1] END AS err_name,
+        CASE WHEN event_type = 'error' THEN (['23505', '40001', '57014'])[k % 3 + 1] END AS sqlstate,
+        CASE WHEN event_type = 'view' THEN ({list(CODES)})[m % 10 + 1] END AS err_code,
+        CASE WHEN event_type = 'click' AND m % 11 = 0 THEN (['ERR', 'WRONGTYPE', 'MOVED'])[event_id % 3 + 1] END AS err_name,
         CASE WHEN event_type = 'click' THEN k % 16 + 1 END AS depth, k, NULL::BIGINT AS obj_bytes
-    FROM obs1
+    FROM obs0
 ), red AS (
     SELECT *,
         CASE WHEN proto = 'http' THEN CASE WHEN err_code BETWEEN 100 AND 599 THEN (err_code // 100) || 'xx' ELSE 'other' END

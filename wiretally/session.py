@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,3 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="wiretally-"))
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to Python workers that couldn't import it: those of a session started elsewhere without it on
+    their path. Done once for an application."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    sc = spark.sparkContext
+    if root in map(os.path.abspath, filter(None, seen)) or sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    folder = tempfile.mkdtemp(prefix="wiretally-")
+    sc.addPyFile(shutil.make_archive(f"{folder}/wiretally", "zip", root, "wiretally"))
+
+
+_shipped: set[str] = set()
