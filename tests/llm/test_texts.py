@@ -16,14 +16,14 @@ def brute_anchors(data):
     import numpy as np
 
     def inner(i):
-        x = np.array([int.from_bytes(data[i : i + 8], "little")], np.uint64)
+        x = np.array([int.from_bytes(data[i : i + syncmers.S], "little")], np.uint64)
         x *= syncmers.MULTIPLIERS[0]
         x ^= x >> np.uint64(32)
         x *= syncmers.MULTIPLIERS[1]
         x ^= x >> np.uint64(32)
         return int(x[0])
 
-    hashes = [inner(i) for i in range(len(data) - 7)]
+    hashes = [inner(i) for i in range(len(data) - syncmers.S + 1)]
     w = syncmers.K - syncmers.S + 1
     return [i for i in range(len(data) - syncmers.K + 1) if min(hashes[i : i + w]) in (hashes[i], hashes[i + w - 1])]
 

@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from wiretally.llm.common import BATCH_BYTES, blocks_for, cut, in_global_order, row_tie, shuffle_partitions, small_batches, text_or_empty, to_batch
 
-K, S = 24, 8
+#: Small enough that a line of text holds anchors; S bytes are one 64-bit word at most.
+K, S = 16, 6
 #: Bytes of an anchor's hash in a fingerprint; three make four characters of base64.
 HASH_BYTES = 3
 #: Text that a partition holds at most, roughly.
 PARTITION_BYTES = 128 << 20
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-HALF = np.uint64(32)
+HALF, MASK = np.uint64(32), np.uint64((1 << 8 * S) - 1)
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -38,9 +39,11 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if n >= K:
         m = n - S + 1
         inner = np.empty(m, np.uint64)
-        for r in range(S):
-            part = np.frombuffer(data, "<u8", (n - r) // 8, r)
-            inner[r::8] = part[: len(inner[r::8])]
+        padded = data + bytes(8)
+        for r in range(8):
+            part = inner[r::8]
+            part[:] = np.frombuffer(padded, "<u8", (n + 8 - r) // 8, r)[: len(part)]
+        inner &= MASK
         inner *= MULTIPLIERS[0]
         inner ^= inner >> HALF
         inner *= MULTIPLIERS[1]
@@ -54,7 +57,8 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             least = np.minimum(least[: m - w + 1], least[w - width :])
         at = np.flatnonzero((least == inner[: m - w + 1]) | (least == inner[w - 1 :]))
         if len(at):
-            h = inner[at] * MULTIPLIERS[1] + inner[at + 8] * MULTIPLIERS[2] + inner[at + 16] * MULTIPLIERS[3]
+            # The inner substrings at these places cover the whole window.
+            h = inner[at] * MULTIPLIERS[1] + inner[at + S] * MULTIPLIERS[2] + inner[at + K - S] * MULTIPLIERS[3]
             h ^= h >> HALF
             h *= MULTIPLIERS[0]
             if len(at) > 1:
