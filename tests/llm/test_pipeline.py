@@ -46,3 +46,17 @@ def test_matches_sql(spark, sf, name):
     names = [d[0] for d in res.description]
     want = sorted(tuple(r[names.index(c)] for c in columns) for r in res.fetchall())
     assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == want
+
+
+def test_odd_documents(spark, make, tmp_path):
+    """Null and blank texts, null ids, repeated rows and a very long text go through all stages; so does an empty table."""
+    from odd import ODD
+
+    spark.createDataFrame([(4, 1, 0), (5, 1, 0), (6, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, rows in (("odd", ODD), ("empty", [])):
+        docs = make(rows)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = str(tmp_path / f"{name}{k}")
+            stage(spark, docs, str(tmp_path)).write.parquet(out)
+            docs = spark.read.parquet(out)
+        assert (docs.count() > 0) == bool(rows)

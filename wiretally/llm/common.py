@@ -1,19 +1,24 @@
-"""Helpers shared by the corpus operators: lineage cuts, global order without one big task, Arrow batches."""
+"""Helpers shared by the corpus operators: null texts, ties and Arrow batches; lineage cuts and global order come from the library."""
 
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wiretally.operators.order import in_global_order
+from wiretally.session import cut
+
+__all__ = [
+    "BATCH_BYTES", "blocks_for", "bytes_of", "cut", "in_global_order", "map_rows", "row_tie", "shuffle_partitions", "small_batches", "text_or_empty",
+    "texts_of", "to_batch",
+]
+
 #: Output batches of Arrow functions are cut at about this many bytes.
 BATCH_BYTES = 8 << 20
-#: Bits of monotonically_increasing_id() below the partition number (Spark's documented layout).
-MID_BITS = 33
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -29,33 +34,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the folder of spark.checkpoint.dir and go on from there; survives lost executors."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="wiretally-ckpt-"))
-    return df.checkpoint()
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def in_global_order(df: DataFrame, *keys: Column) -> DataFrame:
-    """df range-partitioned and sorted by keys, with _pid and _idx (place within the partition), materialised.
-
-    (_pid, _idx) ascends with the keys, so a row's global rank is its _idx plus the number of rows
-    of earlier partitions; no task ever sees more than its range. Add a tie-breaking last key where
-    many rows may agree on all others.
-    """
-    mid = F.monotonically_increasing_id()
-    out = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_mid", mid))
-    return out.withColumns(
-        {"_pid": F.shiftrightunsigned("_mid", MID_BITS), "_idx": F.col("_mid").bitwiseAND(F.lit((1 << MID_BITS) - 1))}
-    ).drop("_mid")
-
-
 def row_tie() -> Column:
     """A spread-out value per row, fixed for a given scan; only ever used between rows that agree in all else."""
     return F.xxhash64(F.monotonically_increasing_id())
