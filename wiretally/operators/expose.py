@@ -182,6 +182,38 @@ def encode_counters(rows: DataFrame, now: int, start: int) -> DataFrame:
     return flat.groupBy("name").applyInPandas(run, "name string, message binary")
 
 
+def encode_latency(cells: DataFrame, name: str, now: int, start: int, *labels: str) -> DataFrame:
+    """One exponential-histogram metric of latency cells: labels of a series and its message."""
+    import pandas as pd
+
+    per = cells.groupBy(*labels).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("cells"), F.sum("sum").alias("total"))
+
+    def run(frames):
+        for f in frames:
+            points = [
+                exponential_point({k: r[k] for k in labels}, dict(r["cells"]), float(r["total"]), now, start) for r in f.to_dict("records")
+            ]
+            yield pd.DataFrame({**{k: f[k] for k in labels}, "message": [metric(name, "", "exponential", p) for p in points]})
+
+    return per.mapInPandas(run, ", ".join(f"{k} string" for k in labels) + ", message binary")
+
+
+def encode_sizes(cells: DataFrame, name: str, grid: str, now: int, start: int, *labels: str) -> DataFrame:
+    """As encode_latency, for size cells of a grid: explicit bounds."""
+    import pandas as pd
+
+    per = cells.groupBy(*labels).agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("cells"), F.sum("sum").alias("total"))
+
+    def run(frames):
+        for f in frames:
+            points = [
+                size_point({k: r[k] for k in labels}, dict(r["cells"]), float(r["total"]), grid, now, start) for r in f.to_dict("records")
+            ]
+            yield pd.DataFrame({**{k: f[k] for k in labels}, "message": [metric(name, "", "histogram", p) for p in points]})
+
+    return per.mapInPandas(run, ", ".join(f"{k} string" for k in labels) + ", message binary")
+
+
 def encode_spans(spans: DataFrame) -> DataFrame:
     """Spans with their message and as JSON."""
 

@@ -75,3 +75,40 @@ def postgres_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = F.lit("Z\0\0\0\x05I")
     reply = F.when(first, F.concat(F.lit("R\0\0\0\x08\0\0\0\0"), ready)).otherwise(F.concat(F.when(k == "error", failed).otherwise(done), ready))
     return exchange(spark, sf_dir, request, reply)
+
+
+def raw(*parts: bytes | Column) -> Column:
+    """Bytes and columns, one after the other."""
+    return F.concat(*(F.lit(bytearray(p)) if isinstance(p, bytes) else p.cast("binary") for p in parts))
+
+
+def byte(n: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(n), 2, "0"))
+
+
+def packet(number: int, body: Column) -> Column:
+    """A MySQL packet of less than 256 bytes."""
+    return raw(byte(F.octet_length(body)), b"\0\0" + bytes([number]), body)
+
+
+def mysql_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements with affected rows or errors; connections are taken up in the middle, so their labels are unknown."""
+    k, e = F.col("event_type"), F.col("event_id")
+    text = F.concat(F.lit("UPDATE t"), (e % 5).cast("string"), F.lit(" SET a = "), e.cast("string"))
+    request = packet(0, raw(b"\x03", text))
+    done = packet(1, raw(b"\0", byte(e % 200), b"\0\x02\0\0\0"))
+    failed = packet(1, raw(b"\xff\x28\x04#42000", F.lit("bad")))
+    return exchange(spark, sf_dir, request, F.when(k == "error", failed).otherwise(done)).where("type <> 1")
+
+
+def s3_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Object reads and writes of buckets, some of them failing with an error body."""
+    k, e = F.col("event_type"), F.col("event_id")
+    put = k == "purchase"
+    size = e % 40
+    verb = F.when(put, "PUT").when(k == "signup", "DELETE").otherwise("GET")
+    head = F.concat(verb, F.lit(" /bucket"), (e % 3).cast("string"), F.lit("/dir/"), e.cast("string"), F.lit(" HTTP/1.1\r\nHost: store\r\nAuthorization: AWS4-HMAC-SHA256 Credential=AK"), (F.col("user_id") % 5).cast("string"), F.lit("/20240101/r/s3/aws4_request, SignedHeaders=host\r\n"))
+    request = F.concat(head, F.when(put, F.concat(F.lit("Content-Length: "), size.cast("string"), F.lit("\r\n\r\n"), F.repeat(F.lit("x"), size.cast("int")))).otherwise("\r\n"))
+    body = F.when(k == "error", "<Error><Code>NoSuchKey</Code></Error>").when(put | (k == "signup"), "").otherwise(F.repeat(F.lit("y"), size.cast("int")))
+    reply = F.concat(F.lit("HTTP/1.1 "), F.when(k == "error", "404 N").otherwise("200 OK"), F.lit("\r\nContent-Length: "), F.length(body).cast("string"), F.lit("\r\n\r\n"), body)
+    return exchange(spark, sf_dir, request, reply)

@@ -1118,3 +1118,42 @@ def panel_overview_errors_by_state(spark, sf):
 def panel_http_top_hosts(spark, sf):
     per = rounded(panels.total(scraped(spark, sf), "requests_total", "db", window_s=PANEL_S), "value")
     return panels.top(per, 5, "value", "db")
+
+
+# --- more parsers ----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT user_id AS conn, 'UPDATE t' || (event_id % 5) || ' SET a = ' || event_id AS text, CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 200 END AS rows,
+    CASE WHEN event_type = 'error' THEN '42000' END AS sqlstate, CASE WHEN event_type = 'error' THEN 1064 END AS err_code, (event_type = 'error')::INT AS flags FROM events""")
+def str14_mysql_units(spark, sf):
+    """MySQL statements of connections that are taken up in the middle."""
+    o = observe.observations(observe.parse(wire.mysql_events(spark, sf), default="mysql"))
+    return o.select("conn", "text", "rows", "sqlstate", "err_code", "flags")
+
+
+@query("""SELECT user_id AS conn, CASE event_type WHEN 'purchase' THEN 'PutObject' WHEN 'signup' THEN 'DeleteObject' ELSE 'GetObject' END AS op, 'bucket' || (event_id % 3) AS db,
+    'AK' || (user_id % 5) AS "user", CASE WHEN event_type = 'error' THEN 'NoSuchKey' END AS err_name,
+    CASE event_type WHEN 'error' THEN 37 WHEN 'signup' THEN 0 ELSE event_id % 40 END AS size FROM events""")
+def str18_s3_units(spark, sf):
+    o = observe.observations(observe.parse(wire.s3_events(spark, sf), default="s3"))
+    return o.select("conn", F.col("route").alias("op"), "db", "user", "err_name", F.col("obj_bytes").alias("size"))
+
+
+@query()
+def snk3_otlp_histograms(spark, sf):
+    cells = hist.latency_cells(red(spark, sf), "dur_s", "db", "proto")
+    return expose.encode_latency(cells, f"{S.PREFIX}_duration_seconds", 2_000_000_000, 1_000_000_000, "db", "proto")
+
+
+@query()
+def snk7_recorded_bytes(spark, sf):
+    return lkt1.record(wire.redis_events(spark, sf))
+
+
+@query(f"""{OBS} SELECT * FROM (SELECT proto, date_trunc('hour', make_timestamp(ts_complete_ns // 1000)) AS w, count(*) AS n FROM obs GROUP BY ALL) ORDER BY n DESC, w, proto LIMIT 20""")
+def win1_tumbling_counts(spark, sf):
+    """Event-time windows; the streaming form adds a watermark."""
+    o = A.observations(spark, sf).withColumn("at", F.timestamp_micros(F.floor(F.col("ts_complete_ns") / 1000)))
+    g = o.groupBy("proto", F.window("at", "1 hour").alias("win")).agg(F.count("*").alias("n"))
+    out = g.select("proto", F.col("win.start").cast("timestamp_ntz").alias("w"), "n")
+    return out.orderBy(F.desc("n"), "w", "proto").limit(20)
