@@ -1,16 +1,21 @@
 """A corpus pipeline of the operators in wiretally.llm: quality, near duplicates, secrets, mixing, BPE.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
-return the columns of documents; docs are read from Parquet between stages.
+return the columns of documents; docs are read from Parquet between stages. Null and blank texts, null and repeated ids,
+repeated rows, further columns and empty tables go through every stage with the results that its operator defines; further
+columns are dropped by the first.
 """
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretally.llm import bpe, mixing, neardup, quality, secrets
 from wiretally.llm.queries import tokenizer_path
+from wiretally.session import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Every stage but the last is written to the shared folder and read again, as stages read
+    their documents more than once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
