@@ -13,7 +13,7 @@ def brute_walk(places, nodes, capacity):
     places = sorted(places)
     waiting = collections.defaultdict(list)
     for r, p in enumerate(places):
-        j = next((j for j, (q, _) in enumerate(nodes) if p <= q), 0 if True else 0)
+        j = next((j for j, (q, _) in enumerate(nodes) if p <= q), 0)
         waiting[j].append(r)
     # Rows past the last node come to the first one after those of its own arc.
     own = [r for r in waiting[0] if places[r] <= nodes[0][0]]

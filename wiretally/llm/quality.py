@@ -29,7 +29,7 @@ FEATURES = (
     "symbol", "bang", "bar", "distinct_words", "top_word", "stop_ends", "symbol_ends", "log_lines", "line_bytes",
     "distinct_lines", "short_lines", "distinct_pairs", "long_words", "one_byte_words", "links",
 )
-#: Text held as one array while features are counted.
+#: Class of each byte: 0 other, then upper case, digit, space, newline, above ASCII, comma or stop, symbol, mark, bar.
 _CLASS = np.zeros(256, np.int64)
 for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\x0b\x0c\r", b"\n", bytes(range(128, 256)), b",.", b"#$%&*+=<>@^_~\\/{}[]`", b"!?", b"|"), 1):
     _CLASS[list(_chars)] = _i
