@@ -427,9 +427,6 @@ def set3_keyed_union(spark, sf):
     return joins.join_logs(e.where("event_type = 'view'"), e.where("event_type = 'error'"), "user_id")
 
 
-_NORM = "regexp_replace(regexp_replace(lower(text), '[0-9]+', '?', 'g'), '\\s+', ' ', 'g')"
-
-
 @query(f"""{OBS}, l AS (SELECT 'select * from t' || (k % 10) || ' where id = ?' AS label, seq, k FROM obs WHERE text IS NOT NULL AND proto IN ('pg', 'mysql'))
     SELECT label, a.n AS log_n, b.n AS seen_n, CASE WHEN b.n IS NULL THEN 'log-only' WHEN a.n IS NULL THEN 'seen-only' ELSE 'both' END AS side
     FROM (SELECT label, count(*) AS n FROM l WHERE k % 10 < 8 GROUP BY label) a FULL JOIN (SELECT label, count(*) AS n FROM l WHERE k % 10 > 2 GROUP BY label) b USING (label)""")
