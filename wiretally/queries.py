@@ -1013,34 +1013,58 @@ def src12_udp_volume(spark, sf):
 
 @query("SELECT 'wt_x_total' AS name, event_type AS kind, 'a\"b\\' AS odd, CAST(event_id AS DOUBLE) AS value FROM events WHERE event_id < 500")
 def src9_prometheus_text(spark, sf):
+    return _prometheus_text(A.table(spark, sf, "events").where("event_id < 500"))
+
+
+def _prometheus_text(e: DataFrame) -> DataFrame:
     from wiretally.sources import logs
 
-    e = A.table(spark, sf, "events").where("event_id < 500")
     line = F.concat(F.lit('wt_x_total{kind="'), F.col("event_type"), F.lit('",odd="a\\"b\\\\"} '), F.col("event_id").cast("string"))
     out = logs.exposition(e.select(line.alias("value")))
     return out.select("name", F.col("labels")["kind"].alias("kind"), F.col("labels")["odd"].alias("odd"), "value")
 
 
+@query("SELECT 'wt_x_total' AS name, event_type AS kind, 'a\"b\\' AS odd, CAST(event_id AS DOUBLE) AS value FROM events")
+def src9_prometheus_text_all(spark, sf):
+    return _prometheus_text(A.table(spark, sf, "events"))
+
+
 @query("SELECT 'c' || (event_id % 9) AS name, event_id AS calls, user_id AS usec, 0.25 AS usec_per_call FROM events WHERE event_id < 500")
 def src8_command_stats(spark, sf):
+    return _command_stats(A.table(spark, sf, "events").where("event_id < 500"))
+
+
+def _command_stats(e: DataFrame) -> DataFrame:
     from wiretally.sources import logs
 
-    e = A.table(spark, sf, "events").where("event_id < 500")
     line = F.concat(F.lit("cmdstat_c"), (F.col("event_id") % 9).cast("string"), F.lit(":calls="), F.col("event_id").cast("string"), F.lit(",usec="), F.col("user_id").cast("string"), F.lit(",usec_per_call=0.25"))
     return logs.command_stats(e.select(line.alias("value")).union(e.select(F.lit("# other"))))
 
 
+@query("SELECT 'c' || (event_id % 9) AS name, event_id AS calls, user_id AS usec, 0.25 AS usec_per_call FROM events")
+def src8_command_stats_all(spark, sf):
+    return _command_stats(A.table(spark, sf, "events"))
+
+
 @query("""SELECT event_id AS conn, 'GET' AS method, 200 AS status, user_id AS dur_ns, 'shop' AS host, '/x/' || event_id AS target FROM events WHERE event_id < 500""")
 def src7_observation_lines(spark, sf):
+    return _observation_lines(A.table(spark, sf, "events").where("event_id < 500"))
+
+
+def _observation_lines(e: DataFrame) -> DataFrame:
     from wiretally.sources import logs
 
-    e = A.table(spark, sf, "events").where("event_id < 500")
     n = F.col("event_id").cast("string")
     line = F.concat(F.lit("http conn="), n, F.lit(" method=GET status=200 dur="), F.col("user_id").cast("string"), F.lit("ns ttfb=1ns upload=0ns in=0 out=13 obj=0 host=shop user=- flags=0x0 err=- reqid=r route=/x target=/x/"), n)
     out = logs.obs_lines(e.select(line.alias("value")))
     return out.select(F.col("conn").cast("long").alias("conn"), "method", "status", "dur_ns", "host", "target")
 
 
+@query("SELECT event_id AS conn, 'GET' AS method, 200 AS status, user_id AS dur_ns, 'shop' AS host, '/x/' || event_id AS target FROM events")
+def src7_observation_lines_all(spark, sf):
+    return _observation_lines(A.table(spark, sf, "events"))
+
+
 # --- the observed workload's own statements --------------------------------------------------------------------------
 
 
