@@ -1,11 +1,31 @@
 """Queries over whole tables: they take every row, also where an older query of the same operator is cut."""
 
+import duckdb
 import pytest
 
-from wiretally.queries import QUERIES
+from wiretally.queries import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", ["src7_observation_lines", "src8_command_stats", "src9_prometheus_text"])
 def test_lines_of_all_events(spark, sf, name):
     n = spark.read.parquet(f"{sf}/events.parquet").count()
     assert QUERIES[f"{name}_all"](spark, sf).count() == n > QUERIES[name](spark, sf).count()
+
+
+def test_sets_and_pairs_of_all_events(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    assert QUERIES["set2_set_changes_all"](spark, sf).groupBy("change").count().count() == 2
+    seen = QUERIES["set3_keyed_union_all"](spark, sf).groupBy().sum("log_n", "seen_n").first()
+    assert tuple(seen) == (e.where("event_type = 'view'").count(), e.where("event_type = 'error'").count())
+    n = e.groupBy("user_id").agg({"*": "count"}).count()
+    assert QUERIES["set3_keyed_union_all"](spark, sf).count() == n
+
+
+def test_pairs_of_all_events(spark):
+    """At a size at which some users have as many events of one type as of the other."""
+    sf = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = db.execute(f"SELECT user_id, k, left_at, right_at FROM ({ORACLE_SQL['join4_kth_to_kth_all']})").fetchall()
+    got = QUERIES["join4_kth_to_kth_all"](spark, sf).select("user_id", "k", "left_at", "right_at").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want

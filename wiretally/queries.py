@@ -419,6 +419,17 @@ def set2_set_changes(spark, sf):
     return ordering.set_changes(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_id")
 
 
+@query("""WITH e AS (SELECT user_id || '/' || CAST(ts AS DATE) AS user_day, event_type FROM events),
+    a AS (SELECT DISTINCT user_day FROM e WHERE event_type = 'view'), b AS (SELECT DISTINCT user_day FROM e WHERE event_type = 'click')
+    SELECT user_day, 'add' AS change FROM b WHERE user_day NOT IN (SELECT user_day FROM a)
+    UNION ALL SELECT user_day, 'del' FROM a WHERE user_day NOT IN (SELECT user_day FROM b)""")
+def set2_set_changes_all(spark, sf):
+    """Days of users: over whole tables nearly every user has events of all types."""
+    day = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("ts").cast("date").cast("string"))
+    e = A.table(spark, sf, "events").select(day.alias("user_day"), "event_type")
+    return ordering.set_changes(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_day")
+
+
 @query("""SELECT user_id, a.n AS log_n, b.n AS seen_n, CASE WHEN b.n IS NULL THEN 'log-only' WHEN a.n IS NULL THEN 'seen-only' ELSE 'both' END AS side
     FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' AND value > 400 GROUP BY 1) a
     FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND value > 400 GROUP BY 1) b USING (user_id)""")
@@ -427,6 +438,14 @@ def set3_keyed_union(spark, sf):
     return joins.join_logs(e.where("event_type = 'view'"), e.where("event_type = 'error'"), "user_id")
 
 
+@query("""SELECT user_id, a.n AS log_n, b.n AS seen_n, CASE WHEN b.n IS NULL THEN 'log-only' WHEN a.n IS NULL THEN 'seen-only' ELSE 'both' END AS side
+    FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) a
+    FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) b USING (user_id)""")
+def set3_keyed_union_all(spark, sf):
+    e = A.table(spark, sf, "events")
+    return joins.join_logs(e.where("event_type = 'view'"), e.where("event_type = 'error'"), "user_id")
+
+
 @query(f"""{OBS}, l AS (SELECT 'select * from t' || (k % 10) || ' where id = ?' AS label, seq, k FROM obs WHERE text IS NOT NULL AND proto IN ('pg', 'mysql'))
     SELECT label, a.n AS log_n, b.n AS seen_n, CASE WHEN b.n IS NULL THEN 'log-only' WHEN a.n IS NULL THEN 'seen-only' ELSE 'both' END AS side
     FROM (SELECT label, count(*) AS n FROM l WHERE k % 10 < 8 GROUP BY label) a FULL JOIN (SELECT label, count(*) AS n FROM l WHERE k % 10 > 2 GROUP BY label) b USING (label)""")
@@ -463,6 +482,15 @@ def join4_kth_to_kth(spark, sf):
     return joins.pair_kth(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_id", "event_id")
 
 
+@query("""WITH a AS (SELECT user_id, event_id FROM events WHERE event_type = 'view'), b AS (SELECT user_id, event_id FROM events WHERE event_type = 'click'),
+    eq AS (SELECT user_id FROM (SELECT user_id, count(*) AS n FROM a GROUP BY 1) JOIN (SELECT user_id, count(*) AS n FROM b GROUP BY 1) USING (user_id, n)),
+    ra AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM a), rb AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM b)
+    SELECT user_id, k, ra.event_id AS left_at, rb.event_id AS right_at FROM ra JOIN rb USING (user_id, k) JOIN eq USING (user_id)""")
+def join4_kth_to_kth_all(spark, sf):
+    e = A.table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    return joins.pair_kth(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_id", "event_id")
+
+
 @query("""WITH l AS (SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'execute' WHEN 'error' THEN 'error' ELSE 'parse' END AS phase, value AS dur_s FROM events),
     g AS (SELECT *, coalesce(sum(CASE WHEN phase IN ('execute', 'error') THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM l)
     SELECT session, max(seq) AS seq, round(sum(dur_s), 6) AS total_s FROM g GROUP BY session, g HAVING arg_max(phase, seq) = 'execute'""")
