@@ -29,3 +29,11 @@ def test_pairs_of_all_events(spark):
     want = db.execute(f"SELECT user_id, k, left_at, right_at FROM ({ORACLE_SQL['join4_kth_to_kth_all']})").fetchall()
     got = QUERIES["join4_kth_to_kth_all"](spark, sf).select("user_id", "k", "left_at", "right_at").collect()
     assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+def test_given_route_of_whole_texts(spark, sf):
+    """Every document has a row, and the clip at 255 bytes is reached, also inside a character."""
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    routes = [r["route"] for r in QUERIES["fn4_given_route_all"](spark, sf).collect()]
+    sizes = [len(r.encode()) for r in routes if r is not None]
+    assert len(routes) == n and max(sizes) == 255 and 254 in sizes

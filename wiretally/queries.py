@@ -804,6 +804,15 @@ def fn4_given_route(spark, sf):
     return d.select("doc_id", route.given(F.substring("text", 1, 60)).alias("route"))
 
 
+@query("""
+    WITH c AS (SELECT doc_id, regexp_replace(text, '[\\x00-\\x1f\\x7f]', '', 'g') AS t FROM documents),
+    n AS (SELECT doc_id, t, (SELECT max(i) FROM range(0, 256) r(i) WHERE strlen(substring(t, 1, CAST(i AS INTEGER))) <= 255) AS i FROM c)
+    SELECT doc_id, substring(t, 1, CAST(i AS INTEGER)) AS route FROM n
+""")
+def fn4_given_route_all(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", route.given(F.col("text")).alias("route"))
+
+
 @query("""SELECT event_id, '/p/token/7?page=' || event_id || CASE WHEN event_type = 'view' THEN '&' ELSE ';' END || 'X-Amz-Signature=***&api_key=***#x' AS url FROM events""")
 def fn5_url_redact(spark, sf):
     sep = F.when(F.col("event_type") == "view", "&").otherwise(";")
