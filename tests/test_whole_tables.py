@@ -37,3 +37,9 @@ def test_given_route_of_whole_texts(spark, sf):
     routes = [r["route"] for r in QUERIES["fn4_given_route_all"](spark, sf).collect()]
     sizes = [len(r.encode()) for r in routes if r is not None]
     assert len(routes) == n and max(sizes) == 255 and 254 in sizes
+
+
+@pytest.mark.parametrize("name", ["srt1_exposition_order", "srt3_scalar_order", "win1_tumbling_counts"])
+def test_places_of_all_groups(spark, sf, name):
+    places = sorted(r["place"] for r in QUERIES[f"{name}_all"](spark, sf).collect())
+    assert places == list(range(1, len(places) + 1)) and len(places) > QUERIES[name](spark, sf).count()

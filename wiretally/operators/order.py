@@ -22,6 +22,15 @@ def in_global_order(df: DataFrame, *keys: Column) -> DataFrame:
     return out.withColumns({"_pid": F.shiftrightunsigned("_mid", LOCAL_BITS), "_idx": local}).drop("_mid")
 
 
+def with_place(df: DataFrame, *keys: Column) -> DataFrame:
+    """df with place: every row's rank in the order of keys, from 1. What is broadcast is one row for each partition."""
+    rows = in_global_order(df, *keys)
+    parts = rows.groupBy("_pid").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_pid", before.alias("_before"))
+    return rows.join(F.broadcast(parts), "_pid").withColumn("place", F.col("_before") + F.col("_idx") + 1).drop("_pid", "_idx", "_before")
+
+
 def at_ranks(df: DataFrame, value: str, ranks: dict[str, Column], *keys: str) -> DataFrame:
     """keys and one column for each rank: the value at that place (from 0) of the key's sorted non-null values.
 

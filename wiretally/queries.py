@@ -369,6 +369,13 @@ def srt1_exposition_order(spark, sf):
     return first.withColumn("place", F.row_number().over(Window.orderBy("proto", "slot", "db", "user")))
 
 
+@query(f"""{RED}, c AS (SELECT proto, slot, db, "user", count(*) AS value FROM slots GROUP BY ALL)
+    SELECT *, row_number() OVER (ORDER BY proto NULLS FIRST, slot NULLS FIRST, db NULLS FIRST, "user" NULLS FIRST) AS place FROM c""")
+def srt1_exposition_order_all(spark, sf):
+    c = red(spark, sf).groupBy("proto", "slot", "db", "user").agg(F.count("*").alias("value"))
+    return order.with_place(c, *map(F.col, ("proto", "slot", "db", "user")))
+
+
 @query(f"""{RED}, c AS (SELECT CASE WHEN error IS NULL THEN 'other' ELSE error END AS code, count(*) AS n FROM slots GROUP BY 1)
     SELECT code, n, row_number() OVER (ORDER BY code = 'other', code) AS place FROM c""")
 def srt2_other_last(spark, sf):
@@ -385,6 +392,13 @@ def srt3_scalar_order(spark, sf):
     return ordering.scalar_order(c).limit(5)
 
 
+@query(f"""{OBS}, c AS (SELECT 'total' AS name, proto AS label1, kind AS label2, count(*) AS value FROM obs GROUP BY ALL)
+    SELECT *, row_number() OVER (ORDER BY name NULLS FIRST, label1 NULLS FIRST, label2 NULLS FIRST) AS place FROM c""")
+def srt3_scalar_order_all(spark, sf):
+    c = A.observations(spark, sf).groupBy(F.lit("total").alias("name"), F.col("proto").alias("label1"), F.col("kind").alias("label2")).agg(F.count("*").alias("value"))
+    return order.with_place(c, *map(F.col, ("name", "label1", "label2")))
+
+
 @query(f"""{OBS}, t AS (SELECT ts_start_ns // 86400000000000 AS tick, count(*) AS n FROM obs GROUP BY 1)
     SELECT tick, least(n, 300) AS taken, n - least(n, 300) AS dropped, least(n, 300) * 4 >= 900 AS watermark FROM t""")
 def lim1_bounded_fifo(spark, sf):
@@ -1211,7 +1225,16 @@ def snk7_recorded_bytes(spark, sf):
 @query(f"""{OBS} SELECT * FROM (SELECT proto, date_trunc('hour', make_timestamp(ts_complete_ns // 1000)) AS w, count(*) AS n FROM obs GROUP BY ALL) ORDER BY n DESC, w, proto LIMIT 20""")
 def win1_tumbling_counts(spark, sf):
     """Event-time windows; the streaming form adds a watermark."""
+    return _tumbling_counts(spark, sf).orderBy(F.desc("n"), "w", "proto").limit(20)
+
+
+def _tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
     o = A.observations(spark, sf).withColumn("at", F.timestamp_micros(F.floor(F.col("ts_complete_ns") / 1000)))
     g = o.groupBy("proto", F.window("at", "1 hour").alias("win")).agg(F.count("*").alias("n"))
-    out = g.select("proto", F.col("win.start").cast("timestamp_ntz").alias("w"), "n")
-    return out.orderBy(F.desc("n"), "w", "proto").limit(20)
+    return g.select("proto", F.col("win.start").cast("timestamp_ntz").alias("w"), "n")
+
+
+@query(f"""{OBS}, c AS (SELECT proto, date_trunc('hour', make_timestamp(ts_complete_ns // 1000)) AS w, count(*) AS n FROM obs GROUP BY ALL)
+    SELECT *, row_number() OVER (ORDER BY n DESC, w, proto) AS place FROM c""")
+def win1_tumbling_counts_all(spark, sf):
+    return order.with_place(_tumbling_counts(spark, sf), F.desc("n"), F.col("w"), F.col("proto"))
