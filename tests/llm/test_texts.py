@@ -109,6 +109,34 @@ def test_notices_by_votes(make):
     assert rows[3]["labels"] == "" and rows[3]["score"] < 0.6
 
 
+RELATED = {
+    "Licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+    "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+    "Licensed under a Creative Commons Attribution-Non-Commercial 4.0 International License": "cc-by-nc",
+    "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "",
+    "Licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "",
+    "This work is licensed under the GNU General Public License version 2": "",
+    "This work is licensed under the GNU General Public License version 3": "gpl-3",
+    "This work is licensed under the GNU General Public License v3": "gpl-3",
+    "This work is licensed under the GNU Affero General Public License version 3": "",
+    "Licensed under the Apache License, Version 1.1": "",
+    "Licensed under the Apache License, Version 2.0": "apache-2",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1": "",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0": "mpl-2",
+}
+
+
+def test_related_licenses(make):
+    """Spans are verified: deciding words, distinct places, and the best template where spans overlap."""
+    cases = list(RELATED)
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(make(list(enumerate(cases)))).collect()}
+    assert {c: got[i]["labels"] for i, c in enumerate(cases)} == RELATED
+    one = {"a b c d e": "one"}
+    rows = licenses.scan_licenses(make([(1, "p q r s t u v w x"), (2, "p q r p q r p q r p q r")]), one, {"long": ["p q r s t u v w x"], "short": ["p q r s t u"]}).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == {1: "long", 2: ""}
+    assert {r["doc_id"]: round(r["score"], 6) for r in rows} == {1: 1.0, 2: 0.25}
+
+
 def test_odd_licenses(make):
     rows = licenses.scan_licenses(make([*ODD, (4, "under the mit license"), (9, "under the mit license"), (9, "under the mit license")], **CLASH)).collect()
     assert len(rows) == len(ODD) + 3
