@@ -60,3 +60,13 @@ def test_odd_documents(spark, make, tmp_path):
             stage(spark, docs, str(tmp_path)).write.parquet(out)
             docs = spark.read.parquet(out)
         assert (docs.count() > 0) == bool(rows)
+
+
+def test_near_duplicates_of_repeated_ids(spark, sf, make):
+    """Rows go by their own text: each component keeps one row, whatever else has its id."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(30)) for w in "abcd")
+    near = b.replace("b29", "b99")
+    rows = [(3, a), (5, a), (5, b), (5, c), (9, c), (7, d), (7, d), (7, d), (5, near), (8, ""), (8, ""), (None, a)]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, make(rows), sf).collect()]
+    assert sorted(i or 0 for i, _ in got) == [0, 3, 5, 5, 7, 8, 8]
+    assert (3, a) in got and (5, c) in got and (7, d) in got and ((5, b) in got) != ((5, near) in got)

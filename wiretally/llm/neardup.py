@@ -22,7 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -159,8 +159,8 @@ def sketch_rows(batches):
             digests.append(digest_of(s))
             sketches.append(s[:SKETCH].tobytes())
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
-            names=["doc_id", "n_shingles", "digest", "sketch"],
+            [b.column("doc_id"), b.column("text_hash"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
+            names=["doc_id", "text_hash", "n_shingles", "digest", "sketch"],
         )
 
 
@@ -275,8 +275,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link nothing. Rows that repeat an id are separate nodes unless their sets are equal. Further columns are ignored; an
     empty table gives an empty table.
     """
-    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = cut(texts.mapInArrow(sketch_rows, "doc_id long, n_shingles long, digest binary, sketch binary"))
+    out = rows_in_components(docs, id_col, text_col)
+    out = out.withColumn(
+        "component_id", F.when(F.col("n_shingles") > 0, F.least("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    )
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    return out.select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    )
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """Rows of one id and text are one to the components; their key is the id and a hash of the text."""
+    return [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash")]
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, but one row only of each component: one of smallest id. Rows without an id
+    or without shingles stay."""
+    rows = rows_in_components(docs, id_col, text_col).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    rows = cut(rows.select("comp", F.struct("doc_id", "digest", "text_hash").alias("row")))
+    crowded = cut(rows.groupBy("comp").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first"))
+    others = cut(rows.join(crowded, "comp").groupBy("row", "first").agg(F.count("*").alias("n")))
+    key = ["doc_id", "text_hash"]
+    gone = others.where("row <> first").select(*(F.col(f"row.{k}").alias(f"_{k}") for k in key))
+    same = [F.col(k) == F.col(f"_{k}") for k in key]
+    left = docs.select(*row_key(id_col, text_col), F.struct("*").alias("_row"))
+    kept = left.join(gone, same, "left_anti")
+    # Of repeated rows one stays.
+    again = others.where("row = first AND n > 1").select(*(F.col(f"row.{k}").alias(f"_{k}") for k in key))
+    if again.limit(1).count():
+        once = left.join(again, same, "left_semi").dropDuplicates(key)
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return kept.select("_row.*")
+
+
+def rows_in_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, n_shingles, digest, comp, component_id of every row. comp numbers the components, as two of them
+    may have the same smallest id; it and component_id are null where no row of an id has the row's set."""
+    texts = small_batches(docs).select(*row_key(id_col, text_col), text_or_empty(text_col).alias("text"))
+    rows = cut(texts.mapInArrow(sketch_rows, "doc_id long, text_hash long, n_shingles long, digest binary, sketch binary"))
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = full.groupBy("digest").agg(
         F.min("doc_id").alias("min_id"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch")
@@ -319,15 +357,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = nodes.select("node", "digest", "min_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = cut(ids.select("comp", "digest", "min_id"))
     names = cut(ids.groupBy("comp").agg(F.min("min_id").alias("component_id")))
-    named = ids.join(names, "comp").select("digest", "component_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    out = out.withColumn(
-        "component_id", F.when(F.col("n_shingles") > 0, F.least("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    )
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.select(
-        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
-    )
+    named = ids.join(names, "comp").select("digest", "comp", "component_id")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "digest", "comp", "component_id")
 
 
 def inverted_lists(nodes: DataFrame) -> DataFrame:
