@@ -47,15 +47,11 @@ def test_quantile(spark):
     assert got == {"a": 1.5, "b": 1.0, "c": None}
 
 
-def run_fold(fps, slots):
-    return [r for part in cardinality.fold([(list(range(len(fps))), fps)], slots) for r in part]
-
-
 def test_dictionary_admits_at_the_second_knock():
     d = cardinality.Dictionary(2)
-    assert [d.offer(x) for x in (10, 10, 10, 20, 30, 30)] == [1, 1, 1, 1, 0, 1]
+    assert [d.offer(x) for x in (10, 10, 10, 20, 30, 30)] == [True, True, True, True, False, True]
     assert 10 not in d.held and 30 in d.held
-    assert [d.offer(10), d.offer(10)] == [0, 2] and 20 not in d.held
+    assert [d.offer(10), d.offer(10)] == [False, True] and 20 not in d.held
 
 
 def test_one_shots_dont_displace():
@@ -79,6 +75,29 @@ def test_admit(spark):
     assert all(r["admitted"] for r in cardinality.admit(df, slots=3).collect())
 
 
+def test_admit_against_one_pass(spark):
+    """Random identities in any partitioning, with places that repeat: nothing is added or lost."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, 0, rng.choice((1, 2, 3, 4, 5)) if rng.random() < 0.6 else rng.randrange(100)) for i in range(3000)]
+    epochs, d, now, taken = {}, cardinality.Dictionary(6, 64), {}, []
+    for i, _, fp in rows:
+        was = fp in d.held
+        ok = d.offer(fp, i)
+        if ok and not was:
+            epochs[fp] = epochs.get(fp, 0) + 1
+            now[fp] = epochs[fp]
+        taken.append((i, fp, now[fp] if ok else 0))
+    want = {i for i, fp, e in taken if e and fp in d.held and e == epochs[fp]}
+    df = spark.createDataFrame(rows, "seq long, conn long, fp long")
+    for n in (1, 4, 9):
+        got = cardinality.admit(df.repartition(n), slots=6, doors=64).collect()
+        assert len(got) == len(rows) and {r["seq"] for r in got if r["admitted"]} == want
+    same = df.withColumn("seq", F.lit(1).cast("long"))
+    assert cardinality.admit(same, slots=6).count() == len(rows)
+
+
 def test_dim_cap(spark):
     df = spark.createDataFrame([(1, "a", "u"), (2, "b", "u"), (3, "c", "u"), (4, "a", "u")], "seq long, db string, user string")
     got = {r["seq"]: (r["db"], r["user"]) for r in cardinality.cap_dims(df, 2).collect()}

@@ -501,6 +501,112 @@ def test_redis_overflow_drops_the_newest():
     assert len(w.report.observations) == 256 and w.count("dropped", "overflow") == 44
 
 
+def redis_traffic(rng, n):
+    """Batches of commands and their replies in one or more calls: (way, payload) with a mark in each command and reply."""
+    out, k = [], 0
+    for _ in range(n):
+        batch = rng.choice((1, 1, 1, 2, 4))
+        out.append(("recv", b"".join(resp("GET", "k%d" % (k + i)) for i in range(batch))))
+        replies = [b"$%d\r\nv%d\r\n" % (len(str(k + i)) + 1, k + i) if rng.random() < 0.8 else b"-ERR k%d\r\n" % (k + i) for i in range(batch)]
+        if rng.random() < 0.5:
+            out.append(("send", b"".join(replies)))
+        else:
+            out += [("send", r) for r in replies]
+        k += batch
+    return out
+
+
+def test_redis_pairs_are_right_over_losses():
+    """Whatever is lost on either side, and wherever the stream is taken up: no wrong pair, and none that ends before it starts."""
+    import random
+
+    from wiretally.functions import redis as names
+    from wiretally.streaming import resp as module
+
+    rng, seen, pairs = random.Random(12), 0, []
+    original = module.Redis.finish
+
+    def spy(self, u, kind, words, began, ts):
+        pairs.append((u["key"], words[0].split(b" ")[-1][1:]))
+        original(self, u, kind, words, began, ts)
+
+    effect = names.session_effect
+    module.Redis.finish = spy
+    try:
+        for round_ in range(300):
+            events = redis_traffic(rng, 25)
+            w = Wire("redis", synthetic=round_ % 2 == 1)
+            start = rng.randrange(6) if round_ % 2 else 0
+            for way, payload in events[start:]:
+                if rng.random() < 0.08:
+                    w.lose()
+                    continue
+                before = len(w.table.held[7].handler.units) if 7 in w.table.held else 0
+                getattr(w, way)(payload)
+                if 7 in w.table.held and way == "recv":
+                    units = w.table.held[7].handler.units
+                    marks = [x[1:] for x in payload.split(b"\r\n") if x[:1] == b"k"]
+                    for u, mark in zip(list(units)[len(units) - len(marks):], marks, strict=True) if len(units) >= len(marks) else ():
+                        u["key"] = mark
+            seen += len(w.report.observations)
+            assert all(o["ts_start_ns"] <= o["ts_complete_ns"] for o in w.report.observations)
+    finally:
+        module.Redis.finish = original
+    assert seen > 4000 and effect is names.session_effect
+    assert all(a == b for a, b in pairs)
+
+
+def test_redis_orphan_reply_shifts_nothing():
+    w = Wire("redis", synthetic=True)
+    w.send(b"$4\r\nlate\r\n")
+    for command, reply in ((("GET", "a"), b"-WRONGTYPE no\r\n"), (("SET", "a", "b"), b"+OK\r\n"), (("SELECT", "3"), b"-ERR no\r\n")):
+        w.recv(resp(*command))
+        w.send(reply)
+    assert w.get("route", "err_name", "db") == [("GET", "WRONGTYPE", "?"), ("SET", None, "?"), ("SELECT", "ERR", "?")]
+    assert w.count("orphans") == 1
+
+
+def test_redis_late_reply_after_a_timeout():
+    """A late reply isn't taken for that of the next command; pairs begin anew once as many replies as commands have come."""
+    w = Wire("redis")
+    w.recv(resp("GET", "slow"))
+    w.ts += 31_000_000_000
+    w.recv(resp("SET", "a", "b"))
+    w.send(b"$4\r\nslow\r\n")
+    w.send(b"+OK\r\n")
+    w.recv(resp("DEL", "a"))
+    w.send(b":1\r\n")
+    assert w.get("route") == [("DEL",)] and w.count("dropped", "timeout") == 2 and w.count("orphans") == 2
+    w.recv(resp("GET", "never"))
+    w.ts += 31_000_000_000
+    w.recv(resp("GET", "x"))
+    w.ts += 31_000_000_000
+    w.recv(resp("TTL", "x"))
+    w.send(b":5\r\n")
+    assert w.get("route") == [("DEL",), ("TTL",)]
+
+
+def test_redis_reply_before_the_end_of_its_command():
+    """A command beyond the capture budget is known to end only with the next call; its reply waits for it."""
+    w = Wire("redis")
+    value = resp("SET", "k", "v" * 3000)
+    w.recv(value[:400], total=len(value))
+    w.send(b"+OK\r\n")
+    w.recv(resp("GET", "k"))
+    w.send(b"$1\r\nv\r\n")
+    assert w.get("route") == [("SET",), ("GET",)] and w.count("orphans") == 0
+
+
+def test_places_are_a_total_order():
+    w = Wire("redis")
+    w.recv(resp("GET", "k") * 3)
+    w.send(b"+OK\r\n" * 3)
+    w.recv(resp("GET", "k"))
+    w.send(b"+OK\r\n")
+    got = w.get(*S.ORDER)
+    assert got == sorted(set(got)) and [p for _, _, p in got] == [0, 1, 2, 3] and got[0][0] == got[2][0] < got[3][0]
+
+
 def test_every_cut_of_a_stream_gives_the_same():
     """Framing doesn't depend on where calls are cut."""
     stream = resp("SET", "k", "v" * 100) + resp("CONFIG", "GET", "x")

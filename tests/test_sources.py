@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from wire import Wire, postgres, pg, ready, resp
 
 from wiretally import schema as S
-from wiretally.sources import live, lkt1, logs
+from wiretally.sources import live, logs, recordings
 from wiretally.streaming import observe
 
 
 def recording(rows):
-    return lkt1.join([lkt1.encode(r) for r in rows])
+    return recordings.join([recordings.encode(r) for r in rows])
 
 
 def trace():
@@ -26,28 +26,28 @@ def trace():
 
 def test_record_round_trip():
     rows = trace().rows
-    back = [lkt1.decode(r) for r in lkt1.split(recording(rows))]
+    back = [recordings.decode(r) for r in recordings.split(recording(rows))]
     assert [(r["seq"], r["payload"]) for r in back[1:]] == [(r["seq"], r["payload"]) for r in rows[1:]]
     assert back[0]["decode_status"] == "conn"
 
 
 def test_damaged_records():
-    assert lkt1.decode(b"x")["decode_status"] == "short"
-    head = lkt1.HEADER.pack(1, 2, 3, 9, 0, 0)
-    assert lkt1.decode(head)["decode_status"] == "unknown"
-    assert lkt1.decode(lkt1.HEADER.pack(1, 2, 3, 0, 7, 0) + bytes(16))["decode_status"] == "unknown"
-    cut = lkt1.HEADER.pack(1, 2, 3, 0, 1, 0) + struct.pack("<IIII", 100, 0, 100, 0) + b"abc"
-    assert lkt1.decode(cut)["cap_len"] == 3
+    assert recordings.decode(b"x")["decode_status"] == "short"
+    head = recordings.HEADER.pack(1, 2, 3, 9, 0, 0)
+    assert recordings.decode(head)["decode_status"] == "unknown"
+    assert recordings.decode(recordings.HEADER.pack(1, 2, 3, 0, 7, 0) + bytes(16))["decode_status"] == "unknown"
+    cut = recordings.HEADER.pack(1, 2, 3, 0, 1, 0) + struct.pack("<IIII", 100, 0, 100, 0) + b"abc"
+    assert recordings.decode(cut)["cap_len"] == 3
     with pytest.raises(ValueError):
-        list(lkt1.split(b"nope"))
+        list(recordings.split(b"nope"))
 
 
 def test_read_and_parse_files(spark, tmp_path):
-    (tmp_path / "a.lkt").write_bytes(recording(trace().rows))
-    (tmp_path / "b.lkt").write_bytes(recording(trace().rows)[:-3])
-    rows = lkt1.read(spark, str(tmp_path))
+    (tmp_path / "a.rec").write_bytes(recording(trace().rows))
+    (tmp_path / "b.rec").write_bytes(recording(trace().rows)[:-3])
+    rows = recordings.read(spark, str(tmp_path))
     assert rows.where("decode_status LIKE 'rejected%'").count() == 1
-    good = rows.where("path LIKE '%a.lkt'")
+    good = rows.where("path LIKE '%a.rec'")
     o = observe.observations(observe.parse(good, default="redis"))
     assert o.count() == 5 and {r[0] for r in o.select("route").collect()} == {"GET"}
 

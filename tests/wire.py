@@ -3,7 +3,7 @@
 import struct
 
 from wiretally import schema as S
-from wiretally.sources import lkt1
+from wiretally.sources import recordings
 from wiretally.streaming import core, observe
 
 EMPTY = dict.fromkeys(S.RAW_EVENT.names) | {"conn_id": 7, "type": 0, "dir": 0, "flags": 0, "total_len": 0, "off": 0, "cap_len": 0, "payload": b"", "decode_status": "data"}
@@ -15,7 +15,7 @@ class Wire:
     def __init__(self, proto, synthetic=False):
         self.table, self.report, self.seq, self.ts, self.rows = observe.Table({}, proto), core.Report(), 0, 0, []
         if not synthetic:
-            self.event(type=lkt1.OPEN, decode_status="conn")
+            self.event(type=recordings.OPEN, decode_status="conn")
 
     def event(self, **values):
         self.seq += 1
@@ -28,13 +28,13 @@ class Wire:
         self.event(dir=way, payload=payload, total_len=len(payload) if total is None else total, off=off, cap_len=len(payload), flags=flags)
 
     def recv(self, payload, **k):
-        self.data(lkt1.RECV, payload, **k)
+        self.data(recordings.RECV, payload, **k)
 
     def send(self, payload, **k):
-        self.data(lkt1.SEND, payload, **k)
+        self.data(recordings.SEND, payload, **k)
 
     def close(self):
-        self.event(type=lkt1.CLOSE, decode_status="conn")
+        self.event(type=recordings.CLOSE, decode_status="conn")
 
     def lose(self, n=1):
         self.seq += n

@@ -1,17 +1,17 @@
 """Cardinality control: first-seen caps in set form, and the ordered top-K dictionary with its doorkeeper.
 
-Caps need only the first sequence number of each value, an aggregation. The dictionary depends on order, but only where
-there are more identities than slots: then a narrow (seq, fp) projection goes through one ordered fold, and all
-aggregation after it is parallel again.
+Caps need only the first place of each value in the total order (schema.ORDER), an aggregation. The dictionary depends on
+order, but only where there are more identities than slots: then a narrow projection goes through one ordered fold. What
+comes out of it is one row for each slot, so all aggregation after it is parallel again.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally import schema as S
@@ -21,12 +21,17 @@ SLOTS, DOORS = 500, 2048
 DIM_CAP, DIM_CAP_S3, ERROR_CAP, PROTO_CAP = 32, 128, 64, 8
 
 
-def first_seen(df: DataFrame, cap: int, *keys: str, within: tuple[str, ...] = (), seq: str = "seq") -> DataFrame:
-    """The first `cap` distinct keys (in each `within`), by their smallest seq.
+def order_of(df: DataFrame) -> Column:
+    """The place of a row in the total order, of those columns of it that df has."""
+    return F.struct(*(c for c in S.ORDER if c in df.columns))
+
+
+def first_seen(df: DataFrame, cap: int, *keys: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """The first `cap` distinct keys (in each `within`), by their smallest place in the total order.
 
     Only the cap smallest of each task meet: a limited sort, or a window whose rank limit Spark applies before the shuffle.
     """
-    seen = df.groupBy(*within, *keys).agg(F.min(seq).alias("_first"))
+    seen = df.groupBy(*within, *keys).agg(F.min(order_of(df)).alias("_first"))
     if not within:
         return seen.orderBy("_first", *keys).limit(cap).drop("_first")
     w = Window.partitionBy(*within).orderBy("_first", *keys)
@@ -55,59 +60,75 @@ def cap_protos(obs: DataFrame, cap: int = PROTO_CAP) -> DataFrame:
 
 class Dictionary:
     """K slots by last use. Free slots admit at first sight; once full, a newcomer must knock twice, and then takes the slot
-    of the identity used longest ago. An evicted identity that comes back starts a new epoch."""
+    of the identity used longest ago. An evicted identity that comes back is admitted anew."""
 
     def __init__(self, slots: int = SLOTS, doors: int = DOORS):
         self.slots, self.held = slots, OrderedDict()
         self.doors, self.knocked = doors, [None] * doors
-        self.epochs: dict[int, int] = {}
 
-    def offer(self, fp: int) -> int:
-        """The epoch that this observation belongs to; 0: other."""
+    def offer(self, fp: int, at=None) -> bool:
+        """Whether the observation at this place is taken into a slot; otherwise it counts for other."""
         if fp in self.held:
             self.held.move_to_end(fp)
-            return self.held[fp]
+            return True
         if len(self.held) >= self.slots:
             key = (fp & (1 << 64) - 1) or 1
             door = (key ^ key >> 17) % self.doors
             if self.knocked[door] != key:
                 self.knocked[door] = key
-                return 0
+                return False
             self.knocked[door] = None  # the door is free again
             self.held.popitem(last=False)
-        self.epochs[fp] = self.held[fp] = self.epochs.get(fp, 0) + 1
-        return self.held[fp]
+        self.held[fp] = at
+        return True
 
 
-def fold(batches: Iterable[tuple[list[int], list[int]]], slots: int = SLOTS, doors: int = DOORS) -> Iterator[list[tuple]]:
-    """(seq, fp, epoch) for batches of (seq, fp) in order, and at the end (None, fp, epoch) of what is held.
-
-    Streams: memory is the dictionary and the epochs of identities that were ever admitted.
-    """
+def fold(rows: Iterable[tuple[int, tuple]], slots: int = SLOTS, doors: int = DOORS) -> list[tuple[int, tuple]]:
+    """Of (fp, place) in order: the identities held at the end, and where each was admitted last. Holds the dictionary only."""
     d = Dictionary(slots, doors)
-    for seqs, fps in batches:
-        yield [(seq, fp, d.offer(fp)) for seq, fp in zip(seqs, fps, strict=True)]
-    yield [(None, fp, epoch) for fp, epoch in d.held.items()]
+    for fp, at in rows:
+        d.offer(fp, at)
+    return list(d.held.items())
 
 
-def admit(obs: DataFrame, slots: int = SLOTS, doors: int = DOORS, seq: str = "seq", fp: str = "fp") -> DataFrame:
-    """obs with `admitted`: whether its identity's present epoch is still in the dictionary at the end. What was folded when
-    it was evicted, or never admitted, is other.
+def admit(obs: DataFrame, slots: int = SLOTS, doors: int = DOORS, fp: str = "fp") -> DataFrame:
+    """obs with `admitted`: whether its identity is still in the dictionary at the end, under the admission that took this row.
+    What was folded when it was evicted, or never admitted, is other. Rows are neither added nor lost, whatever their order
+    columns hold; rows with a null fp aren't admitted.
 
-    With no more identities than slots all are admitted and nothing is ordered. Otherwise one task reads the sorted ranges
-    of the narrow projection one after the other; it holds the dictionary, not the rows.
+    An identity that is held at the end has been held since its last admission. So the fold returns one row for each slot,
+    and a row is admitted if it isn't before that place. With no more identities than slots nothing is ordered.
+    Otherwise the dictionary is a serial machine by its definition: one task sorts the narrow projection (spilling to disk)
+    and reads it in order, without the rows of which neighbours in their range repeat an identity more than twice.
     """
     if obs.select(fp).where(F.col(fp).isNotNull()).distinct().limit(slots + 1).count() <= slots:
         return obs.withColumn("admitted", F.col(fp).isNotNull())
+    keys = [c for c in S.ORDER if c in obs.columns]
+    kinds = {f.name: f.dataType.simpleString() for f in obs.schema.fields}
 
     def run(batches):
-        pairs = ((b.column("seq").to_pylist(), b.column("fp").to_pylist()) for b in batches)
-        for rows in fold(pairs, slots, doors):
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["seq", "fp", "epoch"])
-
-    narrow = obs.where(F.col(fp).isNotNull()).select(F.col(seq).alias("seq"), F.col(fp).alias("fp"))
-    labelled = cut(narrow.orderBy("seq").coalesce(1).mapInArrow(run, "seq long, fp long, epoch long"))
-    held = labelled.where("seq IS NULL").select("fp", F.col("epoch").alias("last"))
-    live = labelled.where("seq IS NOT NULL").join(F.broadcast(held), "fp", "left").select(F.col("seq").alias(seq), F.coalesce(F.col("epoch") == F.col("last"), F.lit(False)).alias("admitted"))
-    return obs.join(live, seq, "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
+        rows = ((r[0], r[1:]) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        held = fold(rows, slots, doors)
+        if held:
+            columns = [[h[0] for h in held], *zip(*(h[1] for h in held), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["_fp", *(f"_{k}" for k in keys)])
+
+    narrow = obs.where(F.col(fp).isNotNull()).select(F.col(fp).alias("_fp"), *(F.col(k).cast("long").alias(k) for k in keys))
+    # Of a run of one identity the first two rows decide: the knock and the admission. Later ones only use the slot again.
+    ranges = narrow.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(without_long_runs, narrow.schema)
+    held = cut(ranges.repartition(1).sortWithinPartitions(*keys).mapInArrow(run, "_fp long, " + ", ".join(f"_{k} long" for k in keys)))
+    since = F.struct(*(F.col(k).cast(kinds[k]) for k in keys)) >= F.struct(*(F.col(f"_{k}").cast(kinds[k]) for k in keys))
+    out = obs.join(F.broadcast(held), F.col(fp) == F.col("_fp"), "left")
+    return out.withColumn("admitted", F.col("_fp").isNotNull() & since).select(*obs.columns, "admitted")
+
+
+def without_long_runs(batches):
+    """Sorted rows without those that follow two of the same identity."""
+    last = (None, None)
+    for b in batches:
+        fps = b.column(0).to_pylist()
+        keep = []
+        for fp in fps:
+            keep.append(not (last[0] == fp == last[1]))
+            last = (last[1], fp)
+        yield b.filter(pa.array(keep, pa.bool_()))

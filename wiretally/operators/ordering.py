@@ -32,7 +32,7 @@ def top_by(rows: DataFrame, k: int, by: str, within: tuple[str, ...], *ties: str
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bounded_fifo(rows: DataFrame, limit: int, tick: Column, seq: str = "seq") -> DataFrame:
+def bounded_fifo(rows: DataFrame, limit: int, tick: Column) -> DataFrame:
     """What a queue of `limit` takes in each tick: the first ones; later ones are dropped and counted.
 
     Returns tick, taken, dropped, watermark (whether the queue was three quarters full).
@@ -42,10 +42,13 @@ def bounded_fifo(rows: DataFrame, limit: int, tick: Column, seq: str = "seq") ->
     return per.select("tick", taken.alias("taken"), (F.col("n") - taken).alias("dropped"), (taken * 4 >= limit * 3).alias("watermark"))
 
 
-def drain(rows: DataFrame, limit: int, tick: Column, seq: str = "seq") -> DataFrame:
-    """The rows themselves that the queue hands out, in order."""
-    w = Window.partitionBy("tick").orderBy(seq)
-    return rows.withColumn("tick", tick).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+def drain(rows: DataFrame, limit: int, tick: Column) -> DataFrame:
+    """The rows themselves that the queue hands out, in their total order (schema.ORDER); turn is a row's place in its tick.
+
+    The rank limit is applied in every task before rows of one tick meet.
+    """
+    w = Window.partitionBy("tick").orderBy(*(c for c in S.ORDER if c in rows.columns))
+    return rows.withColumn("tick", tick).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= limit)
 
 
 def set_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wiretally import schema as S
 from wiretally.plans import adapters as A
-from wiretally.sources import lkt1
+from wiretally.sources import recordings
 
 
 def exchange(spark: SparkSession, sf_dir: str, request: Column, reply: Column, where: str = "TRUE") -> DataFrame:
@@ -17,13 +17,13 @@ def exchange(spark: SparkSession, sf_dir: str, request: Column, reply: Column, w
     e = e.withColumn("_k", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
     ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
     both = F.array(
-        F.struct(F.lit(lkt1.RECV).alias("dir"), (F.col("_k") * 2).alias("seq"), ns.alias("ts_ns"), request.cast("binary").alias("payload")),
-        F.struct(F.lit(lkt1.SEND).alias("dir"), (F.col("_k") * 2 + 1).alias("seq"), (ns + F.floor(F.col("value") * 1000)).alias("ts_ns"), reply.cast("binary").alias("payload")),
+        F.struct(F.lit(recordings.RECV).alias("dir"), (F.col("_k") * 2).alias("seq"), ns.alias("ts_ns"), request.cast("binary").alias("payload")),
+        F.struct(F.lit(recordings.SEND).alias("dir"), (F.col("_k") * 2 + 1).alias("seq"), (ns + F.floor(F.col("value") * 1000)).alias("ts_ns"), reply.cast("binary").alias("payload")),
     )
     rows = e.select(F.col("user_id").alias("conn_id"), F.inline(both)).union(opens(e, ns))
     size = F.octet_length("payload").cast("long")
     empty = [f for f in S.RAW_EVENT.fields if f.name not in ("conn_id", "dir", "seq", "ts_ns", "payload")]
-    held = {"type": F.when(F.col("payload").isNull(), lkt1.OPEN).otherwise(lkt1.DATA), "flags": F.lit(0), "total_len": size, "off": F.lit(0).cast("long"), "cap_len": size}
+    held = {"type": F.when(F.col("payload").isNull(), recordings.OPEN).otherwise(recordings.DATA), "flags": F.lit(0), "total_len": size, "off": F.lit(0).cast("long"), "cap_len": size}
     held["decode_status"] = F.when(F.col("payload").isNull(), "conn").otherwise("data")
     rows = rows.withColumns({f.name: held.get(f.name, F.lit(None)).cast(f.dataType) for f in empty})
     return rows.select(*S.RAW_EVENT.names)

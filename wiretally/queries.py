@@ -12,7 +12,7 @@ from wiretally.functions import redis, route, s3, sql_text, url
 from wiretally.operators import cardinality, expose, families, filters, hist, joins, order, ordering, percentiles, reduce, streams
 from wiretally.plans import adapters as A
 from wiretally.plans import olap, panels, promql, spans, wire
-from wiretally.sources import lkt1
+from wiretally.sources import recordings
 from wiretally.streaming import observe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -411,10 +411,10 @@ def lim2_top_k(spark, sf):
     return ordering.top(c, 10, "n", "slot")
 
 
-@query(f"""{OBS} SELECT tick, seq, place FROM (SELECT ts_start_ns // 86400000000000 AS tick, seq,
-    row_number() OVER (PARTITION BY ts_start_ns // 86400000000000 ORDER BY seq) AS place FROM obs) WHERE place <= 20""")
+@query(f"""{OBS} SELECT tick, seq, turn FROM (SELECT ts_start_ns // 86400000000000 AS tick, seq,
+    row_number() OVER (PARTITION BY ts_start_ns // 86400000000000 ORDER BY seq) AS turn FROM obs) WHERE turn <= 20""")
 def lim3_drain(spark, sf):
-    return ordering.drain(A.observations(spark, sf), 20, F.floor(F.col("ts_start_ns") / 86400000000000)).select("tick", "seq", "place")
+    return ordering.drain(A.observations(spark, sf), 20, F.floor(F.col("ts_start_ns") / 86400000000000)).select("tick", "seq", "turn")
 
 
 @query(f"""{OBS} SELECT 'requests' AS name, proto, count(*) AS value FROM obs GROUP BY proto
@@ -1025,11 +1025,11 @@ def str9_str10_str12_postgres_units(spark, sf):
     UNION ALL SELECT 'resyncs', 'redis', '', 2 * count(*) FROM r WHERE k % 10 = 0""")
 def str2_str27_loss_honesty(spark, sf):
     """Every tenth reply is lost: nothing is reported for its command, and the loss is counted."""
-    events = wire.redis_events(spark, sf).where(~((F.col("dir") == lkt1.SEND) & (F.col("type") == lkt1.DATA) & (F.floor(F.col("seq") / 2) % 10 == 0)))
+    events = wire.redis_events(spark, sf).where(~((F.col("dir") == recordings.SEND) & (F.col("type") == recordings.DATA) & (F.floor(F.col("seq") / 2) % 10 == 0)))
     # The last command of a connection may go without a follower; an event after it shows the loss.
     last = events.groupBy("conn_id").agg(F.max("seq").alias("m"), F.max("ts_ns").alias("t"))
     tail = last.select(F.col("conn_id"), F.col("t").alias("ts_ns"), (F.floor(F.col("m") / 2) * 2 + 2).alias("seq"))
-    tail = tail.withColumns({"type": F.lit(lkt1.CLOSE), "dir": F.lit(0), "flags": F.lit(0), "decode_status": F.lit("conn")})
+    tail = tail.withColumns({"type": F.lit(recordings.CLOSE), "dir": F.lit(0), "flags": F.lit(0), "decode_status": F.lit("conn")})
     closed = events.unionByName(tail, allowMissingColumns=True)
     return observe.counts(observe.parse(closed, default="redis"))
 
@@ -1040,16 +1040,16 @@ def src2_src3_record_round_trip(spark, sf):
     import pandas as pd
 
     e = A.table(spark, sf, "events").select(
-        F.col("event_id").alias("conn_id"), F.lit(1000).cast("long").alias("ts_ns"), F.lit(1).cast("long").alias("seq"), F.lit(lkt1.DATA).alias("type"), F.lit(lkt1.RECV).alias("dir"),
+        F.col("event_id").alias("conn_id"), F.lit(1000).cast("long").alias("ts_ns"), F.lit(1).cast("long").alias("seq"), F.lit(recordings.DATA).alias("type"), F.lit(recordings.RECV).alias("dir"),
         F.lit(0).alias("flags"), F.lit(None).cast(S.TUPLE).alias("tuple"), F.octet_length("props").cast("long").alias("total_len"), F.lit(0).cast("long").alias("off"), F.col("props").cast("binary").alias("payload"),
     )
 
     def gather(frames):
         for f in frames:
-            yield pd.DataFrame({"path": ["part"], "content": [lkt1.join([bytes(r) for r in f["record"]])]})
+            yield pd.DataFrame({"path": ["part"], "content": [recordings.join([bytes(r) for r in f["record"]])]})
 
-    files = lkt1.record(e).mapInPandas(gather, "path string, content binary")
-    rows = lkt1.decode_files(files)
+    files = recordings.record(e).mapInPandas(gather, "path string, content binary")
+    rows = recordings.decode_files(files)
     return rows.agg(F.count("*").alias("records"), F.count_if(F.col("decode_status") == "data").alias("decoded"), F.sum("conn_id").alias("sum_conn"))
 
 
@@ -1219,7 +1219,7 @@ def snk3_otlp_histograms(spark, sf):
 
 @query()
 def snk7_recorded_bytes(spark, sf):
-    return lkt1.record(wire.redis_events(spark, sf))
+    return recordings.record(wire.redis_events(spark, sf))
 
 
 @query(f"""{OBS} SELECT * FROM (SELECT proto, date_trunc('hour', make_timestamp(ts_complete_ns // 1000)) AS w, count(*) AS n FROM obs GROUP BY ALL) ORDER BY n DESC, w, proto LIMIT 20""")

@@ -33,8 +33,11 @@ HTTP = struct(
     trace_id=_S, parent_id=_S, trace_flags=_I, tracestate=_S, req_id=_S, ctype=_S, version=_I, obj_version=_S, ts_interim_ns=_L
 )
 REDIS = struct(pipeline_depth=_I, txn_size=_I, argc=_I, redirect=_S)
+#: (seq, conn, place) is a total order of observations: the time of the event that ended one, its connection, and how many that
+#: connection had before. It doesn't depend on how connections are dealt to tasks or events to micro-batches.
+ORDER = ("seq", "conn", "place")
 OBSERVATION = struct(
-    seq=_L, conn=_L, proto=_S, kind=_S, flags=_I, db=_S, user=_S, app=_S, ts_start_ns=_L, ts_req_done_ns=_L,
+    seq=_L, conn=_L, place=_L, proto=_S, kind=_S, flags=_I, db=_S, user=_S, app=_S, ts_start_ns=_L, ts_req_done_ns=_L,
     ts_first_row_ns=_L, ts_complete_ns=_L, ts_ready_ns=_L, text=_S, op=_S, route=_S, fp=_L, rows=_L, bytes=_L, bytes_in=_L,
     bytes_out=_L, obj_bytes=_L, sqlstate=_S, err_code=_I, err_name=_S, txn_status=_S, http=HTTP, redis=REDIS,
 )

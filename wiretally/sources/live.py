@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from wiretally import schema as S
-from wiretally.sources import lkt1
+from wiretally.sources import recordings
 
 
 class Span(InputPartition):
@@ -41,8 +41,8 @@ class EventReader(DataSourceStreamReader):
             asks = k % 2 == 0
             payload = b"*1\r\n$4\r\nPING\r\n" if asks else b"+PONG\r\n"
             size = len(payload)
-            way = lkt1.RECV if asks else lkt1.SEND
-            yield (conn, n * 1000, k + 1, lkt1.DATA, way, 0, None, size, 0, size, payload, "data")
+            way = recordings.RECV if asks else recordings.SEND
+            yield (conn, n * 1000, k + 1, recordings.DATA, way, 0, None, size, 0, size, payload, "data")
 
 
 class EventSource(DataSource):

@@ -1,7 +1,7 @@
 """Recordings of raw events: a magic, then each record behind its 32-bit size.
 
 The magic is a parameter, since it names the recording program. Files are read whole as binary rows and split on the
-executors; a damaged record becomes a row with a status, never an error.
+executors, so a recorder must start a new file before 2 GB; a damaged record becomes a row with a status, never an error.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wiretally import schema as S
 
+# Fixed value: the four bytes that a recording starts with.
 MAGIC = b"LKT1"
 # Record types, directions and flags as they are recorded, little-endian.
 DATA, OPEN, CLOSE = 0, 1, 2

@@ -11,9 +11,9 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 from wiretally import schema as S
-from wiretally.sources import lkt1
+from wiretally.sources import recordings
 
-RECV, SEND = lkt1.RECV, lkt1.SEND
+RECV, SEND = recordings.RECV, recordings.SEND
 #: Bytes of a message's body that are kept; the rest is skipped by count.
 BODY_BYTES = 16 << 10
 IDLE_NS = 600 * 1_000_000_000
@@ -29,6 +29,11 @@ class Report:
     sessions: list[dict] = field(default_factory=list)
     messages: list[dict] = field(default_factory=list)
     counts: Counter = field(default_factory=Counter)
+    keeps_messages: bool = True
+
+    def message(self, conn: int, way: int, kind: str, size: int, cut: bool = False) -> None:
+        if self.keeps_messages:
+            self.messages.append({"conn": conn, "dir": way, "kind": kind, "len": size, "cut": cut})
 
     def count(self, name: str, proto: str, reason: str = "", n: int = 1) -> None:
         if n:
@@ -85,6 +90,7 @@ class Connection:
         self.blind = ""
         self.active_ns = 0
         self.call_no = 0
+        self.place = 0
         self.calls = {RECV: Calls(), SEND: Calls()}
         self.synthetic = synthetic
         self.handler: Handler = make(self)
@@ -92,22 +98,22 @@ class Connection:
     def feed(self, row: dict) -> None:
         self.active_ns = max(self.active_ns, row["ts_ns"] or 0)
         kind, flags, ts = row["type"], row["flags"] or 0, row["ts_ns"]
-        self.sequence(row["seq"], bool(flags & lkt1.DECRYPTED))
-        if flags & lkt1.GAP:
+        self.sequence(row["seq"], bool(flags & recordings.DECRYPTED))
+        if flags & recordings.GAP:
             self.lose(0)
-        if kind == lkt1.OPEN:
+        if kind == recordings.OPEN:
             return
-        if kind == lkt1.CLOSE:
+        if kind == recordings.CLOSE:
             self.handler.close(ts)
             return
         way, payload = row["dir"], bytes(row["payload"] or b"")
         proto = self.handler.proto
-        if flags & lkt1.DECRYPTED and not self.decrypted:
+        if flags & recordings.DECRYPTED and not self.decrypted:
             # The first plain byte of a TLS connection.
             self.tls = self.decrypted = True
             self.calls = {RECV: Calls(), SEND: Calls()}
             self.handler.reset()
-        elif self.tls and not flags & lkt1.DECRYPTED:
+        elif self.tls and not flags & recordings.DECRYPTED:
             self.report.count("dropped", proto, "ciphertext")
             return
         if self.blind:
@@ -115,6 +121,12 @@ class Connection:
             return
         self.chunk(way, row["total_len"], row["off"], payload, ts)
 
+    def number(self, first: int) -> None:
+        """Give the report's observations from the first-th on their place in the total order (schema.ORDER)."""
+        for o in self.report.observations[first:]:
+            o["seq"], o["place"] = self.active_ns, self.place
+            self.place += 1
+
     def sequence(self, seq: int, decrypted: bool) -> None:
         """A number that was skipped is a loss; steps back are tolerated. Decrypted events are numbered apart."""
         last = self.tls_seq if decrypted else self.seq

@@ -127,7 +127,7 @@ class MySql(Handler):
         self.drop("resync")
 
     def packet(self, way, number, length, body, cut, ts, last):
-        self.report.messages.append({"conn": self.conn.conn_id, "dir": way, "kind": body[:1].hex(), "len": length, "cut": cut})
+        self.report.message(self.conn.conn_id, way, body[:1].hex(), length, cut)
         if self.conn.blind:
             return
         if self.phase != "command":

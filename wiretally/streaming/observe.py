@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from wiretally import schema as S
-from wiretally.sources import lkt1
+from wiretally.sources import recordings
 from wiretally.streaming import core
 from wiretally.streaming.http import S3, Http
 from wiretally.streaming.mysql import MySql
@@ -42,12 +42,9 @@ RESULT = T.StructType(
 )
 
 
-def rows_of(report: core.Report, seq: int = 0) -> list[dict]:
-    """The rows of a report; observations are numbered from seq on."""
+def rows_of(report: core.Report) -> list[dict]:
     empty = dict.fromkeys(RESULT.names)
-    out = []
-    for i, o in enumerate(report.observations):
-        out.append(empty | {"record": "obs", "obs": o | {"seq": o["seq"] if o["seq"] is not None else seq + i}})
+    out = [empty | {"record": "obs", "obs": o} for o in report.observations]
     out += [empty | {"record": "txn", "txn": t} for t in report.transactions]
     full = dict.fromkeys(("conn", "proto", "user", "db", "app", "version"))
     out += [empty | {"record": "session", "session": full | s} for s in report.sessions]
@@ -56,6 +53,18 @@ def rows_of(report: core.Report, seq: int = 0) -> list[dict]:
     return out
 
 
+def batches_of(report: core.Report, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The same rows as Arrow batches, one for each kind of record; columns of other kinds are null."""
+    full = dict.fromkeys(("conn", "proto", "user", "db", "app", "version"))
+    counts = [{"name": n, "proto": p, "reason": r, "n": k} for (n, p, r), k in sorted(report.counts.items())]
+    kinds = {"obs": report.observations, "txn": report.transactions, "session": [full | s for s in report.sessions], "message": report.messages, "count": counts}
+    for kind, rows in kinds.items():
+        if rows:
+            n = len(rows)
+            columns = [pa.array(rows, f.type) if f.name == kind else pa.nulls(n, f.type) for f in schema if f.name != "record"]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * n), *columns], schema=schema)
+
+
 def proto_of(row: dict, ports: dict[int, str], default: str) -> str:
     t = row.get("tuple")
     return ports.get(t["sport"], default) if t else default
@@ -72,17 +81,20 @@ class Table:
         if row["decode_status"] not in ("data", "conn"):
             report.count("bad_records", "", row["decode_status"] or "")
             return
-        cid, opened = row["conn_id"], row["type"] == lkt1.OPEN
+        cid, opened = row["conn_id"], row["type"] == recordings.OPEN
         conn = self.held.get(cid)
         if conn is None:
-            if row["type"] == lkt1.CLOSE:
+            if row["type"] == recordings.CLOSE:
                 return
-            synthetic = not opened or bool((row["flags"] or 0) & lkt1.SYNTHETIC)
+            synthetic = not opened or bool((row["flags"] or 0) & recordings.SYNTHETIC)
             make = HANDLERS[proto_of(row, self.ports, self.default)]
             conn = self.held[cid] = core.Connection(cid, make, report, synthetic)
         conn.report = conn.handler.report = report
+        before = len(report.observations)
         conn.feed(row)
-        if row["type"] == lkt1.CLOSE:
+        if len(report.observations) > before:
+            conn.number(before)
+        if row["type"] == recordings.CLOSE:
             del self.held[cid]
 
 
@@ -101,20 +113,17 @@ def parse(events: DataFrame, ports: dict[int, str] | None = None, default: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema()
-        table, current, n = Table(ports, default), None, 0
+        table, current = Table(ports, default), None
         for b in batches:
-            report = core.Report()
-            for row in b.to_pylist():
+            report = core.Report(keeps_messages=messages)
+            names = b.schema.names
+            for values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                row = dict(zip(names, values, strict=True))
                 if row["conn_id"] != current and current is not None:
                     table.held.pop(current, None)
                 current = row["conn_id"]
                 table.feed(row, report)
-            if not messages:
-                report.messages.clear()
-            rows = rows_of(report, n)
-            n += len(report.observations)
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+            yield from batches_of(report, schema)
 
     dealt = events.select(*S.RAW_EVENT.names).repartition("conn_id").sortWithinPartitions("conn_id", "seq", "ts_ns", "off")
     return dealt.mapInArrow(run, RESULT)
@@ -131,7 +140,7 @@ class Processor(StatefulProcessor):
         self.state = handle.getValueState("connection", T.StructType([T.StructField("pickled", T.BinaryType()), T.StructField("version", T.IntegerType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        table, report = self.load(key[0]), core.Report()
+        table, report = self.load(key[0]), core.Report(keeps_messages=False)
         events = pd.concat(list(rows)).sort_values(["seq", "ts_ns", "off"], kind="stable")
         for row in events.to_dict("records"):
             table.feed(clean(row), report)
@@ -140,17 +149,17 @@ class Processor(StatefulProcessor):
             self.handle.deleteTimer(at)
         if table.held:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        report.messages.clear()
         yield frame(rows_of(report))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        table, report = self.load(key[0]), core.Report()
+        table, report = self.load(key[0]), core.Report(keeps_messages=False)
         for conn in table.held.values():
             conn.report = conn.handler.report = report
+            before = len(report.observations)
             conn.handler.close(conn.active_ns)
+            conn.number(before)
         report.count("idle_closed", "", "", len(table.held))
         self.state.clear()
-        report.messages.clear()
         yield frame(rows_of(report))
 
     def load(self, conn_id: int) -> Table:
