@@ -148,4 +148,8 @@ def test_slowlog_memtier_bench(spark, tmp_path):
 
 
 def test_self_stats(spark):
-    assert logs.self_stats(spark).where(F.col("value") > 0).count() == 3
+    import time
+
+    got = {r["name"]: r["value"] for r in logs.self_stats(spark).where(F.col("value") > 0).collect()}
+    assert len(got) == 3 and 0 <= time.time() - got["wt_process_start_time_seconds"] < 3600
+    assert 1e6 < got["wt_process_resident_memory_bytes"] < 1e11

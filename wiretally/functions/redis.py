@@ -5,56 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Command names by data type. A family's names are its prefix and each of its words; words in `writes` change data.
-FAMILIES = {
-    "strings and keys": ("", {
-        "writes": "APPEND BITFIELD BITOP COPY DECR DECRBY DEL EXPIRE EXPIREAT GETDEL GETEX GETSET INCR INCRBY INCRBYFLOAT MIGRATE MOVE"
-        " MSET MSETNX PERSIST PEXPIRE PEXPIREAT PSETEX RENAME RENAMENX RESTORE RESTORE-ASKING SET SETBIT SETEX SETNX SETRANGE"
-        " SORT SWAPDB UNLINK FLUSHALL FLUSHDB",
-        "reads": "BITCOUNT BITFIELD_RO BITPOS DBSIZE DUMP ECHO EXISTS EXPIRETIME GET GETBIT GETRANGE KEYS LCS MGET OBJECT"
-        " PEXPIRETIME PTTL RANDOMKEY SCAN SORT_RO STRLEN SUBSTR TOUCH TTL TYPE",
-    }),
-    "hashes": ("H", {
-        "writes": "DEL EXPIRE EXPIREAT INCRBY INCRBYFLOAT MSET PERSIST PEXPIRE PEXPIREAT SET SETNX",
-        "reads": "EXISTS EXPIRETIME GET GETALL KEYS LEN MGET PEXPIRETIME PTTL RANDFIELD SCAN STRLEN TTL VALS",
-    }),
-    "lists": ("", {
-        "writes": "BLMOVE BLMPOP BLPOP BRPOP BRPOPLPUSH LINSERT LMOVE LMPOP LPOP LPUSH LPUSHX LREM LSET LTRIM RPOP RPOPLPUSH RPUSH"
-        " RPUSHX",
-        "reads": "LINDEX LLEN LPOS LRANGE",
-    }),
-    "sets": ("S", {
-        "writes": "ADD DIFFSTORE INTERSTORE MOVE POP REM UNIONSTORE",
-        "reads": "CARD DIFF INTER INTERCARD ISMEMBER MEMBERS MISMEMBER RANDMEMBER SCAN UNION",
-    }),
-    "sorted sets": ("Z", {
-        "writes": "ADD DIFFSTORE INCRBY INTERSTORE MPOP POPMAX POPMIN RANGESTORE REM REMRANGEBYLEX REMRANGEBYRANK REMRANGEBYSCORE"
-        " UNIONSTORE",
-        "reads": "CARD COUNT DIFF INTER INTERCARD LEXCOUNT MSCORE RANDMEMBER RANGE RANGEBYLEX RANGEBYSCORE RANK REVRANGE"
-        " REVRANGEBYLEX REVRANGEBYSCORE REVRANK SCAN SCORE UNION",
-    }),
-    "blocking sorted sets": ("BZ", {"writes": "MPOP POPMAX POPMIN", "reads": ""}),
-    "streams": ("X", {
-        "writes": "ACK ADD AUTOCLAIM CLAIM DEL READGROUP SETID TRIM",
-        "reads": "GROUP INFO LEN PENDING RANGE READ REVRANGE",
-    }),
-    "geo": ("GEO", {
-        "writes": "ADD RADIUS RADIUSBYMEMBER SEARCHSTORE",
-        "reads": "DIST HASH POS RADIUSBYMEMBER_RO RADIUS_RO SEARCH",
-    }),
-    "hyperloglog": ("PF", {"writes": "ADD DEBUG MERGE", "reads": "COUNT SELFTEST"}),
-    "subscriptions": ("", {
-        "writes": "",
-        "reads": "PSUBSCRIBE PUBLISH PUBSUB PUNSUBSCRIBE SPUBLISH SSUBSCRIBE SUBSCRIBE SUNSUBSCRIBE UNSUBSCRIBE",
-    }),
-    "scripts": ("", {"writes": "", "reads": "EVAL EVALSHA EVALSHA_RO EVAL_RO FCALL FCALL_RO FUNCTION SCRIPT"}),
-    "server and session": ("", {
-        "writes": "",
-        "reads": "ACL ASKING AUTH BGREWRITEAOF BGSAVE CLIENT CLUSTER COMMAND CONFIG DEBUG DISCARD EXEC FAILOVER HELLO INFO LASTSAVE"
-        " LATENCY LOLWUT MEMORY MODULE MONITOR MULTI PING PSYNC QUIT READONLY READWRITE REPLCONF REPLICAOF RESET ROLE SAVE SELECT"
-        " SHUTDOWN SLAVEOF SLOWLOG SYNC TIME UNWATCH WAIT WAITAOF WATCH",
-    }),
-}
+# The names of commands that change data.
+WRITING = """
+APPEND BITFIELD BITOP BLMOVE BLMPOP BLPOP BRPOP BRPOPLPUSH BZMPOP BZPOPMAX BZPOPMIN COPY DECR DECRBY DEL EXPIRE EXPIREAT FLUSHALL
+FLUSHDB GEOADD GEORADIUS GEORADIUSBYMEMBER GEOSEARCHSTORE GETDEL GETEX GETSET HDEL HEXPIRE HEXPIREAT HINCRBY HINCRBYFLOAT HMSET
+HPERSIST HPEXPIRE HPEXPIREAT HSET HSETNX INCR INCRBY INCRBYFLOAT LINSERT LMOVE LMPOP LPOP LPUSH LPUSHX LREM LSET LTRIM MIGRATE
+MOVE MSET MSETNX PERSIST PEXPIRE PEXPIREAT PFADD PFDEBUG PFMERGE PSETEX RENAME RENAMENX RESTORE RESTORE-ASKING RPOP RPOPLPUSH
+RPUSH RPUSHX SADD SDIFFSTORE SET SETBIT SETEX SETNX SETRANGE SINTERSTORE SMOVE SORT SPOP SREM SUNIONSTORE SWAPDB UNLINK XACK XADD
+XAUTOCLAIM XCLAIM XDEL XREADGROUP XSETID XTRIM ZADD ZDIFFSTORE ZINCRBY ZINTERSTORE ZMPOP ZPOPMAX ZPOPMIN ZRANGESTORE ZREM
+ZREMRANGEBYLEX ZREMRANGEBYRANK ZREMRANGEBYSCORE ZUNIONSTORE
+""".split()
+
+# The names of all other commands.
+READING = """
+ACL ASKING AUTH BGREWRITEAOF BGSAVE BITCOUNT BITFIELD_RO BITPOS CLIENT CLUSTER COMMAND CONFIG DBSIZE DEBUG DISCARD DUMP ECHO EVAL
+EVALSHA EVALSHA_RO EVAL_RO EXEC EXISTS EXPIRETIME FAILOVER FCALL FCALL_RO FUNCTION GEODIST GEOHASH GEOPOS GEORADIUSBYMEMBER_RO
+GEORADIUS_RO GEOSEARCH GET GETBIT GETRANGE HELLO HEXISTS HEXPIRETIME HGET HGETALL HKEYS HLEN HMGET HPEXPIRETIME HPTTL HRANDFIELD
+HSCAN HSTRLEN HTTL HVALS INFO KEYS LASTSAVE LATENCY LCS LINDEX LLEN LOLWUT LPOS LRANGE MEMORY MGET MODULE MONITOR MULTI OBJECT
+PEXPIRETIME PFCOUNT PFSELFTEST PING PSUBSCRIBE PSYNC PTTL PUBLISH PUBSUB PUNSUBSCRIBE QUIT RANDOMKEY READONLY READWRITE REPLCONF
+REPLICAOF RESET ROLE SAVE SCAN SCARD SCRIPT SDIFF SELECT SHUTDOWN SINTER SINTERCARD SISMEMBER SLAVEOF SLOWLOG SMEMBERS SMISMEMBER
+SORT_RO SPUBLISH SRANDMEMBER SSCAN SSUBSCRIBE STRLEN SUBSCRIBE SUBSTR SUNION SUNSUBSCRIBE SYNC TIME TOUCH TTL TYPE UNSUBSCRIBE
+UNWATCH WAIT WAITAOF WATCH XGROUP XINFO XLEN XPENDING XRANGE XREAD XREVRANGE ZCARD ZCOUNT ZDIFF ZINTER ZINTERCARD ZLEXCOUNT
+ZMSCORE ZRANDMEMBER ZRANGE ZRANGEBYLEX ZRANGEBYSCORE ZRANK ZREVRANGE ZREVRANGEBYLEX ZREVRANGEBYSCORE ZREVRANK ZSCAN ZSCORE ZUNION
+""".split()
 
 # Commands whose second word is a command of its own.
 SUBCOMMANDS = {
@@ -96,16 +69,8 @@ MOST_DB = 1024
 SECRET_PARAMETERS = ("pass", "auth", "secret")
 
 
-def command_flags() -> dict[str, bool]:
-    """name -> whether it writes."""
-    out = {}
-    for prefix, words in FAMILIES.values():
-        for kind, names in words.items():
-            out |= {prefix + w: kind == "writes" for w in names.split()}
-    return out
-
-
-WRITES = command_flags()
+#: name -> whether it writes
+WRITES = {x: x in WRITING for x in sorted(WRITING + READING)}
 CONTAINERS = {c: frozenset(s.split()) for c, s in SUBCOMMANDS.items()}
 
 

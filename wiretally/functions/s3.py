@@ -5,42 +5,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Operations by level, sub-resource and method; "+" marks a request with a copy source, "-" one without.
-OPERATIONS = """
-service - GET ListBuckets
-bucket acl GET GetBucketAcl PUT PutBucketAcl
-bucket tagging GET GetBucketTagging PUT PutBucketTagging DELETE DeleteBucketTagging
-bucket policy GET GetBucketPolicy PUT PutBucketPolicy DELETE DeleteBucketPolicy
-bucket policyStatus GET GetBucketPolicyStatus
-bucket versioning GET GetBucketVersioning PUT PutBucketVersioning
-bucket lifecycle GET GetBucketLifecycleConfiguration PUT PutBucketLifecycleConfiguration DELETE DeleteBucketLifecycleConfiguration
-bucket location GET GetBucketLocation
-bucket notification GET GetBucketNotificationConfiguration PUT PutBucketNotificationConfiguration
-bucket encryption GET GetBucketEncryption PUT PutBucketEncryption DELETE DeleteBucketEncryption
-bucket replication GET GetBucketReplication PUT PutBucketReplication DELETE DeleteBucketReplication
-bucket object-lock GET GetObjectLockConfiguration PUT PutObjectLockConfiguration
-bucket cors GET GetBucketCors PUT PutBucketCors DELETE DeleteBucketCors
-bucket accelerate GET GetBucketAccelerateConfiguration PUT PutBucketAccelerateConfiguration
-bucket logging GET GetBucketLogging PUT PutBucketLogging
-bucket requestPayment GET GetBucketRequestPayment PUT PutBucketRequestPayment
-bucket website GET GetBucketWebsite PUT PutBucketWebsite DELETE DeleteBucketWebsite
-bucket publicAccessBlock GET GetPublicAccessBlock PUT PutPublicAccessBlock DELETE DeletePublicAccessBlock
-bucket delete POST DeleteObjects
-bucket uploads GET ListMultipartUploads
-bucket versions GET ListObjectVersions
-bucket list-type GET ListObjectsV2
-bucket - GET ListObjects PUT CreateBucket DELETE DeleteBucket HEAD HeadBucket POST PostObject
-object acl GET GetObjectAcl PUT PutObjectAcl
-object tagging GET GetObjectTagging PUT PutObjectTagging DELETE DeleteObjectTagging
-object retention GET GetObjectRetention PUT PutObjectRetention
-object legal-hold GET GetObjectLegalHold PUT PutObjectLegalHold
-object attributes GET GetObjectAttributes
-object restore POST RestoreObject
-object select POST SelectObjectContent
-object uploads POST CreateMultipartUpload
-object uploadId PUT+ UploadPartCopy PUT- UploadPart GET ListParts POST CompleteMultipartUpload DELETE AbortMultipartUpload
-object - GET GetObject HEAD HeadObject PUT+ CopyObject PUT- PutObject DELETE DeleteObject
-"""
+# Level, sub-resource (empty: none), method, with a copy source (None: either way), operation.
+OPERATIONS = [
+    ("service", "", "GET", None, "ListBuckets"),
+    ("bucket", "acl", "GET", None, "GetBucketAcl"),
+    ("bucket", "acl", "PUT", None, "PutBucketAcl"),
+    ("bucket", "tagging", "GET", None, "GetBucketTagging"),
+    ("bucket", "tagging", "PUT", None, "PutBucketTagging"),
+    ("bucket", "tagging", "DELETE", None, "DeleteBucketTagging"),
+    ("bucket", "policy", "GET", None, "GetBucketPolicy"),
+    ("bucket", "policy", "PUT", None, "PutBucketPolicy"),
+    ("bucket", "policy", "DELETE", None, "DeleteBucketPolicy"),
+    ("bucket", "policyStatus", "GET", None, "GetBucketPolicyStatus"),
+    ("bucket", "versioning", "GET", None, "GetBucketVersioning"),
+    ("bucket", "versioning", "PUT", None, "PutBucketVersioning"),
+    ("bucket", "lifecycle", "GET", None, "GetBucketLifecycleConfiguration"),
+    ("bucket", "lifecycle", "PUT", None, "PutBucketLifecycleConfiguration"),
+    ("bucket", "lifecycle", "DELETE", None, "DeleteBucketLifecycleConfiguration"),
+    ("bucket", "location", "GET", None, "GetBucketLocation"),
+    ("bucket", "notification", "GET", None, "GetBucketNotificationConfiguration"),
+    ("bucket", "notification", "PUT", None, "PutBucketNotificationConfiguration"),
+    ("bucket", "encryption", "GET", None, "GetBucketEncryption"),
+    ("bucket", "encryption", "PUT", None, "PutBucketEncryption"),
+    ("bucket", "encryption", "DELETE", None, "DeleteBucketEncryption"),
+    ("bucket", "replication", "GET", None, "GetBucketReplication"),
+    ("bucket", "replication", "PUT", None, "PutBucketReplication"),
+    ("bucket", "replication", "DELETE", None, "DeleteBucketReplication"),
+    ("bucket", "object-lock", "GET", None, "GetObjectLockConfiguration"),
+    ("bucket", "object-lock", "PUT", None, "PutObjectLockConfiguration"),
+    ("bucket", "cors", "GET", None, "GetBucketCors"),
+    ("bucket", "cors", "PUT", None, "PutBucketCors"),
+    ("bucket", "cors", "DELETE", None, "DeleteBucketCors"),
+    ("bucket", "accelerate", "GET", None, "GetBucketAccelerateConfiguration"),
+    ("bucket", "accelerate", "PUT", None, "PutBucketAccelerateConfiguration"),
+    ("bucket", "logging", "GET", None, "GetBucketLogging"),
+    ("bucket", "logging", "PUT", None, "PutBucketLogging"),
+    ("bucket", "requestPayment", "GET", None, "GetBucketRequestPayment"),
+    ("bucket", "requestPayment", "PUT", None, "PutBucketRequestPayment"),
+    ("bucket", "website", "GET", None, "GetBucketWebsite"),
+    ("bucket", "website", "PUT", None, "PutBucketWebsite"),
+    ("bucket", "website", "DELETE", None, "DeleteBucketWebsite"),
+    ("bucket", "publicAccessBlock", "GET", None, "GetPublicAccessBlock"),
+    ("bucket", "publicAccessBlock", "PUT", None, "PutPublicAccessBlock"),
+    ("bucket", "publicAccessBlock", "DELETE", None, "DeletePublicAccessBlock"),
+    ("bucket", "delete", "POST", None, "DeleteObjects"),
+    ("bucket", "uploads", "GET", None, "ListMultipartUploads"),
+    ("bucket", "versions", "GET", None, "ListObjectVersions"),
+    ("bucket", "list-type", "GET", None, "ListObjectsV2"),
+    ("bucket", "", "GET", None, "ListObjects"),
+    ("bucket", "", "PUT", None, "CreateBucket"),
+    ("bucket", "", "DELETE", None, "DeleteBucket"),
+    ("bucket", "", "HEAD", None, "HeadBucket"),
+    ("bucket", "", "POST", None, "PostObject"),
+    ("object", "acl", "GET", None, "GetObjectAcl"),
+    ("object", "acl", "PUT", None, "PutObjectAcl"),
+    ("object", "tagging", "GET", None, "GetObjectTagging"),
+    ("object", "tagging", "PUT", None, "PutObjectTagging"),
+    ("object", "tagging", "DELETE", None, "DeleteObjectTagging"),
+    ("object", "retention", "GET", None, "GetObjectRetention"),
+    ("object", "retention", "PUT", None, "PutObjectRetention"),
+    ("object", "legal-hold", "GET", None, "GetObjectLegalHold"),
+    ("object", "legal-hold", "PUT", None, "PutObjectLegalHold"),
+    ("object", "attributes", "GET", None, "GetObjectAttributes"),
+    ("object", "restore", "POST", None, "RestoreObject"),
+    ("object", "select", "POST", None, "SelectObjectContent"),
+    ("object", "uploads", "POST", None, "CreateMultipartUpload"),
+    ("object", "uploadId", "PUT", True, "UploadPartCopy"),
+    ("object", "uploadId", "PUT", False, "UploadPart"),
+    ("object", "uploadId", "GET", None, "ListParts"),
+    ("object", "uploadId", "POST", None, "CompleteMultipartUpload"),
+    ("object", "uploadId", "DELETE", None, "AbortMultipartUpload"),
+    ("object", "", "GET", None, "GetObject"),
+    ("object", "", "HEAD", None, "HeadObject"),
+    ("object", "", "PUT", True, "CopyObject"),
+    ("object", "", "PUT", False, "PutObject"),
+    ("object", "", "DELETE", None, "DeleteObject"),
+]
 
 # The error codes that may become labels.
 ERROR_CODES = """
@@ -70,13 +110,7 @@ INTERNAL_PREFIX = "/minio"
 
 def operation_rows() -> list[tuple[str, str, str, bool | None, str]]:
     """(level, sub-resource or empty, method, copy, operation); copy None: either."""
-    rows = []
-    for line in OPERATIONS.strip().splitlines():
-        level, sub, *rest = line.split()
-        for method, name in zip(rest[::2], rest[1::2], strict=True):
-            copy = {"+": True, "-": False}.get(method[-1])
-            rows.append((level, "" if sub == "-" else sub, method.rstrip("+-"), copy, name))
-    return rows
+    return OPERATIONS
 
 
 SUBRESOURCES = tuple(sorted({r[1] for r in operation_rows()} - {""}))

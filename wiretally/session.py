@@ -26,13 +26,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: that of spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder that all executors share: that of spark.checkpoint.dir. Only a local session may go without the setting and
+    then gets a temporary folder; on a cluster a folder of one machine would lose rows, so this raises."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="wiretally-"))
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wiretally-"))
     return context.getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, with what is in it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there."""
     shared_folder(df.sparkSession)

@@ -24,6 +24,13 @@ class EventReader(DataSourceStreamReader):
         self.parts, self.last = int(options.get("partitions", "2")), int(options.get("rows", "10000"))
         self.at = 0
 
+    def reached(self, offset: dict) -> None:
+        """A new reader of a query that goes on learns from the offsets it is asked for where it left off."""
+        self.at = max(self.at, offset["n"])
+
+    def commit(self, end: dict) -> None:
+        self.reached(end)
+
     def initialOffset(self) -> dict:
         return {"n": 0}
 
@@ -32,6 +39,8 @@ class EventReader(DataSourceStreamReader):
         return {"n": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
+        self.reached(start)
+        self.reached(end)
         cuts = [start["n"] + (end["n"] - start["n"]) * i // self.parts for i in range(self.parts + 1)]
         return [Span(a, b, self.conns) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 

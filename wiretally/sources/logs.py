@@ -148,14 +148,19 @@ def udp_volume(counters: DataFrame) -> DataFrame:
 
 
 def self_stats(spark: SparkSession, prefix: str = "wt") -> DataFrame:
-    """CPU seconds, resident bytes and start time of this driver process as gauge rows."""
-    import resource
-    import time
-
-    usage = resource.getrusage(resource.RUSAGE_SELF)
+    """CPU seconds, resident bytes at present and start time of this driver process as gauge rows, from the kernel's tables."""
+    import os
+
+    with open("/proc/self/stat") as f:
+        stat = f.read().rpartition(")")[2].split()  # fields from the third on; the name before may hold spaces
+    with open("/proc/self/statm") as f:
+        pages = int(f.read().split()[1])
+    with open("/proc/stat") as f:
+        boot = next(int(line.split()[1]) for line in f if line.startswith("btime"))
+    ticks = os.sysconf("SC_CLK_TCK")
     rows = [
-        (f"{prefix}_process_cpu_seconds_total", usage.ru_utime + usage.ru_stime),
-        (f"{prefix}_process_max_resident_bytes", usage.ru_maxrss * 1024.0),
-        (f"{prefix}_process_start_time_seconds", time.time() - time.monotonic()),
+        (f"{prefix}_process_cpu_seconds_total", (int(stat[11]) + int(stat[12])) / ticks),
+        (f"{prefix}_process_resident_memory_bytes", float(pages * os.sysconf("SC_PAGE_SIZE"))),
+        (f"{prefix}_process_start_time_seconds", boot + int(stat[19]) / ticks),
     ]
     return spark.createDataFrame(rows, "name string, value double")
