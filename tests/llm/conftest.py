@@ -1,5 +1,8 @@
 import pytest
 
+#: Joins by shuffle and as many tasks as there are partitions, as for large tables.
+AS_LARGE = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -20,3 +23,14 @@ def tokenizer():
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture
+def as_large(spark, monkeypatch):
+    """Keys of more than 50 rows are hot, and plans are those of large tables."""
+    monkeypatch.setattr("wiretally.llm.common.HOT_ROWS", 50)
+    for k, v in AS_LARGE.items():
+        spark.conf.set(k, v)
+    yield
+    for k in AS_LARGE:
+        spark.conf.unset(k)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretally.llm import bpe, licenses, mixing, neardup, quality, secrets, sharding, syncmers, token_counts, topk
+from wiretally.session import shared_folder
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -20,6 +22,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def secret_ledger(spark: SparkSession) -> secrets.Ledger:
+    """The ledger that spark.wiretally.secretLedger names, which outlives a run; without the setting one of this run's own."""
+    path = spark.conf.get("spark.wiretally.secretLedger", "") or f"{shared_folder(spark)}/secret-ledger-{uuid4().hex}"
+    return secrets.Ledger(spark, path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -53,7 +61,7 @@ def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score_documents(docs, model)
     return out.select(
         "doc_id",
-        (quality.remainder() == 0).alias("held_out"),
+        F.coalesce(quality.remainder() == 0, F.lit(False)).alias("held_out"),  # a null id has no label to hold out
         "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
@@ -73,7 +81,7 @@ def op8_bottom_k_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.scan_documents(documents(spark, sf_dir))
+    out = secrets.scan_documents(documents(spark, sf_dir), secret_ledger(spark))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 

@@ -1,23 +1,26 @@
 """Secret scans over an incremental blob ledger.
 
-Texts are content-addressed by SHA-256. A blob that the ledger already holds under the present version of the rules
-isn't scanned again; every other blob is scanned once, however many rows carry it, and findings are
-joined back to all rows by content address.
+Texts are content-addressed by SHA-256. The ledger is a folder of entries, one for each pair of a blob and a version of the
+rules. A blob that it already holds under the present version isn't scanned again; every other blob is scanned once, however
+many rows carry it, and its entry is written before findings are joined back to all rows by content address.
 """
 
 from __future__ import annotations
 
 import re
 
+from uuid import uuid4
+
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm.common import map_rows, text_or_empty, texts_of
+from wiretally.llm.common import cut, map_rows, row_tie, spread_join, text_or_empty, texts_of
+from wiretally.session import exists
 
 #: To be raised with every change of the rules below.
-RULE_VERSION = 1
+RULE_VERSION = 2
 
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(
@@ -26,8 +29,12 @@ ASSIGN = re.compile(
 # A match that is long enough starts where the run starts, so the lengths can stand in the pattern.
 ACCESS = re.compile("AKIA[A-Z0-9]{14,}").finditer
 HEX = re.compile("[0-9a-f]{16,}").finditer
-PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----)?").finditer
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}").finditer
+PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]++-----END [A-Z ]*PRIVATE KEY-----)?").finditer
+# Each run of word characters is entered once, at its start, and left at its first eyJ that eight more follow: an atomic group,
+# so that a run of many eyJ isn't tried from every one of them.
+JWT = re.compile(
+    r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ[A-Za-z0-9_-]{8}))(?P<all>[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
+).finditer
 GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}").finditer
 #: Base kinds first, in the order that breaks ties between spans of one start.
 BASE = ("assign", "access", "hex")
@@ -46,7 +53,7 @@ def find_secrets(text: str) -> list[tuple[int, str, int]]:
     if "PRIVATE KEY-----" in text:
         found += [(m.start(), 3, m.end()) for m in PEM(text)]
     if "eyJ" in text:
-        found += [(m.start(), 4, m.end()) for m in JWT(text)]
+        found += [(m.start("all"), 4, m.end()) for m in JWT(text)]
     if "gh" in text:
         found += [(m.start(), 5, m.end()) for m in GITHUB(text)]
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
@@ -68,6 +75,28 @@ def blob_address(text_col: str = "text"):
 LEDGER = "blob string, rule_version int, n_assign long, n_access long, n_hex long, base_spans string, spans string"
 
 
+class Ledger:
+    """Entries in a folder of the shared file system. Each scan adds a folder of its own; one without Spark's mark of success, left
+    by a run that died, isn't read. A blob that two runs scan at the same time has two equal entries, of which one is read."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def entries(self) -> DataFrame:
+        """Those of the present rules, one for each blob."""
+        held = self.spark.createDataFrame([], LEDGER)
+        if exists(self.spark, self.path):
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            parts = [str(f.getPath()) for f in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)]
+            if parts := sorted(p for p in parts if exists(self.spark, f"{p}/_SUCCESS")):
+                held = self.spark.read.schema(LEDGER).parquet(*parts)
+        held = held.where(F.col("rule_version") == RULE_VERSION)
+        return held.dropDuplicates(["blob"])
+
+    def add(self, entries: DataFrame) -> None:
+        entries.write.parquet(f"{self.path}/{uuid4().hex}")
+
+
 def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """The ledger's new entries: one for each distinct text that it lacks under RULE_VERSION."""
     blobs = docs.select(blob_address(text_col).alias("blob"), text_or_empty(text_col).alias("text"))
@@ -93,23 +122,28 @@ def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, text_col: str =
     return map_rows(blobs, make, LEDGER, schema)
 
 
-def scan_documents(
-    docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def scan_into(ledger: Ledger, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Scans what the ledger lacks, adds it, and returns the ledger's entries."""
+    held = ledger.entries()
+    ledger.add(scan_blobs(docs, held if held.limit(1).count() else None, text_col))
+    return ledger.entries()
+
+
+def scan_documents(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Findings of every row's whole text, scanning only texts that the ledger lacks.
 
     Returns doc_id, blob, n_assign, n_access, n_hex, base_spans and spans (kind:start:end, comma-joined), one
     row for each input row, repeated rows and ids included. A null text counts as empty and has no
     findings. Further columns are ignored; an empty table gives an empty table. Many copies of a text are one
-    blob: the first of each task goes on, so copies don't meet in one task.
+    blob: the first of each task goes on to be scanned, and only rows of blobs with findings are joined, very frequent ones
+    spread over many tasks.
     """
-    entries = scan_blobs(docs, ledger, text_col)
-    if ledger is not None:
-        entries = entries.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).dropDuplicates(["blob"]))
-    paths = docs.select(F.col(id_col).cast("long").alias("doc_id"), blob_address(text_col).alias("blob"))
-    return paths.join(entries.drop("rule_version"), "blob").select(
-        "doc_id", "blob", "n_assign", "n_access", "n_hex", "base_spans", "spans"
-    )
+    found = scan_into(ledger, docs, text_col).where("spans <> ''").drop("rule_version")
+    paths = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), blob_address(text_col).alias("blob"), row_tie().alias("_tie")))
+    counts = paths.groupBy("blob").agg(F.count("*").alias("n"))
+    out = spread_join(paths, found, "blob", "left", counts, F.col("_tie"))
+    none = {"n_assign": 0, "n_access": 0, "n_hex": 0, "base_spans": "", "spans": ""}
+    return out.select("doc_id", "blob", *(F.coalesce(F.col(c), F.lit(x)).alias(c) for c, x in none.items()))
 
 
 def redact(text: str, spans: str) -> str:
@@ -122,22 +156,23 @@ def redact(text: str, spans: str) -> str:
     return "".join(out) + text[at:]
 
 
-def redact_documents(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+def redact_documents(docs: DataFrame, ledger: Ledger, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs with every finding in text_col replaced by its kind in brackets; all rows and columns stay.
 
-    length_col, if there is one, follows the new length in code points of rows that changed. A null text stays null.
+    length_col, if there is one, follows the new length in code points of rows that changed. A null text stays null. Many rows
+    of one text are spread over many tasks.
     """
-    entries = scan_blobs(docs, ledger, text_col)
-    if ledger is not None:
-        entries = entries.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).dropDuplicates(["blob"]))
-    entries = entries.where("spans <> ''").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    rows = docs.select(blob_address(text_col).alias("_blob"), F.struct("*").alias("_row"))
+    entries = scan_into(ledger, docs, text_col).where("spans <> ''").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    blob = blob_address(text_col).alias("_blob")
+    counts = cut(docs.groupBy(blob).agg(F.count("*").alias("n")).where("n > 1"))
+    rows = docs.select(blob, row_tie().alias("_tie"), F.struct("*").alias("_row"))
 
     @F.pandas_udf("string")
     def blank(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else redact(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    out = rows.join(entries, "_blob", "left").withColumn("_new", blank(F.col("_row")[text_col], F.col("_spans")))
+    out = spread_join(rows, entries, "_blob", "left", counts, F.col("_tie"))
+    out = out.withColumn("_new", blank(F.col("_row")[text_col], F.col("_spans")))
     row = F.col("_row").withField(text_col, F.col("_new"))
     if length_col in docs.columns:
         old = F.col("_row")[length_col]
