@@ -65,7 +65,7 @@ def test_one_more_shard_moves_little(make):
     docs = make([(i, f"t{i}") for i in range(4000)])
     a, b = ({r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, n).collect()} for n in (8, 9))
     moved = sum(a[i] != b[i] for i in a)
-    assert moved < 0.45 * len(a)  # a ninth must move; dealing anew would move eight ninths
+    assert moved < 2 * len(a) / 9  # a ninth must move; dealing anew would move eight ninths
 
 
 def test_odd_shards(make):
@@ -80,24 +80,63 @@ def test_odd_shards(make):
     assert set(collections.Counter(r["shard"] for r in same).values()) == {25}
 
 
-def test_targets():
-    sizes = {"a": 100, "b": 10, "c": 10, None: 80}
-    t = mixing.targets(sizes)
-    assert sum(t.values()) == pytest.approx(1.5 * 200) and all(t[s] <= 2 * sizes[s] + 1e-9 for s in sizes)
-    assert t["b"] == 20 or t["b"] < 20
-    assert mixing.targets({"a": 0, "b": 10}) == {"a": 0, "b": 15.0}
-    assert mixing.targets({}) == {}
+def brute_targets(sizes, weights=(3, 1, 2)):
+    """Shares by weight, stopped at twice the size, the excess shared anew until none is above."""
+    names = sorted(s for s in sizes if s is not None) + ([None] if None in sizes else [])
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    full, whole = {}, 1.5 * sum(sizes.values())
+    while True:
+        left, total = whole - sum(full.values()), sum(weight[s] for s in names if s not in full)
+        above = [s for s in names if s not in full and left * weight[s] / total > 2 * sizes[s]]
+        if not above:
+            return full | {s: left * weight[s] / total for s in names if s not in full}
+        full |= {s: 2.0 * sizes[s] for s in above}
 
 
-def brute_mix(rows, order):
-    """Copies by prefix sums over each source's rows in the given order."""
+def run_targets(spark, sizes):
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
+    return {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+
+
+def test_targets(spark):
+    rng = random.Random(8)
+    cases = [{"a": 100, "b": 10, "c": 10, None: 80}, {"a": 0, "b": 10}, {}, {"z": 0}, {f"s{i}": 3**i for i in range(20)}]
+    cases += [{f"s{i}": rng.choice((0, 1, 5, rng.randrange(10**6))) for i in range(200)}]
+    for sizes in cases:
+        got, want = run_targets(spark, sizes), brute_targets(sizes)
+        assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-12, abs=1e-9) for s in want)
+
+
+def test_targets_of_very_many_sources(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(100_000).select(F.format_string("s%06d", "id").alias("source"), (F.pmod(F.xxhash64("id"), F.lit(1000)) + 1).alias("source_size"))
+    rows = mixing.targets(df).collect()
+    whole = sum(r["source_size"] for r in rows)
+    assert len(rows) == 100_000 and sum(r["target"] for r in rows) == pytest.approx(1.5 * whole)
+    want = {}
+    order = sorted(rows, key=lambda r: r["source"])
+    weight = {r["source"]: (3, 1, 2)[i % 3] for i, r in enumerate(order)}
+    left, total = 1.5 * whole, sum(weight.values())
+    for r in sorted(rows, key=lambda r: r["source_size"] / weight[r["source"]]):
+        w = weight[r["source"]]
+        if left * w / total > 2 * r["source_size"]:
+            want[r["source"]] = 2.0 * r["source_size"]
+            left, total = left - want[r["source"]], total - w
+        else:
+            break
+    assert all(r["target"] == pytest.approx(want.get(r["source"], left * weight[r["source"]] / total)) for r in rows)
+
+
+def brute_mix(rows, offsets):
+    """Copies by prefix sums over each source's rows, in order of size and their hash."""
     sizes = collections.defaultdict(int)
     for _, source, size, _ in rows:
         sizes[source] += size
-    wanted, out = mixing.targets(dict(sizes)), []
+    wanted, out = brute_targets(dict(sizes)), []
     for s in sizes:
-        e, u = (wanted[s] / sizes[s] if sizes[s] else 0), mixing.offset(7, s)
-        mine = sorted((r for r in rows if r[1] == s), key=order)
+        e, u = (wanted[s] / sizes[s] if sizes[s] else 0), offsets[s]
+        mine = sorted((r for r in rows if r[1] == s), key=lambda r: (r[2], r[3]))
         out += [(r[0], int((u + (i + 1) * e) // 1 - (u + i * e) // 1)) for i, r in enumerate(mine)]
     return sorted(out)
 
@@ -108,8 +147,10 @@ def test_mix_against_brute_force(spark, sf):
     from pyspark.sql import functions as F
 
     at = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.lit(7), "doc_id", F.crc32(F.col("text").cast("binary"))).alias("h")).collect()}
+    offsets = {r[0]: r[1] for r in docs.select("source").distinct().select("source", mixing.offset(7, F.col("source"))).collect()}
+    assert len(set(offsets.values())) == len(offsets) and all(0 <= u < 1 for u in offsets.values())
     rows = [(r["doc_id"], r["source"], len(r["text"].encode().split()), at[r["doc_id"]]) for r in docs.collect()]
-    assert sorted((r["doc_id"], r["copies"]) for r in got) == brute_mix(rows, lambda r: (r[2], r[3]))
+    assert sorted((r["doc_id"], r["copies"]) for r in got) == brute_mix(rows, offsets)
     taken, largest = collections.defaultdict(int), collections.defaultdict(int)
     for r in got:
         taken[r["source"]] += r["taken"]
@@ -136,3 +177,26 @@ def test_emit_repeated_rows(make):
     for r in plan:
         want[r["doc_id"]] += r["copies"]
     assert out == +want
+
+
+def test_emit_very_many_equal_rows(make, monkeypatch, as_large):
+    """Nearly all rows without an id and of one text: as many come out as the plan says, and no task gets them all."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "CHUNK", 100)
+    docs = make([(None, "a b c", None)] * 3000 + [(i, f"x{i} y", "t") for i in range(300)]).repartition(4)
+    plan = mixing.mix_sources(docs).collect()
+    out = mixing.emit(docs)
+    assert out.count() == sum(r["copies"] for r in plan)
+    assert out.where("doc_id IS NULL").count() == sum(r["copies"] for r in plan if r["doc_id"] is None) > 3000
+    loads = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(loads) < 0.7 * sum(loads)
+
+
+def test_words(spark):
+    from pyspark.sql import functions as F
+
+    cases = ["", " \t\n", "a", "a\u00a0b c", "é\x0bü\x0cx\x1f y", "a" * 100_000, None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(mixing.word_count(F.col("t"))).collect()]
+    assert got == [len((c or "").encode().split()) for c in cases]
