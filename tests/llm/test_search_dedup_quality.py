@@ -75,7 +75,13 @@ def near_copies(rng, n, size, rate):
     return [" ".join(w if rng.random() > rng.random() * rate else f"z{rng.randrange(10**6)}" for w in base) for _ in range(n)]
 
 
-def test_near_duplicates_against_brute_force(make):
+@pytest.mark.parametrize("large", [False, True])
+def test_near_duplicates_against_brute_force(make, monkeypatch, large):
+    """Also with stars of more than one block, whose members get lists of their full sets."""
+    if large:
+        monkeypatch.setattr(neardup, "BLOCK_DOCS", 8)
+        monkeypatch.setattr(neardup, "STAR_BLOCKS", 1)
+        monkeypatch.setattr(neardup, "HUB_MEMBERS", 5)
     rng = random.Random(2)
     passage = [f"p{i}" for i in range(60)]
     texts = near_copies(rng, 60, 150, 0.12) + near_copies(rng, 40, 30, 0.2) + near_copies(rng, 20, 400, 0.06)
@@ -89,6 +95,19 @@ def test_near_duplicates_against_brute_force(make):
     assert got == brute_components(rows)
 
 
+def test_hot_duplicates(make, as_large):
+    """Nine tenths of the rows are one text, others blank, others unlike but with one long passage: all in place."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(200))
+    rows = [(i, "one two three four five six seven") for i in range(900)] + [(1000 + i, " ") for i in range(100)]
+    rows += [(2000 + i, passage + " " + " ".join(f"o{rng.randrange(10**6)}" for _ in range(90))) for i in range(100)]
+    got = sorted(map(tuple, neardup.near_duplicates(make(rows)).collect()))
+    want = [(i, 3, 0, i == 0) for i in range(900)] + [(i, 0, i, True) for i in range(1000, 1100)]
+    assert got[:1000] == want and got[1000:] == brute_components(rows[1000:])
+    kept = neardup.one_of_each(make(rows))
+    assert kept.count() == 1 + 100 + sum(r[3] for r in got[1000:])
+
+
 def test_chains(make):
     """Links reach through documents that aren't near each other."""
     words = [f"w{i}" for i in range(400)]

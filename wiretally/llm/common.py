@@ -13,7 +13,7 @@ from wiretally.operators.order import in_global_order
 from wiretally.session import cut
 
 __all__ = [
-    "BATCH_BYTES", "blocks_for", "bytes_of", "cut", "in_global_order", "map_rows", "row_tie", "shuffle_partitions", "small_batches", "spread_join",
+    "BATCH_BYTES", "blocks_for", "bytes_of", "cut", "hot_keys", "in_global_order", "map_rows", "row_tie", "shuffle_partitions", "small_batches", "spread_join",
     "text_or_empty", "texts_of", "to_batch",
 ]
 
@@ -40,26 +40,33 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str, counts: DataFrame, tie: Column) -> DataFrame:
-    """left joined with right by a column of both, when right has each key once and left may have any key very often.
+def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
+    """A broadcast table of the keys that more than a thousandth of all rows have, so MOST_HOT rows at most; None without any.
 
-    counts has the key and n, how many rows left has of it. Keys with more than a thousandth of all rows are hot; so there are
-    at most MOST_HOT of them, which are gathered. Their rows in left are dealt by a hash of `tie` (which must not change when
-    a lost task is run again) to as many tasks as a shuffle has, and the few rows of right are repeated for each. The
-    columns are those of left, then those of right without the key.
+    counts has a key and n, its number of rows.
     """
-    spark = left.sparkSession
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where(F.col("n") > max(HOT_ROWS, total // MOST_HOT)).select(key).limit(MOST_HOT + 1).collect()
     if not hot:
-        return left.join(right, key, how).select(*left.columns, *(c for c in right.columns if c != key and how not in ("left_anti", "left_semi")))
-    n = shuffle_partitions(spark)
-    table = F.broadcast(spark.createDataFrame(hot, counts.select(key).schema).withColumn("_hot", F.lit(True)))
-    salted = left.join(table, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(tie, F.lit(11)), F.lit(n))).otherwise(0).cast("int"))
+        return None
+    return F.broadcast(counts.sparkSession.createDataFrame(hot, counts.select(key).schema).withColumn("_hot", F.lit(True)))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame | None, tie: Column) -> DataFrame:
+    """left joined with right by a column of both, when right has each key once and left may have any key very often.
+
+    Rows of left with a hot key (hot_keys) are dealt by a hash of `tie` (which must not change when a lost task is run
+    again) to as many tasks as a shuffle has, and the few rows of right are repeated for each. The columns are those of
+    left, then those of right without the key. Which keys are hot changes the work, never the result.
+    """
+    columns = [*left.columns, *(c for c in right.columns if c != key and how not in ("left_anti", "left_semi"))]
+    if hot is None:
+        return left.join(right, key, how).select(*columns)
+    n = shuffle_partitions(left.sparkSession)
+    salted = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(tie, F.lit(11)), F.lit(n))).otherwise(0).cast("int"))
     every = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))))
-    copies = right.join(table, key, "left").withColumn("_salt", every).drop("_hot")
-    out = salted.drop("_hot").join(copies, [key, "_salt"], how)
-    return out.select(*left.columns, *(c for c in right.columns if c != key and how not in ("left_anti", "left_semi")))
+    copies = right.join(hot, key, "left").withColumn("_salt", every).drop("_hot")
+    return salted.drop("_hot").join(copies, [key, "_salt"], how).select(*columns)
 
 
 def row_tie() -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiretally.llm.common import cut, in_global_order, row_tie, shuffle_partitions, spread_join
+from wiretally.llm.common import cut, hot_keys, in_global_order, row_tie, shuffle_partitions, spread_join
 from wiretally.operators.order import with_place
 
 WEIGHTS = (3, 1, 2)
@@ -142,7 +142,7 @@ def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     def times(found: DataFrame, n: Column) -> DataFrame:
         return found.withColumn("_n", n).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select("_row")
 
-    out = times(spread_join(rows, wanted, "_key", "inner", counts, F.col("_tie")), F.floor(F.col("_copies") / F.col("_rows")))
+    out = times(spread_join(rows, wanted, "_key", "inner", hot_keys(counts, "_key"), F.col("_tie")), F.floor(F.col("_copies") / F.col("_rows")))
     uneven = wanted.where("_copies % _rows > 0")  # of repeated rows some are emitted once more
     most = uneven.agg(F.max(F.col("_copies") % F.col("_rows"))).first()[0]
     if most:

@@ -13,6 +13,9 @@ A document is the set of its distinct five-word shingles; documents link if 100
    into blocks, and each pair of blocks compares the full sets of different components in one task, which
    returns only links that join components. So near copies cost one pair each, and what is compared beyond that
    is never spelled out as rows.
+5. A star of many blocks would cost their square: many unlike documents with much boilerplate in common. Its members get
+   new lists instead, of the rarest quarter of their full sets, which is where two linked sets must share a value.
+   Unlike members have values of their own there, so these lists are short; they go through steps 3 and 4.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from wiretally.llm.common import bytes_of, cut, small_batches, text_or_empty
+from wiretally.llm.common import bytes_of, cut, hot_keys, small_batches, spread_join, text_or_empty
 
 WORDS = 5
 #: Similarity in hundredths from which documents link.
@@ -34,6 +37,10 @@ PERCENT = 75
 SKETCH, OVERLAP = 64, 25
 #: Documents and shingles of a block of a star, roughly.
 BLOCK_DOCS, BLOCK_SHINGLES = 128, 200_000
+#: Stars of more blocks get lists of their members' full sets first.
+STAR_BLOCKS = 16
+#: Members that are compared with one copy of their hub's text.
+HUB_MEMBERS = 20_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RNG = np.random.default_rng(20)
@@ -175,6 +182,14 @@ def postings(batches):
             yield pa.RecordBatch.from_arrays(arrays, names=["value", "node", "n"])
 
 
+def full_sets(batches):
+    """The nodes with all values of their sets, in the place of a sketch."""
+    for b in batches:
+        sets = [shingles(t) for t in bytes_of(b)]
+        arrays = [b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["node", "n", "sketch"])
+
+
 def confirm(batches):
     """Links among candidate pairs: those that the union sketch lets pass, confirmed on the full sets."""
     name, of_name = None, None
@@ -252,15 +267,18 @@ def joining_links(docs: list[tuple]):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and comp (the smallest node that it reaches) for all nodes of the edges (a, b)."""
+    """node and comp (the smallest node that it reaches) for all nodes of the edges (a, b). Nodes of very many edges, and
+    labels of very many nodes, are spread over tasks."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).withColumn("comp", F.least("node", "comp")))
+    crowded = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b")
     while True:
         # The least label of the neighbours, then the label of that label.
-        seen = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("comp").alias("near"))
+        seen = spread_join(both, label.withColumnRenamed("node", "b"), "b", "inner", crowded, F.col("a")).groupBy("a").agg(F.min("comp").alias("near"))
         low = label.join(seen, label["node"] == seen["a"]).select("node", "comp", F.least("comp", "near").alias("low"))
         jump = label.select(F.col("node").alias("low"), F.col("comp").alias("far"))
-        following = cut(low.join(jump, "low").select("node", F.least("low", "far").alias("next"), "comp"))
+        common = hot_keys(label.groupBy(F.col("comp").alias("low")).agg(F.count("*").alias("n")), "low")
+        following = cut(spread_join(low, jump, "low", "inner", common, F.col("node")).select("node", F.least("low", "far").alias("next"), "comp"))
         changed = following.where(F.col("next") != F.col("comp")).limit(1).count()
         label = following.select("node", F.col("next").alias("comp"))
         if not changed:
@@ -295,87 +313,125 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     or without shingles stay."""
     rows = rows_in_components(docs, id_col, text_col).where("n_shingles > 0 AND doc_id IS NOT NULL")
     rows = cut(rows.select("comp", F.struct("doc_id", "digest", "text_hash").alias("row")))
-    crowded = cut(rows.groupBy("comp").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first"))
-    others = cut(rows.join(crowded, "comp").groupBy("row", "first").agg(F.count("*").alias("n")))
-    key = ["doc_id", "text_hash"]
-    gone = others.where("row <> first").select(*(F.col(f"row.{k}").alias(f"_{k}") for k in key))
-    same = [F.col(k) == F.col(f"_{k}") for k in key]
-    left = docs.select(*row_key(id_col, text_col), F.struct("*").alias("_row"))
-    kept = left.join(gone, same, "left_anti")
-    # Of repeated rows one stays.
-    again = others.where("row = first AND n > 1").select(*(F.col(f"row.{k}").alias(f"_{k}") for k in key))
+    crowded = cut(rows.groupBy("comp").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    others = spread_join(rows, crowded.drop("n"), "comp", "inner", hot_keys(crowded.select("comp", "n"), "comp"), F.col("row"))
+    others = cut(others.groupBy("row", "first").agg(F.count("*").alias("n")))
+    key = F.struct("doc_id", "text_hash").alias("_key")
+    gone = others.where("row <> first").select(F.struct("row.doc_id", "row.text_hash").alias("_key"))
+    left = docs.select(*row_key(id_col, text_col), F.struct("*").alias("_row")).select(key, "_row")
+    again = others.where("row = first AND n > 1").select(F.struct("row.doc_id", "row.text_hash").alias("_key"))
+    # Of repeated rows one stays: all of them go, and one of each comes back.
+    kept = left.join(gone.unionAll(again), "_key", "left_anti").select("_row")
     if again.limit(1).count():
-        once = left.join(again, same, "left_semi").dropDuplicates(key)
-        kept = kept.join(again, same, "left_anti").unionByName(once)
+        once = left.join(again, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row"))
+        kept = kept.unionByName(once.select("_row"))
     return kept.select("_row.*")
 
 
 def rows_in_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_hash, n_shingles, digest, comp, component_id of every row. comp numbers the components, as two of them
-    may have the same smallest id; it and component_id are null where no row of an id has the row's set."""
+    may have the same smallest id; it and component_id are null for rows without an id or shingles."""
     texts = small_batches(docs).select(*row_key(id_col, text_col), text_or_empty(text_col).alias("text"))
     rows = cut(texts.mapInArrow(sketch_rows, "doc_id long, text_hash long, n_shingles long, digest binary, sketch binary"))
-    full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = full.groupBy("digest").agg(
-        F.min("doc_id").alias("min_id"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+    linkable = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    nodes = rows.where(linkable).groupBy("digest").agg(
+        F.min("doc_id").alias("min_id"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")
     )
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    lists = inverted_lists(nodes)
-    hubs = lists.groupBy("value").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("hub"), F.count("*").alias("members"))
-    hubs = cut(hubs.where("members > 1").select("value", "hub"))
-    stars = cut(lists.join(hubs, "value").select("hub", "node", "n").distinct())
+    whole = F.least(F.ceil(F.col("n") * PERCENT / 100), F.lit(2 * SKETCH // 3))
+    needed = F.when(F.col("n") <= SKETCH, whole).otherwise(OVERLAP)
+    stars = stars_of(inverted_lists(nodes.select("node", "n", "sketch"), needed))
 
     # Whole texts of all members, gathered once. Rows that repeat id and text are one.
     named = stars.select("node").distinct().join(nodes.select("node", "min_id", "digest"), "node")
-    whole = texts.join(named, texts["doc_id"] == named["min_id"])
-    whole = whole.dropDuplicates(["doc_id", "node", "text"]).select("node", "digest", "text")
-    whole = cut(whole.mapInArrow(right_text, "node long, text string"))
-    text = lambda x: whole.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    pairs = stars.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    pairs = pairs.join(text("b"), "b").join(text("a"), "a").sortWithinPartitions("a").select("a", "b", "ta", "tb")
-    found = cut(pairs.mapInArrow(confirm, "a long, b long"))
-    comp = components(found)
-
-    # Stars whose members are in more than one component.
-    placed = cut(stars.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-    split = placed.groupBy("hub").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), blocks.cast("int").alias("blocks"))
-    split = cut(split.where("c0 <> c1").select("hub", "blocks"))
-    # A document goes to every pair of blocks that has its own.
-    dealt = placed.join(split, "hub").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", "node", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dealt = dealt.join(whole, "node").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    more = cut(dealt.select("hub", "i", "j", "node", "comp", "text").mapInArrow(compare_blocks, "a long, b long"))
+    members = texts.join(named, texts["doc_id"] == named["min_id"])
+    members = members.dropDuplicates(["doc_id", "node", "text"]).select("node", "digest", "text")
+    members = cut(members.mapInArrow(right_text, "node long, text string"))
+    links = hub_links(stars, members)
+    comp = components(links)
+    left, split = unresolved(stars, comp)
+    more = block_links(left, split.where(F.col("blocks") <= STAR_BLOCKS), members)
+    large = split.where(F.col("blocks") > STAR_BLOCKS)
+    if large.limit(1).count():
+        crowd = left.join(large.select("hub"), "hub", "left_semi").select("node").distinct()
+        sets = members.join(crowd, "node").mapInArrow(full_sets, "node long, n long, sketch binary")
+        finer = stars_of(inverted_lists(sets, F.ceil(F.col("n") * PERCENT / 100)))
+        # Ends of `more` are nodes too: a component goes by one of its own.
+        links = cut(links.unionAll(more).unionAll(hub_links(finer, members)))
+        comp = components(links)
+        left, split = unresolved(finer, comp)
+        more = block_links(left, split, members)
+    comp = nodes.select("node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     if more.limit(1).count():
         # Links between components: their components name the final ones.
         again = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("_last"))
-        comp = nodes.select("node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        comp = comp.join(again, "comp", "left").select("node", F.coalesce("_last", "comp").alias("comp"))
+        common = hot_keys(comp.groupBy("comp").agg(F.count("*").alias("n")), "comp")
+        comp = spread_join(comp, again, "comp", "left", common, F.col("node")).select("node", F.coalesce("_last", "comp").alias("comp"))
 
     # Components by node number; their name is the smallest id of all their nodes.
-    ids = nodes.select("node", "digest", "min_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = cut(ids.select("comp", "digest", "min_id"))
-    names = cut(ids.groupBy("comp").agg(F.min("min_id").alias("component_id")))
-    named = ids.join(names, "comp").select("digest", "comp", "component_id")
-    out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
-    return out.select("doc_id", "text_hash", "n_shingles", "digest", "comp", "component_id")
-
-
-def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """value, node, n, central: each node under those of its shared retained values that are among its rarest; central is how
-    common its retained values are."""
-    lists = nodes.select("node", "n", "sketch").mapInArrow(postings, "value long, node long, n long")
+    ids = cut(nodes.select("node", "digest", "min_id", "copies").join(comp, "node"))
+    names = cut(ids.groupBy("comp").agg(F.min("min_id").alias("component_id"), F.count("*").alias("n")))
+    named = spread_join(ids.select("comp", "digest", "copies"), names.drop("n"), "comp", "inner", hot_keys(names.select("comp", "n"), "comp"), F.col("digest"))
+    named = cut(named)
+    columns = ["doc_id", "text_hash", "n_shingles", "digest"]
+    frequent = hot_keys(named.select("digest", F.col("copies").alias("n")), "digest")
+    tie = F.struct("doc_id", "text_hash")
+    out = spread_join(rows.where(linkable).select(*columns), named.drop("copies"), "digest", "inner", frequent, tie)
+    alone = rows.where(~linkable).select(*columns, F.lit(None).cast("long").alias("comp"), F.lit(None).cast("long").alias("component_id"))
+    return out.select(*columns, "comp", "component_id").unionByName(alone)
+
+
+def inverted_lists(nodes: DataFrame, needed: Column) -> DataFrame:
+    """value, node, n, central: each node under those of its shared values that are among its rarest. Two linked nodes have at
+    least `needed` of each other's values in common, so they meet in one of these lists; central is how common a node's values are."""
+    lists = nodes.mapInArrow(postings, "value long, node long, n long")
     shared = cut(lists.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
     # Values of one sketch only are the rarest; the shared ones follow by frequency.
     w = Window.partitionBy("node")
-    lists = lists.join(shared, "value").withColumns(
+    frequent = hot_keys(shared.select("value", F.col("df").alias("n")), "value")
+    lists = spread_join(lists, shared, "value", "inner", frequent, F.col("node")).withColumns(
         {
             "place": F.row_number().over(w.orderBy("df", "value")),
             "common": F.count("*").over(w),
             "central": F.sum("df").over(w),
         }
     )
-    whole = F.least(F.ceil(F.col("n") * PERCENT / 100), F.lit(2 * SKETCH // 3))
-    needed = F.when(F.col("n") <= SKETCH, whole).otherwise(OVERLAP)
     return cut(lists.where(F.col("place") + needed - 1 <= F.col("common")).select("value", "node", "n", "central"))
+
+
+def stars_of(lists: DataFrame) -> DataFrame:
+    """hub, node, n, members: every node of a list with the list's hub, once for each hub; members is the size of the list."""
+    hubs = lists.groupBy("value").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("hub"), F.count("*").alias("members"))
+    hubs = cut(hubs.where("members > 1"))
+    frequent = hot_keys(hubs.select("value", F.col("members").alias("n")), "value")
+    stars = spread_join(lists.drop("central"), hubs, "value", "inner", frequent, F.col("node"))
+    return cut(stars.groupBy("hub", "node").agg(F.first("n").alias("n"), F.max("members").alias("members")))
+
+
+def hub_links(stars: DataFrame, members: DataFrame) -> DataFrame:
+    """Links a, b between hubs and members, confirmed on the full sets. A hub's text is repeated for each HUB_MEMBERS members."""
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / HUB_MEMBERS)).alias("salt")
+    pairs = stars.where("node <> hub").select(F.col("hub").alias("a"), salt, F.col("node").alias("b"))
+    text = lambda x: members.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    hubs = pairs.select("a", "salt").distinct().join(text("a"), "a")
+    pairs = pairs.join(text("b"), "b").join(hubs, ["a", "salt"]).sortWithinPartitions("a").select("a", "b", "ta", "tb")
+    return cut(pairs.mapInArrow(confirm, "a long, b long"))
+
+
+def unresolved(stars: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stars with the components of their members; and of those with more than one: hub, blocks, members."""
+    placed = cut(stars.drop("members").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    split = placed.groupBy("hub").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), blocks.cast("int").alias("blocks"), F.count("*").alias("members"))
+    return placed, cut(split.where("c0 <> c1").select("hub", "blocks", "members"))
+
+
+def block_links(placed: DataFrame, split: DataFrame, members: DataFrame) -> DataFrame:
+    """Links a, b that join components, of all pairs of blocks of each star. A document goes to every pair that has its own."""
+    frequent = hot_keys(split.select("hub", F.col("members").alias("n")), "hub")
+    dealt = spread_join(placed, split.drop("members"), "hub", "inner", frequent, F.col("node"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("hub", "node", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.join(members, "node").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return cut(dealt.select("hub", "i", "j", "node", "comp", "text").mapInArrow(compare_blocks, "a long, b long"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiretally.llm.common import cut, map_rows, row_tie, spread_join, text_or_empty, texts_of
+from wiretally.llm.common import cut, hot_keys, map_rows, row_tie, spread_join, text_or_empty, texts_of
 from wiretally.session import exists
 
 #: To be raised with every change of the rules below.
@@ -140,8 +140,8 @@ def scan_documents(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text
     """
     found = scan_into(ledger, docs, text_col).where("spans <> ''").drop("rule_version")
     paths = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), blob_address(text_col).alias("blob"), row_tie().alias("_tie")))
-    counts = paths.groupBy("blob").agg(F.count("*").alias("n"))
-    out = spread_join(paths, found, "blob", "left", counts, F.col("_tie"))
+    hot = hot_keys(paths.groupBy("blob").agg(F.count("*").alias("n")), "blob")
+    out = spread_join(paths, found, "blob", "left", hot, F.col("_tie"))
     none = {"n_assign": 0, "n_access": 0, "n_hex": 0, "base_spans": "", "spans": ""}
     return out.select("doc_id", "blob", *(F.coalesce(F.col(c), F.lit(x)).alias(c) for c, x in none.items()))
 
@@ -171,7 +171,7 @@ def redact_documents(docs: DataFrame, ledger: Ledger, text_col: str = "text", le
     def blank(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else redact(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    out = spread_join(rows, entries, "_blob", "left", counts, F.col("_tie"))
+    out = spread_join(rows, entries, "_blob", "left", hot_keys(counts, "_blob"), F.col("_tie"))
     out = out.withColumn("_new", blank(F.col("_row")[text_col], F.col("_spans")))
     row = F.col("_row").withField(text_col, F.col("_new"))
     if length_col in docs.columns:
