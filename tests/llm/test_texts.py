@@ -44,20 +44,58 @@ def test_anchors_are_context_free():
     assert max(n for _, _, n in spans) > 0.8 * len(passage)
 
 
+def brute_likeness(a, b):
+    """Of the steps from anchor to anchor, one by one: the two window texts and their distance."""
+    found = []
+    for data in (a.encode(), b.encode()):
+        at = [int(x) for x in syncmers.anchors(data)[0]]
+        windows = [data[p : p + syncmers.K] if len(data) >= syncmers.K else data for p in at]
+        found.append({(x, y, q - p) for p, q, x, y in zip(at, at[1:], windows, windows[1:])} if len(at) > 1 else set(windows))
+    one, two = found
+    return 1.0 if not one and not two else 2 * len(one & two) / (len(one) + len(two))
+
+
+def brute_fingerprints(rows):
+    """(doc_id, text) in order of id: what op2 returns but for the fingerprints' spelling."""
+    out = []
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        h = len(t) // 2
+        e = t[: len(t) - h] + following[:h]
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), round(brute_likeness(t, e), 9), round(brute_likeness(t, following), 9)))
+    return out
+
+
 def test_fingerprints(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = {r["doc_id"]: r for r in syncmers.fingerprint_documents(docs).collect()}
-    texts = dict(sorted((r["doc_id"], r["text"]) for r in docs.collect()))
-    ids = list(texts)
-    for i, d in enumerate(ids):
-        following, r = texts[ids[(i + 1) % len(ids)]], rows[d]
-        e = syncmers.edited(texts[d], following)
-        h = len(texts[d]) // 2
-        assert e == texts[d][: len(texts[d]) - h] + following[:h]
-        own, other, nxt = (syncmers.distinct(syncmers.read(syncmers.fingerprint(x))) for x in (texts[d], e, following))
-        assert r["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest() and r["n_chars"] == len(texts[d])
-        assert r["fingerprint"] == syncmers.fingerprint(texts[d]) and r["edited_fingerprint"] == syncmers.fingerprint(e)
-        assert r["near_edited"] == pytest.approx(syncmers.likeness(own, other)) and r["near_next"] == pytest.approx(syncmers.likeness(own, nxt))
+    rows = sorted(syncmers.fingerprint_documents(docs).collect())
+    texts = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in rows]
+    assert got == brute_fingerprints(texts)
+    for k, (r, (_, t)) in enumerate(zip(rows, texts, strict=True)):
+        e = syncmers.edited(t, texts[(k + 1) % len(texts)][1])
+        assert r["fingerprint"] == syncmers.fingerprint(t) and r["edited_fingerprint"] == syncmers.fingerprint(e)
+        assert syncmers.read(r["fingerprint"]).tolist() == [int(h) >> 40 for h in syncmers.anchors(t.encode())[1]]
+
+
+def test_very_many_equal_rows(make):
+    """Nine tenths of the rows are one text without an id: one of them is shuffled, and all are returned."""
+    same = "one text that very many rows have, long enough for some anchors to stand in it"
+    rows = [(i, f"text number {i} with words of its own {i * i}") for i in range(40)] + [(None, same)] * 400
+    docs = make(rows).repartition(3)
+    got = syncmers.fingerprint_documents(docs).collect()
+    out = sorted(((r["doc_id"] is None, r["doc_id"]), r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got if r["doc_id"] is not None)
+    want = brute_fingerprints(rows)
+    assert out == [((False, i), *x) for i, *x in want[:40]]
+    assert sorted(round(r["near_next"], 9) for r in got if r["doc_id"] is None) == sorted(x[4] for x in want[40:])
+
+
+def test_long_unrelated_texts_are_unlike():
+    import random
+
+    a, b = (" ".join(f"w{rng.randrange(10**9)}" for _ in range(100_000)) for rng in (random.Random(1), random.Random(2)))
+    x, y = (syncmers.steps(*syncmers.anchors(t.encode())) for t in (a, b))
+    assert len(x) > 100_000 and syncmers.likeness(x, y) < 1e-4
 
 
 def test_odd_fingerprints(make):

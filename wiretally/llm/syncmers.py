@@ -3,7 +3,8 @@
 A K-byte window of the text is an anchor if the smallest of its S-byte inner substrings (by hash) lies at
 either edge. Whether a window is chosen depends on its own bytes alone, so the same passage has
 the same anchors wherever it stands, and every K + (K - S) bytes hold at least one. A fingerprint is the anchors' short
-hashes in text order.
+hashes in text order. Two fingerprints are matched by position: what counts are pairs of neighbouring anchors that stand
+the same distance apart in both texts.
 """
 
 from __future__ import annotations
@@ -86,15 +87,27 @@ def read(fingerprint: str) -> np.ndarray:
     return (raw[:, 0] << 16) | (raw[:, 1] << 8) | raw[:, 2]
 
 
-def distinct(short: np.ndarray) -> np.ndarray:
-    if len(short) < 2:
-        return short
-    s = np.sort(short)
+def distinct(values: np.ndarray) -> np.ndarray:
+    if len(values) < 2:
+        return values
+    s = np.sort(values)
     return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
+def steps(at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes of the steps from each anchor to the next: both anchors, in full, and the bytes between them. A
+    text of one anchor has that one."""
+    if len(h) < 2:
+        return h
+    x = h[:-1] * MULTIPLIERS[2] + np.diff(at).astype(np.uint64) * MULTIPLIERS[3]
+    x ^= x >> HALF
+    x = (x + h[1:]) * MULTIPLIERS[0]
+    x ^= x >> HALF
+    return distinct(x)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Twice the distinct anchors in common, over those of both (sorted, distinct); 1 for two without any."""
+    """Twice the distinct steps in common, over those of both (sorted, distinct); 1 for two without any."""
     if not len(a) and not len(b):
         return 1.0
     both = np.sort(np.concatenate((a, b)))
@@ -136,7 +149,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     equal in both are interchangeable), after the last the first; a lone row follows itself. A null text
     counts as empty: no anchors, empty fingerprint. Further columns are ignored; an empty table gives an empty one.
 
-    Texts are shuffled once, to ranges of ids; the first row of each range also goes to the range before it.
+    Texts are shuffled once, to ranges of ids; the first row of each range also goes to the range before it. Of very many rows
+    that are equal in id and text one goes on and is returned as often as they came: each but the last follows itself.
     """
     spark = docs.sparkSession
     text = text_or_empty(text_col)
@@ -150,6 +164,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # First keys of the ranges: as many as there are ranges, and one more for each partition.
     firsts = sorted({(r[0], r[1]) for r in order.where(F.col("_idx") % step == 0).select("_key", "_h").collect()}) or [(0, 0)]
     keys = np.array([k for k, _ in firsts], np.int64)
+    # Rows that are equal in id and text and fill more than a range's share: fewer such keys than there are ranges. They
+    # are first keys, since more rows than lie between two first rows are theirs.
+    crowd = {(r[0], r[1]): r[2] for r in order.groupBy("_key", "_h").agg(F.count("*").alias("n")).where(F.col("n") > step).collect()}
 
     @F.pandas_udf("int")
     def range_of(key: pd.Series, h: pd.Series) -> pd.Series:
@@ -162,28 +179,38 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             last[i] = -1 - j if j >= 0 and firsts[j] == pair else j
         return pd.Series(last.astype(np.int32))
 
+    rows = rows.withColumn("_times", F.lit(1).cast("long"))
+    if crowd:
+        table = F.broadcast(spark.createDataFrame([(k, h, n) for (k, h), n in crowd.items()], "_key long, _h long, _n long"))
+        rows = rows.join(table, ["_key", "_h"], "left")
+        one = rows.where("_n IS NOT NULL").groupBy("_key", "_h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("_n").alias("_times"))
+        rows = rows.where("_n IS NULL").drop("_n").unionByName(one)
     n = len(firsts)
     at = F.col("_range")
     own = F.when(at < 0, -1 - at).otherwise(at)
     places = F.when(at < 0, F.array(F.struct(own.alias("r"), F.lit(False).alias("d")), F.struct(((own + n - 1) % n).alias("r"), F.lit(True).alias("d"))))
     places = places.otherwise(F.array(F.struct(own.alias("r"), F.lit(False).alias("d"))))
     dealt = rows.withColumn("_range", range_of("_key", "_h")).withColumn("_p", F.explode(places))
-    dealt = dealt.select(F.col("_p.r").alias("_r"), F.col("_p.d").alias("_d"), "_key", "_h", "doc_id", "text")
+    dealt = dealt.select(F.col("_p.r").alias("_r"), F.col("_p.d").alias("_d"), "_key", "_h", "doc_id", "text", "_times")
     dealt = dealt.repartitionById(n, F.col("_r")).sortWithinPartitions("_d", "_key", "_h")
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string())]
-        + [("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+        + [("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("_times", pa.int64())]
     )
 
     def run(batches):
         held, size, prev = [], 0, None
         for b in batches:
-            for i, t, extra in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("_d").to_pylist(), strict=True):
+            columns = (b.column("doc_id").to_pylist(), b.column("text"), b.column("_d").to_pylist(), b.column("_times").to_pylist())
+            for i, t, extra, times in zip(*columns, strict=True):
                 t = t.as_py()
-                short = short_hashes(anchors(t.encode())[1])
-                now = (i, t, short, distinct(short))
-                if prev is not None:
-                    held.append(compare(prev, now))
+                at, h = anchors(t.encode())
+                now = (i, t, short_hashes(h), steps(at, h))
+                pairs = [(prev, now, 1)] if prev is not None else []
+                if times > 1 and not extra:
+                    pairs.append((now, now, times - 1))
+                for one, following, n_times in pairs:
+                    held.append((*compare(one, following), n_times))
                     size += len(held[-1][3]) + len(held[-1][4])
                     if size > BATCH_BYTES:
                         yield to_batch(held, schema)
@@ -198,23 +225,26 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if held:
             yield to_batch(held, schema)
 
-    return dealt.select("doc_id", "text", "_d").mapInArrow(
+    out = dealt.select("doc_id", "text", "_d", "_times").mapInArrow(
         run,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
-        " near_edited double, near_next double",
+        " near_edited double, near_next double, _times long",
     )
+    if crowd:
+        out = out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_k")
+    return out.drop("_times")
 
 
 def compare(one: tuple, following: tuple) -> tuple:
     doc_id, text, short, own = one
     data = edited(text, following[1]).encode()
-    short_edited = short_hashes(anchors(data)[1])
+    at, h = anchors(data)
     return (
         doc_id,
         len(text),
         hashlib.sha256(data).hexdigest(),
         spell(short),
-        spell(short_edited),
-        likeness(own, distinct(short_edited)),
+        spell(short_hashes(h)),
+        likeness(own, steps(at, h)),
         likeness(own, following[3]),
     )
