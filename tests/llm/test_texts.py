@@ -175,6 +175,66 @@ def test_related_licenses(make):
     assert {r["doc_id"]: round(r["score"], 6) for r in rows} == {1: 1.0, 2: 0.25}
 
 
+def brute_labels(text):
+    """(labels, score): every notice's grams, diagonal by diagonal, chain by chain; then the best spans that don't overlap."""
+    ws, listed = words(text), [(p, x, True) for p, x in licenses.PHRASES.items()]
+    listed += [(n, x, False) for x, ns in licenses.NOTICES.items() for n in ns]
+    grams, labels, score, spans = {}, set(), 0.0, []
+    for i in range(len(ws) - 2):
+        grams.setdefault(" ".join(ws[i : i + 3]), []).append(i)
+    for number, (phrase, label, base) in enumerate(listed):
+        n = len(phrase.split()) - 2
+        if base:
+            found = [i for i in range(len(ws) - n - 1) if ws[i : i + n + 2] == phrase.split()]
+            if found:
+                labels.add(label)
+                score = 1.0
+            continue
+        needs = licenses.DECIDING.get(phrase, ())
+        hits = [(at - place, at, place, bits) for (g, place), bits in licenses.template_grams(phrase, needs, True).items() for at in grams.get(g, ())]
+        chains = []
+        for h in sorted(hits):
+            if chains and h[0] - chains[-1][-1][0] <= licenses.DRIFT:
+                chains[-1].append(h)
+            else:
+                chains.append([h])
+        for c in chains:
+            lo, hi, places, bits = min(h[1] for h in c), max(h[1] for h in c), {h[2] for h in c}, 0
+            for h in c:
+                bits |= h[3]
+            score = max(score, len(places) / n)
+            if len(places) >= 0.6 * n and bits == (1 << len(needs)) - 1 and hi - lo + 3 <= 2 * (n + 2):
+                spans.append((-len(places) / n, -len(places), lo, number, hi + 3, label))
+    kept = []
+    for s in sorted(spans):
+        if all(s[4] <= k[2] or k[4] <= s[2] for k in kept):
+            kept.append(s)
+    return ",".join(sorted(labels | {k[5] for k in kept})), round(score, 9)
+
+
+def test_labels_against_brute_force(spark, sf, make):
+    """All labels and scores of whole documents, of whole license texts cut, changed and repeated, and of hostile repetitions."""
+    import random
+
+    from wiretally.llm import license_texts
+
+    rng = random.Random(3)
+    cases = ["the gnu general " * 200, "you may obtain " * 200, "associated documentation files " * 100, "redistribution and use " * 200]
+    whole = [t for ts in license_texts.TEXTS.values() for t in ts]
+    for t in whole:
+        ws = t.split()
+        cases += [t, "Intro words. " + t + " Some more.", " ".join(w for w in ws if rng.random() > 0.05), " ".join(ws[: len(ws) // 2]), " ".join(x for w in ws for x in ([w, "zz"] if rng.random() < 0.1 else [w]))]
+    cases += [whole[i] + " " + whole[(i * 3 + 1) % len(whole)] for i in range(len(whole))]
+    rows = licenses.scan_licenses(make(list(enumerate(cases)))).collect()
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in rows}
+    for i, c in enumerate(cases):
+        assert got[i] == brute_labels(c), c
+    assert all(got[i][0] == "" for i in range(4)) and [got[4 + 5 * i][0] for i in range(len(whole))] == [x for x, ts in license_texts.TEXTS.items() for _ in ts]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all((r["labels"], round(r["score"], 9)) == brute_labels(texts[r["doc_id"]]) for r in licenses.scan_licenses(docs).collect())
+
+
 def test_odd_licenses(make):
     rows = licenses.scan_licenses(make([*ODD, (4, "under the mit license"), (9, "under the mit license"), (9, "under the mit license")], **CLASH)).collect()
     assert len(rows) == len(ODD) + 3

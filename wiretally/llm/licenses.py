@@ -4,7 +4,8 @@ All rolling word k-grams of a text are hashed and joined with the positions at w
 have the same k-gram. Matches of one offset (document place minus template place) are on one diagonal and vote
 for the template; neighbouring diagonals are merged, so a few words may be missing or added. Each gram is verified
 word by word in the join, and each merged span as a whole: enough distinct places of its template must stand in it, and
-so must the words that tell the license from its relatives. Where spans of notices overlap, the best one counts.
+so must the words that tell the license from its relatives, in no more than twice its words. Where spans of notices
+overlap, the best one counts.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wiretally.llm import license_texts
 from wiretally.llm.common import text_or_empty
 
 #: Words of a gram; the shortest phrase has three.
 K = 3
 #: Diagonals up to this far apart belong to one span.
 DRIFT = 3
-#: Part of a template's grams that a span must hold.
-COVERAGE = 0.6
+#: Part of a template's grams that a span must hold, and how many times the template's words a span may have.
+COVERAGE, STRETCH = 0.6, 2
 
 # The phrases to be found word for word, and their labels.
 PHRASES = {
@@ -70,6 +72,13 @@ DECIDING = {
     " the free software foundation": ("gnu general public",),
     "this source code form is subject to the terms of the mozilla public license v 2 0": ("mozilla public license", "v 2"),
 }
+# Whole texts stand beside the notices; a text that holds both goes by the longer one.
+for _label, _texts in license_texts.TEXTS.items():
+    for _text in _texts:
+        _words = " ".join(re.findall(r"[a-z0-9]+", _text.lower()))
+        NOTICES.setdefault(_label, []).append(_words)
+        if _label in license_texts.DECIDING:
+            DECIDING[_words] = license_texts.DECIDING[_label]
 # Spellings of one thing; a notice may be written with any of a line.
 SPELLINGS = [[r"\b(?:version|v) (\d+)\b", r"version \1", r"v \1", r"v\1"], [r"\bnoncommercial\b", "noncommercial", "non commercial"]]
 #: Places of a template that one mask tells apart.
@@ -184,9 +193,10 @@ def scan_licenses(
         F.max("n_words").alias("n_words"),
         F.max("copies").alias("copies"),
     )
-    # Verified: distinct places and deciding words.
+    # Verified: distinct places, deciding words, and no wider than a notice with words put in.
     coverage = F.when(F.col("template").isNotNull(), F.col("places_hit") / F.col("t_grams"))
-    good = ~F.col("base") & (coverage >= COVERAGE) & (F.col("bits") == F.col("t_needs"))
+    fits = F.col("hi") - F.col("lo") + K <= STRETCH * (F.col("t_grams") + K - 1)
+    good = ~F.col("base") & (coverage >= COVERAGE) & (F.col("bits") == F.col("t_needs")) & fits
     spans = spans.select("*", coverage.alias("coverage"), F.coalesce(good, F.lit(False)).alias("good"), (F.col("hi") + K).alias("end"))
     # Runs of overlapping spans of notices; in each the best spans that don't overlap count.
     w = Window.partitionBy("doc_id", "_th").orderBy("lo", "template")
