@@ -24,16 +24,40 @@ def as32(rows):
     return [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
 
 
-@pytest.mark.parametrize("blocks", [(4096, 512), (37, 5)])
+@pytest.mark.parametrize("blocks", [(4096, 512, 2048), (37, 5, 16), (100, 3, 100)])
 def test_top_k_against_brute_force(spark, blocks):
     rng = random.Random(1)
     rows = as32([(i, [rng.gauss(0, 0.2) + 0.3 * (d == i % 7) for d in range(16)]) for i in range(300)])
     rows += as32([(300 + i, rows[5][1]) for i in range(60)])  # a very common vector
     df = spark.createDataFrame(rows, SCHEMA)
-    got = topk.top_k(df, 20, index_block=blocks[0], query_block=blocks[1]).collect()
+    got = topk.top_k(df, 20, index_block=blocks[0], query_block=blocks[1], least_block=blocks[2]).collect()
     assert sorted(map(tuple, got)) == brute_top(rows, 20)
 
 
+def test_search_stops_on_proof(spark):
+    """Fewer postings are multiplied than a plain product has, and no member of the k best is missed, with or without a bar."""
+    v = [r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()]
+    m = np.floor(64 * np.array([x for x in v if x], np.float64)).astype(np.int64)
+    for scale in (1, 1000, 1 << 20, 1 << 27):
+        index, work = topk.ImpactIndex(m * scale), 0
+        for q in m[::100]:
+            scores = (m * scale) @ q
+            kth = int(np.sort(scores)[-20])
+            for known in (None, kth, kth - 5):
+                at, got, done = index.search(q, 20, known)
+                assert set(np.flatnonzero(scores >= kth)) <= set(at.tolist()) and (got == scores[at]).all()
+                work += done
+        assert work < 0.85 * 3 * len(m[::100]) * m.size
+
+
+def test_products_beyond_64_bits(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0]), (3, [1.0, 1.0]), (20, [2e9, 2e9]), (4, [3e9, 1e9])]
+    got = {(r[0], r[2]): r[3] for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10).collect()}
+    top = (1 << 63) - 1
+    assert got[0, 1] == top and got[0, 2] == -top - 1 and got[0, 3] == top and got[20, 3] == int(64 * 2e9) * 64 * 2
+    assert len(got) == 10
+
+
 def test_odd_vectors(spark):
     rows = as32([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (20, [0.5]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (5, []), (40, [-3.0, 1e6])])
     df = spark.createDataFrame(rows, SCHEMA)

@@ -1,95 +1,103 @@
 """Exact top-k inner products with an impact-ordered index, score at a time.
 
-Vectors are integers. The postings of a block of vectors are cut into segments by quantised impact, the bit length of a
-component's magnitude; query components are quantised the same way. Pairs of segments are processed by descending
-impact of their product, for all queries of a block at once, and add to running scores. After a wave, what the
-remaining segments can still bring is bounded by the norms of their parts (Cauchy-Schwarz), so each vector has a lower
-and an upper bound. A vector is ruled out only when its upper bound is below the k-th lower bound; a query stops when few
-vectors are left, and these are rescored exactly.
+Vectors are integers. The postings of a block of vectors are kept by dimension and quantised impact, the bit length of a
+component's magnitude: a segment (dimension, impact) lists the vectors with such a component and its values. Segments are
+built and written once. A query processes them by descending impact of their product with its own component and adds to
+running scores. All that a query has not processed yet is bounded by the largest impact left in each dimension, so after each
+wave every vector has an upper bound. A vector is ruled out only when that is below the k-th best score known; the query stops when
+few vectors are left, and these are rescored exactly.
+
+Blocks hold vectors by descending norm. The first block gives each query a k-th score, which goes with it to the others; and a
+block whose largest norm can't reach it is left out before anything is sent to it.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiretally.llm.common import blocks_for, cut
-
-#: Vectors of an index block and queries of a query block: the memory of a task, not a limit on the search.
-INDEX_BLOCK, QUERY_BLOCK = 4096, 512
-#: Impact levels of a component; the last one holds all smaller magnitudes.
-LEVELS = 4
-
-
-def segments(matrix: np.ndarray) -> list[np.ndarray]:
-    """The matrix as a sum of LEVELS matrices, by descending bit length of the components' magnitudes."""
-    size = np.abs(matrix)
-    top = int(size.max(initial=0)).bit_length()
-    out = []
-    for i in range(LEVELS):
-        held = size < 1 << max(top - i, 0)
-        if i < LEVELS - 1:
-            held &= size >= 1 << max(top - i - 1, 0)
-        out.append(np.where(held if i else held | (size >= 1 << top), matrix, 0))
-    return out
+from wiretally.llm.common import blocks_for, cut, shuffle_partitions
+from wiretally.operators.order import with_place
 
-
-def norms(parts: list[np.ndarray]) -> np.ndarray:
-    """Euclidean norms of the rows of each part: shape (LEVELS, rows)."""
-    return np.stack([np.sqrt((p.astype(np.float64) ** 2).sum(1)) for p in parts])
+#: Vectors of an index block and queries of a query block: the memory of a task, not a limit on the search. Blocks get smaller,
+#: down to LEAST_BLOCK, as long as there are fewer than tasks in a shuffle.
+INDEX_BLOCK, QUERY_BLOCK, LEAST_BLOCK = 16384, 2048, 2048
+#: Part of a block's vectors at which a query stops and rescores.
+FEW = 1 / 16
+#: Waves for each doubling of what a posting can bring.
+WAVES = 2
 
 
 class ImpactIndex:
-    """Segments of a block of integer vectors (one row each)."""
+    """Posting segments of a block of integer vectors (one row each)."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = np.ascontiguousarray(vectors, np.int64)
-        self.n, self.dims = self.vectors.shape
-        self.parts = segments(self.vectors)
-        self.norms = norms(self.parts)
-        self.most = int(np.abs(self.vectors).max(initial=0))
-        self.cast: dict = {}
-
-    def as_type(self, kind: type) -> list[np.ndarray]:
-        if kind not in self.cast:
-            self.cast[kind] = [np.ascontiguousarray(p.T, kind) for p in self.parts]
-        return self.cast[kind]
-
-    def search(self, queries: np.ndarray, k: int):
-        """(query number, places, scores) for every query; the places hold all vectors of the k highest scores, ties included."""
-        queries = queries.astype(np.int64)
-        if self.n <= k or not self.dims:
-            for i, q in enumerate(queries):
-                yield i, np.arange(self.n), self.vectors @ q
-            return
-        largest = self.most * int(np.abs(queries).max(initial=0)) * self.dims
-        # Sums of integers are exact in floating point below the length of its mantissa.
-        kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64
-        index, parts = self.as_type(kind), [p.astype(kind) for p in segments(queries)]
-        asked = norms(parts)
-        pending, sums = np.arange(len(queries)), np.zeros((len(queries), self.n), kind)
-        for wave in range(2 * LEVELS - 1):
-            for j in range(max(0, wave - LEVELS + 1), min(wave, LEVELS - 1) + 1):
-                if asked[j][pending].any():
-                    sums += parts[j][pending] @ index[wave - j]
-            if wave < LEVELS - 1:
-                continue
-            rest = sum(
-                (np.outer(asked[j][pending], self.norms[max(0, wave - j + 1) :].sum(0)) for j in range(LEVELS) if wave - j + 1 < LEVELS),
-                np.zeros((1, 1)),
-            )
-            rest = np.ceil(rest * 1.000001) + (rest > 0)  # safe against rounding of the norms
-            least = np.partition(sums - rest, self.n - k, axis=1)[:, self.n - k]
-            possible = sums + rest >= least[:, None]
-            few = (possible.sum(1) <= max(4 * k, self.n // 64)) | (wave == 2 * LEVELS - 2)
-            for row in np.flatnonzero(few):
-                at = np.flatnonzero(possible[row])
-                yield pending[row], at, self.vectors[at] @ queries[pending[row]]
-            pending, sums = pending[~few], sums[~few]
-            if not len(pending):
-                return
+        vectors = np.ascontiguousarray(vectors, np.int64)
+        self.n, self.dims = vectors.shape
+        self.most = max(int(vectors.max(initial=0)), -int(vectors.min(initial=0)))
+        kind = next((t for t in (np.int8, np.int16, np.int32) if self.most <= np.iinfo(t).max), np.int64)
+        self.vectors = vectors.astype(kind)
+        size = np.abs(vectors.T.astype(np.float64))  # by dimension
+        # The bit length of a magnitude; exact, as rounding to a float can only raise it.
+        impact = np.where(size > 0, np.frexp(size)[1], 0).ravel()
+        held = np.flatnonzero(impact)
+        key = (held // max(self.n, 1)) * 64 + impact[held]
+        order = np.argsort(key, kind="stable")
+        key, held = key[order], held[order]
+        self.ids = (held % max(self.n, 1)).astype(np.int32)
+        self.values = self.vectors.T.ravel()[held]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        self.first = np.append(first, len(key))
+        self.dim = key[first] // 64
+        # A segment's impact: the largest magnitude in it, of the bit length that its members have in common.
+        self.impact = np.maximum.reduceat(np.abs(self.values.astype(np.float64)), first) if len(first) else np.empty(0)
+
+    def search(self, q: np.ndarray, k: int, known: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """(places, scores, multiplied): all vectors of the k highest scores, ties included, but for those below `known`, a score that
+        the k-th best of all blocks has at least; and how many postings and components were multiplied."""
+        largest = self.most * max(int(q.max(initial=0)), -int(q.min(initial=0))) * self.dims
+        if largest >= 1 << 62:
+            return self.exact(np.arange(self.n), q, object)
+        if self.n <= 2 * k:
+            return self.exact(np.arange(self.n), q)
+        kind = np.int32 if largest < 1 << 31 else np.int64
+        slack = 0.0 if largest < 1 << 53 else largest * 1e-12  # sums beyond 53 bits are compared after rounding
+        mine = q[self.dim]
+        # What one posting of a segment can bring at most.
+        reach = np.abs(mine.astype(np.float64)) * self.impact
+        order = np.argsort(-reach, kind="stable")
+        order = order[reach[order] > 0]
+        waves = -np.floor(np.log2(reach[order]) * WAVES)
+        sums, done, at = np.zeros(self.n, kind), 0, 0
+        while True:
+            end = at + int(np.searchsorted(waves[at:], waves[at], "right")) if at < len(order) else at
+            for seg in order[at:end]:
+                a, b = self.first[seg], self.first[seg + 1]
+                sums[self.ids[a:b]] += self.values[a:b] * kind(mine[seg])
+                done += int(b - a)
+            at = end
+            # Of each dimension the largest product among the segments that are left, which stand in order of reach.
+            left = order[at:]
+            top = np.unique(self.dim[left], return_index=True)[1]
+            rest = float(reach[left][top].sum()) + slack
+            bar = float(np.partition(sums, self.n - k)[self.n - k]) - rest
+            bar = bar if known is None else max(bar, float(known) - slack)
+            possible = np.flatnonzero(sums + rest >= bar)
+            if at == len(order) or len(possible) <= max(2 * k, self.n * FEW):
+                break
+        places, scores, more = self.exact(possible, q)
+        return places, scores, done + more
+
+    def exact(self, places: np.ndarray, q: np.ndarray, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray, int]:
+        """Whole inner products; those beyond 64 bits are cut off there."""
+        scores = self.vectors[places].astype(kind) @ q.astype(kind)
+        if kind is object:
+            scores = np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in scores], np.int64)
+        return places, scores, len(places) * self.dims
 
 
 def quantise(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -112,62 +120,102 @@ def top_k(
     vector_col: str = "embedding",
     index_block: int = INDEX_BLOCK,
     query_block: int = QUERY_BLOCK,
+    least_block: int = LEAST_BLOCK,
 ) -> DataFrame:
     """For each row whose id is divisible by `every`, the k rows of highest integer inner product.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id; all other rows if they are fewer
     than k. Rows whose vector is null or holds a null or non-finite component, or whose id is null, take no part.
-    Vectors of different lengths are padded with zeros; scores are 64-bit integers. A row is never its own
-    neighbour; a repeated row is one, and each repetition of a query has its own ranks (rows of one
+    Vectors of different lengths are padded with zeros. Components and scores are 64-bit integers and are cut off there. A row is
+    never its own neighbour; a repeated row is one, and each repetition of a query has its own ranks (rows of one
     query id then repeat). Further columns are ignored; an empty table gives an empty table.
 
-    Queries and vectors are dealt to blocks of bounded size, each pair of blocks is one task: the index
-    of a block is built there. Only the k best of each pair go on, so identical vectors and hot ids cost nothing more.
+    An index block goes to as many tasks as there are query blocks, a query to as many as there are index blocks that can
+    reach its k-th score. At 10^8 vectors of 64 components that is 6104 index blocks of about 8 MB and 2442 query blocks.
+    Only the k best of each pair go on, so identical vectors and hot ids cost nothing more.
     """
     rows = quantise(vectors, scale, id_col, vector_col)
     is_query = F.col("vec_id") % every == 0
     n, q = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    n_index, n_query = blocks_for(n, index_block), blocks_for(q, query_block)
-    spread = F.xxhash64("_rid", F.lit(3))
-    index = rows.withColumn("_b", F.pmod(spread, F.lit(n_index))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
-    queries = rows.where(is_query).withColumn("_q", F.pmod(spread, F.lit(n_query)))
-    queries = queries.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))))
-    columns = ["_rid", "vec_id", "v", (F.col("_q").cast("int") * n_index + F.col("_b").cast("int")).alias("_t")]
-    both = index.select(*columns, F.lit(False).alias("_is")).unionByName(queries.select(*columns, F.lit(True).alias("_is")))
-    dealt = both.repartitionById(n_index * n_query, F.col("_t")).select("_rid", "vec_id", "v", "_is")
+    parts = shuffle_partitions(vectors.sparkSession)
+    n_index = max(blocks_for(n, index_block), min(blocks_for(n, least_block), parts))
+    n_query = blocks_for(q, query_block)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    rows = with_place(rows.withColumn("norm", norm), F.desc("norm"), F.col("_rid"))
+    rows = rows.withColumn("_b", F.floor((F.col("place") - 1) * F.lit(n_index) / F.lit(max(n, 1))).cast("int")).drop("place")
+
+    def build(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            blob = pickle.dumps((table.column("_rid").to_numpy(), table.column("vec_id").to_numpy(), ImpactIndex(matrix_of(table))), protocol=5)
+            yield pa.RecordBatch.from_arrays([pa.array([table.column("_b")[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], names=["_b", "blob"])
+
+    index = cut(rows.repartitionById(n_index, F.col("_b")).select("_rid", "vec_id", "v", "_b").mapInArrow(build, "_b int, blob binary"))
+    # Queries are dealt by a hash of their row, so that no query block is fuller than another.
+    queries = rows.where(is_query).withColumn("_q", F.pmod(F.xxhash64("_rid", F.lit(3)), F.lit(n_query)).cast("int"))
+    queries = cut(queries.select("_rid", "vec_id", "v", "norm", "_q"))
 
     def search(batches):
-        held = list(batches)  # one pair of blocks
-        if not sum(b.num_rows for b in held):
-            return
-        table = pa.Table.from_batches(held)
-        rid, ids = table.column("_rid").to_numpy(), table.column("vec_id").to_numpy()
-        lists = table.column("v").combine_chunks()
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        matrix = padded(lists)
-        asks = table.column("_is").to_numpy(zero_copy_only=False).astype(bool)
-        index = ImpactIndex(matrix[~asks])
-        own, names = rid[~asks], ids[~asks]
-        out = []
-        rows = np.flatnonzero(asks)
-        for at_query in range(0, len(rows), query_block):
-            part = rows[at_query : at_query + query_block]
-            for q, at, scores in index.search(matrix[part], k + 1):  # one more: the query's own row may be there
-                i = part[q]
-                keep = own[at] != rid[i]
+        name, held = None, None
+        for b in batches:
+            ids, rids = b.column("vec_id").to_pylist(), b.column("_rid").to_pylist()
+            known = b.column("known").to_pylist()
+            out = []
+            for i, blob in enumerate(b.column("blob")):
+                pair = b.column("_t")[i].as_py()
+                if blob.is_valid:  # the index comes before its queries
+                    name, held = pair, pickle.loads(blob.as_py())
+                    continue
+                if name != pair:
+                    continue
+                own, names, block = held
+                v = np.array(b.column("v")[i].as_py(), np.int64)
+                # A query of other length than the block's vectors: what one of them lacks counts as zero.
+                query = np.zeros(block.dims, np.int64)
+                query[: min(len(v), block.dims)] = v[: block.dims]
+                at, scores, _ = block.search(query, k + 1, known[i])  # one more: the query's own row may be there
+                keep = own[at] != rids[i]
+                if known[i] is not None:
+                    keep &= scores >= known[i]
                 at, scores = at[keep], scores[keep]
                 best = np.lexsort((names[at], -scores))[:k]
-                out.append((np.full(len(best), rid[i]), np.full(len(best), ids[i]), names[at[best]], scores[best]))
-        if out:
-            arrays = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["_rid", "query_id", "vec_id", "score"])
-
-    found = dealt.mapInArrow(search, "_rid long, query_id long, vec_id long, score long")
+                out.append((np.full(len(best), rids[i]), np.full(len(best), ids[i]), names[at[best]], scores[best]))
+            if out:
+                arrays = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["_rid", "query_id", "vec_id", "score"])
+
+    def wave(first_block: int, asked: DataFrame, n_pairs: int) -> DataFrame:
+        """The best of each pair of an index block and a query of asked (with _b and known)."""
+        left = index.where("_b >= 1" if first_block else "_b = 0").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
+        pair = (F.col("_q") * F.lit(n_pairs // n_query).cast("long") + F.col("_b") - first_block).alias("_t")
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("_rid", "long"), ("vec_id", "long"), ("v", "array<long>"), ("known", "long"))]
+        both = left.select(pair, F.lit(0).alias("_is"), "blob", *nothing)
+        both = both.unionByName(asked.select(pair, F.lit(1).alias("_is"), F.lit(None).cast("binary").alias("blob"), "_rid", "vec_id", "v", "known"))
+        tasks = max(1, min(n_pairs, max(parts, blocks_for(n_pairs, 4))))
+        dealt = both.repartitionById(tasks, F.pmod(F.xxhash64("_t") if n_pairs > tasks else F.col("_t"), F.lit(tasks)).cast("int"))
+        return dealt.sortWithinPartitions("_t", "_is").mapInArrow(search, "_rid long, query_id long, vec_id long, score long")
+
+    first = cut(wave(0, queries.withColumn("_b", F.lit(0)).withColumn("known", F.lit(None).cast("long")), n_query))
+    found = first
+    if n_index > 1:
+        bars = first.groupBy("_rid").agg(F.count("*").alias("c"), F.min("score").alias("s")).select("_rid", F.when(F.col("c") >= k, F.col("s")).alias("known"))
+        asked = queries.join(bars, "_rid", "left").withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_index - 1))))
+        # One row for each index block, at most a 16384th of the vectors or as many as a shuffle has tasks.
+        asked = asked.join(F.broadcast(rows.groupBy("_b").agg(F.max("norm").alias("_reach"))), "_b")
+        can = F.col("norm") * F.col("_reach") * (1 + 1e-9) >= F.col("known")
+        asked = asked.where(F.col("known").isNull() | can | (F.abs("known") >= 1 << 53))
+        found = first.unionAll(wave(1, asked, n_query * (n_index - 1)))
     w = Window.partitionBy("_rid").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def matrix_of(table: pa.Table) -> np.ndarray:
+    lists = table.column("v").combine_chunks()
+    return padded(lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists)
+
+
 def padded(lists: pa.ListArray) -> np.ndarray:
     offsets = lists.offsets.to_numpy()
     values = lists.values.to_numpy()
