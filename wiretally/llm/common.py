@@ -13,14 +13,14 @@ from wiretally.operators.order import in_global_order
 from wiretally.session import cut
 
 __all__ = [
-    "BATCH_BYTES", "blocks_for", "bytes_of", "cut", "hot_keys", "in_global_order", "map_rows", "row_tie", "shuffle_partitions", "small_batches", "spread_join",
+    "BATCH_BYTES", "blocks_for", "bytes_of", "cut", "hot_keys", "in_global_order", "key_table", "map_rows", "row_tie", "shuffle_partitions", "small_batches", "spread_join",
     "text_or_empty", "texts_of", "to_batch",
 ]
 
 #: Output batches of Arrow functions are cut at about this many bytes.
 BATCH_BYTES = 8 << 20
-#: A key is hot from this part of all rows on, so there are as many hot keys at most; below HOT_ROWS rows none is.
-MOST_HOT, HOT_ROWS = 1000, 1000
+#: So many of the most frequent keys are spread over tasks by joins, if they have more than HOT_ROWS rows.
+MOST_HOT, HOT_ROWS = 1000, 10_000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -41,15 +41,19 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
-    """A broadcast table of the keys that more than a thousandth of all rows have, so MOST_HOT rows at most; None without any.
-
-    counts has a key and n, its number of rows.
+    """A broadcast table of the MOST_HOT most frequent keys of more than HOT_ROWS rows; None without any. Any other key has at
+    most a thousandth of all rows, or HOT_ROWS. counts has each key once, and n, its number of rows; nothing is shuffled.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.where(F.col("n") > max(HOT_ROWS, total // MOST_HOT)).select(key).limit(MOST_HOT + 1).collect()
-    if not hot:
+    found = counts.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(MOST_HOT).collect()
+    return key_table(counts, key, [r[key] for r in found])
+
+
+def key_table(like: DataFrame, key: str, keys: list) -> DataFrame | None:
+    """A few keys, of the type that they have in `like`, as spread_join takes them."""
+    if not keys:
         return None
-    return F.broadcast(counts.sparkSession.createDataFrame(hot, counts.select(key).schema).withColumn("_hot", F.lit(True)))
+    rows = like.sparkSession.createDataFrame([(k,) for k in keys], like.select(key).schema)
+    return F.broadcast(rows.withColumn("_hot", F.lit(True)))
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame | None, tie: Column) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from wiretally.llm.common import bytes_of, cut, hot_keys, small_batches, spread_join, text_or_empty
+from wiretally.llm.common import HOT_ROWS, MOST_HOT, bytes_of, cut, hot_keys, key_table, shuffle_partitions, small_batches, spread_join, text_or_empty
 
 WORDS = 5
 #: Similarity in hundredths from which documents link.
@@ -37,8 +37,9 @@ PERCENT = 75
 SKETCH, OVERLAP = 64, 25
 #: Documents and shingles of a block of a star, roughly.
 BLOCK_DOCS, BLOCK_SHINGLES = 128, 200_000
-#: Stars of more blocks get lists of their members' full sets first.
-STAR_BLOCKS = 16
+#: Stars of more blocks get lists of their members' full sets first. Up to here a text is dealt to so many tasks at most, which
+#: costs about what several shuffles of its postings do.
+STAR_BLOCKS = 64
 #: Members that are compared with one copy of their hub's text.
 HUB_MEMBERS = 20_000
 _SPACE = np.zeros(256, bool)
@@ -269,17 +270,21 @@ def joining_links(docs: list[tuple]):
 def components(edges: DataFrame) -> DataFrame:
     """node and comp (the smallest node that it reaches) for all nodes of the edges (a, b). Nodes of very many edges, and
     labels of very many nodes, are spread over tasks."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).withColumn("comp", F.least("node", "comp")))
-    crowded = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(both.coalesce(shuffle_partitions(edges.sparkSession)))
+    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"), F.count("*").alias("n"))
+    label = cut(label.withColumn("comp", F.least("node", "comp")))
+    hubs = [r["node"] for r in label.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(MOST_HOT).collect()]
+    crowded, label = key_table(both, "b", hubs), label.drop("n")
     while True:
-        # The least label of the neighbours, then the label of that label.
+        # The least label of the neighbours, then the label of that label. What hubs are labelled, their many neighbours are too.
         seen = spread_join(both, label.withColumnRenamed("node", "b"), "b", "inner", crowded, F.col("a")).groupBy("a").agg(F.min("comp").alias("near"))
         low = label.join(seen, label["node"] == seen["a"]).select("node", "comp", F.least("comp", "near").alias("low"))
         jump = label.select(F.col("node").alias("low"), F.col("comp").alias("far"))
-        common = hot_keys(label.groupBy(F.col("comp").alias("low")).agg(F.count("*").alias("n")), "low")
+        named = {r["comp"] for r in label.where(F.col("node").isin(hubs)).collect()} if hubs else set()
+        common = key_table(jump, "low", sorted(named | set(hubs)))
         following = cut(spread_join(low, jump, "low", "inner", common, F.col("node")).select("node", F.least("low", "far").alias("next"), "comp"))
-        changed = following.where(F.col("next") != F.col("comp")).limit(1).count()
+        changed = not following.where(F.col("next") != F.col("comp")).isEmpty()
         label = following.select("node", F.col("next").alias("comp"))
         if not changed:
             return label
@@ -322,7 +327,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     again = others.where("row = first AND n > 1").select(F.struct("row.doc_id", "row.text_hash").alias("_key"))
     # Of repeated rows one stays: all of them go, and one of each comes back.
     kept = left.join(gone.unionAll(again), "_key", "left_anti").select("_row")
-    if again.limit(1).count():
+    if not again.isEmpty():
         once = left.join(again, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row"))
         kept = kept.unionByName(once.select("_row"))
     return kept.select("_row.*")
@@ -352,21 +357,21 @@ def rows_in_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     left, split = unresolved(stars, comp)
     more = block_links(left, split.where(F.col("blocks") <= STAR_BLOCKS), members)
     large = split.where(F.col("blocks") > STAR_BLOCKS)
-    if large.limit(1).count():
+    if not large.isEmpty():
         crowd = left.join(large.select("hub"), "hub", "left_semi").select("node").distinct()
         sets = members.join(crowd, "node").mapInArrow(full_sets, "node long, n long, sketch binary")
         finer = stars_of(inverted_lists(sets, F.ceil(F.col("n") * PERCENT / 100)))
         # Ends of `more` are nodes too: a component goes by one of its own.
-        links = cut(links.unionAll(more).unionAll(hub_links(finer, members)))
+        links = links.unionAll(more).unionAll(hub_links(finer, members))
         comp = components(links)
         left, split = unresolved(finer, comp)
         more = block_links(left, split, members)
     comp = nodes.select("node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    if more.limit(1).count():
-        # Links between components: their components name the final ones.
+    if not more.isEmpty():
+        # Links between components: their components name the final ones. Of a component this has one row for each distinct
+        # text; Spark splits one that is very large.
         again = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("_last"))
-        common = hot_keys(comp.groupBy("comp").agg(F.count("*").alias("n")), "comp")
-        comp = spread_join(comp, again, "comp", "left", common, F.col("node")).select("node", F.coalesce("_last", "comp").alias("comp"))
+        comp = comp.join(again, "comp", "left").select("node", F.coalesce("_last", "comp").alias("comp"))
 
     # Components by node number; their name is the smallest id of all their nodes.
     ids = cut(nodes.select("node", "digest", "min_id", "copies").join(comp, "node"))

@@ -125,7 +125,7 @@ def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, text_col: str =
 def scan_into(ledger: Ledger, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Scans what the ledger lacks, adds it, and returns the ledger's entries."""
     held = ledger.entries()
-    ledger.add(scan_blobs(docs, held if held.limit(1).count() else None, text_col))
+    ledger.add(scan_blobs(docs, None if held.isEmpty() else held, text_col))
     return ledger.entries()
 
 
