@@ -38,16 +38,21 @@ def test_search_stops_on_proof(spark):
     """Fewer postings are multiplied than a plain product has, and no member of the k best is missed, with or without a bar."""
     v = [r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()]
     m = np.floor(64 * np.array([x for x in v if x], np.float64)).astype(np.int64)
-    for scale in (1, 1000, 1 << 20, 1 << 27):
+    queries = m[::100]
+    for scale in (1, 1000, 1 << 20, 1 << 23, 1 << 27):
         index, work = topk.ImpactIndex(m * scale), 0
-        for q in m[::100]:
-            scores = (m * scale) @ q
-            kth = int(np.sort(scores)[-20])
-            for known in (None, kth, kth - 5):
-                at, got, done = index.search(q, 20, known)
-                assert set(np.flatnonzero(scores >= kth)) <= set(at.tolist()) and (got == scores[at]).all()
-                work += done
-        assert work < 0.85 * 3 * len(m[::100]) * m.size
+        scores = queries @ (m * scale).T
+        kth = np.sort(scores, axis=1)[:, -20]
+        for known in (np.full(len(queries), topk.NO_BAR), kth, kth - 5):
+            seen = 0
+            for i, at, got in index.search(queries, 20, known):
+                assert set(np.flatnonzero(scores[i] >= kth[i])) <= set(at.tolist()) and (got == scores[i][at]).all()
+                seen += 1
+            assert seen == len(queries)
+            work += index.multiplied
+        assert work < 0.85 * 3 * len(queries) * m.size
+    zeros = topk.ImpactIndex(np.zeros((100, 3), np.int64))
+    assert [len(at) for _, at, _ in zeros.search(np.ones((2, 3), np.int64), 5, np.array([topk.NO_BAR, 0]))] == [100, 100]
 
 
 def test_products_beyond_64_bits(spark):

@@ -1,11 +1,11 @@
 """Exact top-k inner products with an impact-ordered index, score at a time.
 
-Vectors are integers. The postings of a block of vectors are kept by dimension and quantised impact, the bit length of a
-component's magnitude: a segment (dimension, impact) lists the vectors with such a component and its values. Segments are
-built and written once. A query processes them by descending impact of their product with its own component and adds to
-running scores. All that a query has not processed yet is bounded by the largest impact left in each dimension, so after each
-wave every vector has an upper bound. A vector is ruled out only when that is below the k-th best score known; the query stops when
-few vectors are left, and these are rescored exactly.
+Vectors are integers. The postings of a block of vectors are kept by quantised impact, two levels to each doubling of a
+component's magnitude, and by dimension: a segment (impact, dimension) lists the vectors with such a component and its values.
+Segments are built and written once. They are processed by descending impact for all queries of a block, and add to running scores,
+of which a vector's are a row. What a vector's lower impacts can still bring is bounded by their norm times the query's
+(Cauchy-Schwarz), so after a wave of one impact every score has an upper bound. A vector is ruled out for a query only when that is
+below the k-th best score known; a query stops when few vectors are left, and these are rescored exactly.
 
 Blocks hold vectors by descending norm. The first block gives each query a k-th score, which goes with it to the others; and a
 block whose largest norm can't reach it is left out before anything is sent to it.
@@ -14,6 +14,7 @@ block whose largest norm can't reach it is left out before anything is sent to i
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,12 @@ from wiretally.operators.order import with_place
 
 #: Vectors of an index block and queries of a query block: the memory of a task, not a limit on the search. Blocks get smaller,
 #: down to LEAST_BLOCK, as long as there are fewer than tasks in a shuffle.
-INDEX_BLOCK, QUERY_BLOCK, LEAST_BLOCK = 16384, 2048, 2048
-#: Part of a block's vectors at which a query stops and rescores.
-FEW = 1 / 16
-#: Waves for each doubling of what a posting can bring.
-WAVES = 2
+INDEX_BLOCK, QUERY_BLOCK, LEAST_BLOCK = 16384, 2048, 4096
+#: Queries that are processed at once.
+CHUNK = 256
+#: Part of a block's vectors at which a query stops and rescores, and part of the postings before which that isn't asked.
+FEW, ASK_FROM = 1 / 16, 0.5
+NO_BAR = -(1 << 63)
 
 
 class ImpactIndex:
@@ -41,63 +43,73 @@ class ImpactIndex:
         self.most = max(int(vectors.max(initial=0)), -int(vectors.min(initial=0)))
         kind = next((t for t in (np.int8, np.int16, np.int32) if self.most <= np.iinfo(t).max), np.int64)
         self.vectors = vectors.astype(kind)
-        size = np.abs(vectors.T.astype(np.float64))  # by dimension
-        # The bit length of a magnitude; exact, as rounding to a float can only raise it.
-        impact = np.where(size > 0, np.frexp(size)[1], 0).ravel()
-        held = np.flatnonzero(impact)
-        key = (held // max(self.n, 1)) * 64 + impact[held]
+        size = np.abs(vectors.T.astype(np.float64)).ravel()  # by dimension
+        held = np.flatnonzero(size)
+        impact = np.floor(np.log2(size[held]) * 2).astype(np.int64)
+        key = -impact * (self.dims + 1) + held // max(self.n, 1)
         order = np.argsort(key, kind="stable")
-        key, held = key[order], held[order]
+        key, held, impact = key[order], held[order], impact[order]
         self.ids = (held % max(self.n, 1)).astype(np.int32)
         self.values = self.vectors.T.ravel()[held]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-        self.first = np.append(first, len(key))
-        self.dim = key[first] // 64
-        # A segment's impact: the largest magnitude in it, of the bit length that its members have in common.
-        self.impact = np.maximum.reduceat(np.abs(self.values.astype(np.float64)), first) if len(first) else np.empty(0)
-
-    def search(self, q: np.ndarray, k: int, known: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        """(places, scores, multiplied): all vectors of the k highest scores, ties included, but for those below `known`, a score that
-        the k-th best of all blocks has at least; and how many postings and components were multiplied."""
-        largest = self.most * max(int(q.max(initial=0)), -int(q.min(initial=0))) * self.dims
-        if largest >= 1 << 62:
-            return self.exact(np.arange(self.n), q, object)
-        if self.n <= 2 * k:
-            return self.exact(np.arange(self.n), q)
-        kind = np.int32 if largest < 1 << 31 else np.int64
-        slack = 0.0 if largest < 1 << 53 else largest * 1e-12  # sums beyond 53 bits are compared after rounding
-        mine = q[self.dim]
-        # What one posting of a segment can bring at most.
-        reach = np.abs(mine.astype(np.float64)) * self.impact
-        order = np.argsort(-reach, kind="stable")
-        order = order[reach[order] > 0]
-        waves = -np.floor(np.log2(reach[order]) * WAVES)
-        sums, done, at = np.zeros(self.n, kind), 0, 0
-        while True:
-            end = at + int(np.searchsorted(waves[at:], waves[at], "right")) if at < len(order) else at
-            for seg in order[at:end]:
+        self.first, self.dim = np.append(first, len(key)), held[first] // max(self.n, 1)
+        # Waves of one impact: their first segments, and the norms of what is below them.
+        levels = impact[first]
+        self.waves = np.append(np.flatnonzero(np.concatenate(([True], levels[1:] != levels[:-1]))) if len(levels) else [], len(levels)).astype(np.int64)
+        left, self.rest = (self.vectors.astype(np.float64) ** 2).sum(1), []
+        for a, b in zip(self.waves, self.waves[1:], strict=False):
+            part = slice(self.first[a], self.first[b])
+            left -= np.bincount(self.ids[part], self.values[part].astype(np.float64) ** 2, self.n)
+            # Rounding of large squares is made up for.
+            self.rest.append(np.sqrt(np.maximum(left, 0) * (1 + 1e-9) + 1e-12 * float(self.most) ** 2 * self.dims * (self.most > 1 << 20)))
+        if self.rest:
+            self.rest[-1][:] = 0
+
+    def search(self, queries: np.ndarray, k: int, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query number, places, scores) of every query: all vectors of its k highest scores, ties included, but for those below its
+        `known`, a score that the k-th best of all blocks has at least. `multiplied` counts postings and components."""
+        self.multiplied = 0
+        largest = self.most * max(int(queries.max(initial=0)), -int(queries.min(initial=0))) * max(self.dims, 1)
+        everything = np.arange(self.n)
+        if largest >= 1 << 53 or self.n <= 2 * k:
+            for i, q in enumerate(queries):
+                yield i, everything, self.exact(everything, q, largest)
+            return
+        kind = np.float32 if largest < 1 << 24 else np.float64  # in which all sums are exact
+        asked = np.ascontiguousarray(queries.T, kind)
+        norms = np.sqrt((queries.astype(np.float64) ** 2).sum(1)) * (1 + 1e-9)
+        pending, sums = np.arange(len(queries)), np.zeros((self.n, len(queries)), kind)
+        bars = np.where(known == NO_BAR, -np.inf, known.astype(np.float64))
+        for w, rest in enumerate(self.rest):
+            for seg in range(self.waves[w], self.waves[w + 1]):
                 a, b = self.first[seg], self.first[seg + 1]
-                sums[self.ids[a:b]] += self.values[a:b] * kind(mine[seg])
-                done += int(b - a)
-            at = end
-            # Of each dimension the largest product among the segments that are left, which stand in order of reach.
-            left = order[at:]
-            top = np.unique(self.dim[left], return_index=True)[1]
-            rest = float(reach[left][top].sum()) + slack
-            bar = float(np.partition(sums, self.n - k)[self.n - k]) - rest
-            bar = bar if known is None else max(bar, float(known) - slack)
-            possible = np.flatnonzero(sums + rest >= bar)
-            if at == len(order) or len(possible) <= max(2 * k, self.n * FEW):
-                break
-        places, scores, more = self.exact(possible, q)
-        return places, scores, done + more
-
-    def exact(self, places: np.ndarray, q: np.ndarray, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray, int]:
+                sums[self.ids[a:b]] += self.values[a:b, None].astype(kind) * asked[self.dim[seg]]
+                self.multiplied += int(b - a) * len(pending)
+            last = w == len(self.rest) - 1
+            if not last and self.first[self.waves[w + 1]] < ASK_FROM * len(self.ids):
+                continue
+            slack = np.outer(rest, norms[pending])
+            bar = bars[pending]
+            if np.isinf(bar).any():
+                bar = np.maximum(bar, np.partition(sums - slack, self.n - k, axis=0)[self.n - k])
+            possible = sums + slack >= bar
+            few = (possible.sum(0) <= max(2 * k, self.n * FEW)) | last
+            for column in np.flatnonzero(few):
+                at = np.flatnonzero(possible[:, column])
+                yield pending[column], at, self.exact(at, queries[pending[column]], largest)
+            pending, sums, asked = pending[~few], sums[:, ~few], np.ascontiguousarray(asked[:, ~few])
+            if not len(pending):
+                return
+        for i in pending:  # vectors of zeros only
+            yield i, everything, self.exact(everything, queries[i], largest)
+
+    def exact(self, places: np.ndarray, q: np.ndarray, largest: int) -> np.ndarray:
         """Whole inner products; those beyond 64 bits are cut off there."""
-        scores = self.vectors[places].astype(kind) @ q.astype(kind)
-        if kind is object:
-            scores = np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in scores], np.int64)
-        return places, scores, len(places) * self.dims
+        self.multiplied += len(places) * self.dims
+        if largest < 1 << 62:
+            return self.vectors[places].astype(np.int64) @ q
+        products = self.vectors[places].astype(object) @ q.astype(object)
+        return np.array([min(max(int(x), NO_BAR), (1 << 63) - 1) for x in products], np.int64)
 
 
 def quantise(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -156,34 +168,37 @@ def top_k(
     queries = rows.where(is_query).withColumn("_q", F.pmod(F.xxhash64("_rid", F.lit(3)), F.lit(n_query)).cast("int"))
     queries = cut(queries.select("_rid", "vec_id", "v", "norm", "_q"))
 
+    def best_of(held, asked):
+        """The k best of a block for some of its queries: (row, id, components, bar) each."""
+        own, names, block = held
+        # A query of other length than the block's vectors: what one of them lacks counts as zero.
+        matrix = np.zeros((len(asked), block.dims), np.int64)
+        for i, (_, _, v, _) in enumerate(asked):
+            matrix[i, : min(len(v), block.dims)] = v[: block.dims]
+        bars = np.array([NO_BAR if x is None else x for *_, x in asked], np.int64)
+        out = []
+        for i, at, scores in block.search(matrix, k + 1, bars):  # one more: the query's own row may be there
+            keep = (own[at] != asked[i][0]) & (scores >= bars[i])
+            at, scores = at[keep], scores[keep]
+            best = np.lexsort((names[at], -scores))[:k]
+            out.append((np.full(len(best), asked[i][0]), np.full(len(best), asked[i][1]), names[at[best]], scores[best]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["_rid", "query_id", "vec_id", "score"])
+
     def search(batches):
-        name, held = None, None
+        name, held, asked = None, None, []
         for b in batches:
-            ids, rids = b.column("vec_id").to_pylist(), b.column("_rid").to_pylist()
-            known = b.column("known").to_pylist()
-            out = []
-            for i, blob in enumerate(b.column("blob")):
-                pair = b.column("_t")[i].as_py()
+            columns = [b.column(c).to_pylist() for c in ("_t", "_rid", "vec_id", "known")]
+            for i, (pair, rid, vec_id, known) in enumerate(zip(*columns, strict=True)):
+                blob = b.column("blob")[i]
+                if asked and (blob.is_valid or pair != name or len(asked) == CHUNK):
+                    yield best_of(held, asked)
+                    asked = []
                 if blob.is_valid:  # the index comes before its queries
                     name, held = pair, pickle.loads(blob.as_py())
-                    continue
-                if name != pair:
-                    continue
-                own, names, block = held
-                v = np.array(b.column("v")[i].as_py(), np.int64)
-                # A query of other length than the block's vectors: what one of them lacks counts as zero.
-                query = np.zeros(block.dims, np.int64)
-                query[: min(len(v), block.dims)] = v[: block.dims]
-                at, scores, _ = block.search(query, k + 1, known[i])  # one more: the query's own row may be there
-                keep = own[at] != rids[i]
-                if known[i] is not None:
-                    keep &= scores >= known[i]
-                at, scores = at[keep], scores[keep]
-                best = np.lexsort((names[at], -scores))[:k]
-                out.append((np.full(len(best), rids[i]), np.full(len(best), ids[i]), names[at[best]], scores[best]))
-            if out:
-                arrays = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["_rid", "query_id", "vec_id", "score"])
+                elif name == pair:
+                    asked.append((rid, vec_id, b.column("v")[i].as_py(), known))
+        if asked:
+            yield best_of(held, asked)
 
     def wave(first_block: int, asked: DataFrame, n_pairs: int) -> DataFrame:
         """The best of each pair of an index block and a query of asked (with _b and known)."""
