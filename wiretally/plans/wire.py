@@ -12,29 +12,42 @@ from wiretally.sources import recordings
 
 def exchange(spark: SparkSession, sf_dir: str, request: Column, reply: Column, where: str = "TRUE") -> DataFrame:
     """Two raw events for each row of events: what the server receives and what it sends, in order on each connection."""
+    return conversation(spark, sf_dir, [(recordings.RECV, request), (recordings.SEND, reply)], where)
+
+
+def conversation(spark: SparkSession, sf_dir: str, steps: list[tuple], where: str = "TRUE") -> DataFrame:
+    """Raw events for each row of events, in order on each connection: steps of a direction and bytes, and optionally flags and the
+    length of the whole call if only its beginning was captured. A step of null bytes didn't happen, but has its number.
+
+    The first event of a connection opens it and has number 1; step i of its _k-th row has len(steps) * _k + i. All steps but
+    the first come value microseconds after it.
+    """
     e = A.table(spark, sf_dir, "events").where(where)
-    # _k numbers the events of a connection from 1; requests and replies may refer to it.
+    # _k numbers the events of a connection from 1; steps may refer to it.
     e = e.withColumn("_k", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
     ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    both = F.array(
-        F.struct(F.lit(recordings.RECV).alias("dir"), (F.col("_k") * 2).alias("seq"), ns.alias("ts_ns"), request.cast("binary").alias("payload")),
-        F.struct(F.lit(recordings.SEND).alias("dir"), (F.col("_k") * 2 + 1).alias("seq"), (ns + F.floor(F.col("value") * 1000)).alias("ts_ns"), reply.cast("binary").alias("payload")),
-    )
-    rows = e.select(F.col("user_id").alias("conn_id"), F.inline(both)).union(opens(e, ns))
-    size = F.octet_length("payload").cast("long")
-    empty = [f for f in S.RAW_EVENT.fields if f.name not in ("conn_id", "dir", "seq", "ts_ns", "payload")]
-    held = {"type": F.when(F.col("payload").isNull(), recordings.OPEN).otherwise(recordings.DATA), "flags": F.lit(0), "total_len": size, "off": F.lit(0).cast("long"), "cap_len": size}
+    n, parts = len(steps), []
+    for i, (way, payload, *more) in enumerate(steps):
+        flags, total = (*more, None, None)[:2]
+        size = F.octet_length(payload.cast("binary")).cast("long")
+        parts.append(
+            F.struct(
+                F.lit(way).alias("dir"), (F.col("_k") * n + i + (2 - n)).alias("seq"), (ns if not i else ns + F.floor(F.col("value") * 1000)).alias("ts_ns"), payload.cast("binary").alias("payload"),
+                (F.lit(flags) if flags is not None else F.lit(0)).alias("flags"), (total if total is not None else size).cast("long").alias("total_len"),
+            )
+        )
+    said = e.select(F.col("user_id").alias("conn_id"), F.inline(F.array(*parts))).where("payload IS NOT NULL")
+    first = e.groupBy("user_id").agg(F.min(ns).alias("ts_ns"))
+    opened = first.select(
+        F.col("user_id").alias("conn_id"), F.lit(0).alias("dir"), F.lit(1).cast("long").alias("seq"), "ts_ns", F.lit(None).cast("binary").alias("payload"), F.lit(0).alias("flags"), F.lit(None).cast("long").alias("total_len")
+    )
+    rows = said.union(opened)
+    held = {"type": F.when(F.col("payload").isNull(), recordings.OPEN).otherwise(recordings.DATA), "off": F.lit(0).cast("long"), "cap_len": F.octet_length("payload").cast("long")}
     held["decode_status"] = F.when(F.col("payload").isNull(), "conn").otherwise("data")
-    rows = rows.withColumns({f.name: held.get(f.name, F.lit(None)).cast(f.dataType) for f in empty})
+    rows = rows.withColumns({f.name: held.get(f.name, F.lit(None)).cast(f.dataType) for f in S.RAW_EVENT.fields if f.name not in rows.columns})
     return rows.select(*S.RAW_EVENT.names)
 
 
-def opens(e: DataFrame, ns: Column) -> DataFrame:
-    """The open event of each connection."""
-    first = e.groupBy("user_id").agg(F.min(ns).alias("ts_ns"))
-    return first.select(F.col("user_id").alias("conn_id"), F.lit(0).alias("dir"), F.lit(1).cast("long").alias("seq"), "ts_ns", F.lit(None).cast("binary").alias("payload"))
-
-
 def bulk(word: Column) -> Column:
     return F.concat(F.lit("$"), F.octet_length(word).cast("string"), F.lit("\r\n"), word, F.lit("\r\n"))
 
@@ -112,3 +125,23 @@ def s3_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(k == "error", "<Error><Code>NoSuchKey</Code></Error>").when(put | (k == "signup"), "").otherwise(F.repeat(F.lit("y"), size.cast("int")))
     reply = F.concat(F.lit("HTTP/1.1 "), F.when(k == "error", "404 N").otherwise("200 OK"), F.lit("\r\nContent-Length: "), F.length(body).cast("string"), F.lit("\r\n\r\n"), body)
     return exchange(spark, sf_dir, request, reply)
+
+
+def words(*parts: str | Column) -> Column:
+    """A Redis command."""
+    return F.concat(F.lit(f"*{len(parts)}\r\n"), *(bulk(F.lit(p) if isinstance(p, str) else p) for p in parts))
+
+
+def pg_message(kind: str, body: Column) -> Column:
+    """A PostgreSQL message of less than 120 bytes."""
+    return F.concat(F.lit(kind), packed(F.octet_length(body) + 4), body)
+
+
+def pg_startup() -> Column:
+    """The first step of a connection."""
+    head = "\0\0\0\x19\0\x03\0\0user\0app\0database\0shop\0\0"
+    return F.lit(head[:3] + chr(len(head)) + head[4:])
+
+
+def pg_welcome() -> Column:
+    return F.lit("R\0\0\0\x08\0\0\0\0Z\0\0\0\x05I")

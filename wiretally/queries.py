@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wiretally import schema as S
 from wiretally.functions import redis, route, s3, sql_text, url
-from wiretally.operators import cardinality, expose, families, filters, hist, joins, order, ordering, percentiles, reduce, streams
+from wiretally.operators import cardinality, expose, families, filters, hist, identity, joins, order, ordering, percentiles, reduce, streams
 from wiretally.plans import adapters as A
 from wiretally.plans import olap, panels, promql, spans, wire
 from wiretally.sources import recordings
@@ -33,8 +33,7 @@ def query(sql: str | None = None):
 
 def red(spark: SparkSession, sf: str) -> DataFrame:
     """Reduced observations with label and slot."""
-    out = reduce.reduce_observations(A.observations(spark, sf)).withColumn("label", sql_text.norm_sql_simple(F.col("text")))
-    return out.withColumn("slot", families.slot())
+    return identity.with_slot(reduce.reduce_observations(A.observations(spark, sf)))
 
 
 OBS = f"WITH {A.OBS_SQL}"
@@ -320,13 +319,6 @@ def agg19_conservation(spark, sf):
 # --- cardinality -----------------------------------------------------------------------------------------------------
 
 
-@query()
-def car1_car2_car3_top_k_fold(spark, sf):
-    o = red(spark, sf).withColumn("fp", F.xxhash64("slot", "conn"))
-    out = cardinality.admit(o.select("seq", "fp", "slot", "dur_s"), slots=64)
-    return out.groupBy(F.when(F.col("admitted"), F.col("slot")).otherwise(S.OTHER).alias("slot")).agg(F.count("*").alias("value"))
-
-
 @query(f"""{RED}, f AS (SELECT db, "user", row_number() OVER (ORDER BY min(seq)) AS r FROM obs GROUP BY db, "user")
     SELECT CASE WHEN f.r <= 20 THEN s.db ELSE 'other' END AS db, CASE WHEN f.r <= 20 THEN s."user" ELSE 'other' END AS "user", count(*) AS n
     FROM slots s JOIN f ON s.db = f.db AND s."user" = f."user" GROUP BY ALL""")
@@ -359,19 +351,9 @@ def car7_profile_isolation(spark, sf):
 # --- sorts, limits, sets, joins --------------------------------------------------------------------------------------
 
 
-@query(f"""{RED}, c AS (SELECT proto, slot, db, "user", count(*) AS value FROM slots GROUP BY ALL)
-    SELECT *, row_number() OVER (ORDER BY proto, slot, db, "user") AS place FROM c ORDER BY place LIMIT 100""")
-def srt1_exposition_order(spark, sf):
-    c = red(spark, sf).groupBy("proto", "slot", "db", "user").agg(F.count("*").alias("value"))
-    first = ordering.exposition_order(c, "proto", "slot", "db", "user").limit(100)
-    from pyspark.sql import Window
-
-    return first.withColumn("place", F.row_number().over(Window.orderBy("proto", "slot", "db", "user")))
-
-
 @query(f"""{RED}, c AS (SELECT proto, slot, db, "user", count(*) AS value FROM slots GROUP BY ALL)
     SELECT *, row_number() OVER (ORDER BY proto NULLS FIRST, slot NULLS FIRST, db NULLS FIRST, "user" NULLS FIRST) AS place FROM c""")
-def srt1_exposition_order_all(spark, sf):
+def srt1_exposition_order(spark, sf):
     c = red(spark, sf).groupBy("proto", "slot", "db", "user").agg(F.count("*").alias("value"))
     return order.with_place(c, *map(F.col, ("proto", "slot", "db", "user")))
 
@@ -385,16 +367,9 @@ def srt2_other_last(spark, sf):
     return c.withColumn("place", F.row_number().over(Window.orderBy(*ordering.other_last("code"))))
 
 
-@query(f"""{OBS}, c AS (SELECT 'total' AS name, proto AS label1, kind AS label2, count(*) AS value FROM obs GROUP BY ALL)
-    SELECT * FROM c ORDER BY name, label1, label2 LIMIT 5""")
-def srt3_scalar_order(spark, sf):
-    c = A.observations(spark, sf).groupBy(F.lit("total").alias("name"), F.col("proto").alias("label1"), F.col("kind").alias("label2")).agg(F.count("*").alias("value"))
-    return ordering.scalar_order(c).limit(5)
-
-
 @query(f"""{OBS}, c AS (SELECT 'total' AS name, proto AS label1, kind AS label2, count(*) AS value FROM obs GROUP BY ALL)
     SELECT *, row_number() OVER (ORDER BY name NULLS FIRST, label1 NULLS FIRST, label2 NULLS FIRST) AS place FROM c""")
-def srt3_scalar_order_all(spark, sf):
+def srt3_scalar_order(spark, sf):
     c = A.observations(spark, sf).groupBy(F.lit("total").alias("name"), F.col("proto").alias("label1"), F.col("kind").alias("label2")).agg(F.count("*").alias("value"))
     return order.with_place(c, *map(F.col, ("name", "label1", "label2")))
 
@@ -425,37 +400,21 @@ def set1_tee(spark, sf):
     return a.unionByName(o.groupBy(F.lit("rows").alias("name"), "proto").agg(F.sum("rows").alias("value")))
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND value > 480), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND value > 480)
-    SELECT user_id, 'add' AS change FROM b WHERE user_id NOT IN (SELECT user_id FROM a)
-    UNION ALL SELECT user_id, 'del' FROM a WHERE user_id NOT IN (SELECT user_id FROM b)""")
-def set2_set_changes(spark, sf):
-    e = A.table(spark, sf, "events").where("value > 480")
-    return ordering.set_changes(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_id")
-
-
 @query("""WITH e AS (SELECT user_id || '/' || CAST(ts AS DATE) AS user_day, event_type FROM events),
     a AS (SELECT DISTINCT user_day FROM e WHERE event_type = 'view'), b AS (SELECT DISTINCT user_day FROM e WHERE event_type = 'click')
     SELECT user_day, 'add' AS change FROM b WHERE user_day NOT IN (SELECT user_day FROM a)
     UNION ALL SELECT user_day, 'del' FROM a WHERE user_day NOT IN (SELECT user_day FROM b)""")
-def set2_set_changes_all(spark, sf):
+def set2_set_changes(spark, sf):
     """Days of users: over whole tables nearly every user has events of all types."""
     day = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("ts").cast("date").cast("string"))
     e = A.table(spark, sf, "events").select(day.alias("user_day"), "event_type")
     return ordering.set_changes(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_day")
 
 
-@query("""SELECT user_id, a.n AS log_n, b.n AS seen_n, CASE WHEN b.n IS NULL THEN 'log-only' WHEN a.n IS NULL THEN 'seen-only' ELSE 'both' END AS side
-    FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' AND value > 400 GROUP BY 1) a
-    FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND value > 400 GROUP BY 1) b USING (user_id)""")
-def set3_keyed_union(spark, sf):
-    e = A.table(spark, sf, "events").where("value > 400")
-    return joins.join_logs(e.where("event_type = 'view'"), e.where("event_type = 'error'"), "user_id")
-
-
 @query("""SELECT user_id, a.n AS log_n, b.n AS seen_n, CASE WHEN b.n IS NULL THEN 'log-only' WHEN a.n IS NULL THEN 'seen-only' ELSE 'both' END AS side
     FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) a
     FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) b USING (user_id)""")
-def set3_keyed_union_all(spark, sf):
+def set3_keyed_union(spark, sf):
     e = A.table(spark, sf, "events")
     return joins.join_logs(e.where("event_type = 'view'"), e.where("event_type = 'error'"), "user_id")
 
@@ -487,20 +446,11 @@ def join3_trace_aliases(spark, sf):
     return joins.join_trace(trace, h.where("seq % 3 <> 0"), aliases)
 
 
-@query("""WITH a AS (SELECT user_id, event_id FROM events WHERE event_type = 'view' AND value < 60), b AS (SELECT user_id, event_id FROM events WHERE event_type = 'click' AND value < 60),
-    eq AS (SELECT user_id FROM (SELECT user_id, count(*) AS n FROM a GROUP BY 1) JOIN (SELECT user_id, count(*) AS n FROM b GROUP BY 1) USING (user_id, n)),
-    ra AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM a), rb AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM b)
-    SELECT user_id, k, ra.event_id AS left_at, rb.event_id AS right_at FROM ra JOIN rb USING (user_id, k) JOIN eq USING (user_id)""")
-def join4_kth_to_kth(spark, sf):
-    e = A.table(spark, sf, "events").where("value < 60").select("user_id", "event_id", "event_type")
-    return joins.pair_kth(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_id", "event_id")
-
-
 @query("""WITH a AS (SELECT user_id, event_id FROM events WHERE event_type = 'view'), b AS (SELECT user_id, event_id FROM events WHERE event_type = 'click'),
     eq AS (SELECT user_id FROM (SELECT user_id, count(*) AS n FROM a GROUP BY 1) JOIN (SELECT user_id, count(*) AS n FROM b GROUP BY 1) USING (user_id, n)),
     ra AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM a), rb AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM b)
     SELECT user_id, k, ra.event_id AS left_at, rb.event_id AS right_at FROM ra JOIN rb USING (user_id, k) JOIN eq USING (user_id)""")
-def join4_kth_to_kth_all(spark, sf):
+def join4_kth_to_kth(spark, sf):
     e = A.table(spark, sf, "events").select("user_id", "event_id", "event_type")
     return joins.pair_kth(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_id", "event_id")
 
@@ -812,18 +762,12 @@ def fn3_query_promotion(spark, sf):
     return A.table(spark, sf, "events").select("event_id", route.route(F.lit("GET"), target, keys=["kind", "u"]).alias("route"))
 
 
-@query("SELECT doc_id, regexp_replace(text[1:60], '[\\x00-\\x1f\\x7f]', '', 'g') AS route FROM documents WHERE lang = 'en'")
-def fn4_given_route(spark, sf):
-    d = A.table(spark, sf, "documents").where("lang = 'en'")
-    return d.select("doc_id", route.given(F.substring("text", 1, 60)).alias("route"))
-
-
 @query("""
     WITH c AS (SELECT doc_id, regexp_replace(text, '[\\x00-\\x1f\\x7f]', '', 'g') AS t FROM documents),
     n AS (SELECT doc_id, t, (SELECT max(i) FROM range(0, 256) r(i) WHERE strlen(substring(t, 1, CAST(i AS INTEGER))) <= 255) AS i FROM c)
     SELECT doc_id, substring(t, 1, CAST(i AS INTEGER)) AS route FROM n
 """)
-def fn4_given_route_all(spark, sf):
+def fn4_given_route(spark, sf):
     return A.table(spark, sf, "documents").select("doc_id", route.given(F.col("text")).alias("route"))
 
 
@@ -1062,11 +1006,6 @@ def src12_udp_volume(spark, sf):
     return logs.udp_volume(c)
 
 
-@query("SELECT 'wt_x_total' AS name, event_type AS kind, 'a\"b\\' AS odd, CAST(event_id AS DOUBLE) AS value FROM events WHERE event_id < 500")
-def src9_prometheus_text(spark, sf):
-    return _prometheus_text(A.table(spark, sf, "events").where("event_id < 500"))
-
-
 def _prometheus_text(e: DataFrame) -> DataFrame:
     from wiretally.sources import logs
 
@@ -1076,15 +1015,10 @@ def _prometheus_text(e: DataFrame) -> DataFrame:
 
 
 @query("SELECT 'wt_x_total' AS name, event_type AS kind, 'a\"b\\' AS odd, CAST(event_id AS DOUBLE) AS value FROM events")
-def src9_prometheus_text_all(spark, sf):
+def src9_prometheus_text(spark, sf):
     return _prometheus_text(A.table(spark, sf, "events"))
 
 
-@query("SELECT 'c' || (event_id % 9) AS name, event_id AS calls, user_id AS usec, 0.25 AS usec_per_call FROM events WHERE event_id < 500")
-def src8_command_stats(spark, sf):
-    return _command_stats(A.table(spark, sf, "events").where("event_id < 500"))
-
-
 def _command_stats(e: DataFrame) -> DataFrame:
     from wiretally.sources import logs
 
@@ -1093,15 +1027,10 @@ def _command_stats(e: DataFrame) -> DataFrame:
 
 
 @query("SELECT 'c' || (event_id % 9) AS name, event_id AS calls, user_id AS usec, 0.25 AS usec_per_call FROM events")
-def src8_command_stats_all(spark, sf):
+def src8_command_stats(spark, sf):
     return _command_stats(A.table(spark, sf, "events"))
 
 
-@query("""SELECT event_id AS conn, 'GET' AS method, 200 AS status, user_id AS dur_ns, 'shop' AS host, '/x/' || event_id AS target FROM events WHERE event_id < 500""")
-def src7_observation_lines(spark, sf):
-    return _observation_lines(A.table(spark, sf, "events").where("event_id < 500"))
-
-
 def _observation_lines(e: DataFrame) -> DataFrame:
     from wiretally.sources import logs
 
@@ -1112,7 +1041,7 @@ def _observation_lines(e: DataFrame) -> DataFrame:
 
 
 @query("SELECT event_id AS conn, 'GET' AS method, 200 AS status, user_id AS dur_ns, 'shop' AS host, '/x/' || event_id AS target FROM events")
-def src7_observation_lines_all(spark, sf):
+def src7_observation_lines(spark, sf):
     return _observation_lines(A.table(spark, sf, "events"))
 
 
@@ -1222,12 +1151,6 @@ def snk7_recorded_bytes(spark, sf):
     return recordings.record(wire.redis_events(spark, sf))
 
 
-@query(f"""{OBS} SELECT * FROM (SELECT proto, date_trunc('hour', make_timestamp(ts_complete_ns // 1000)) AS w, count(*) AS n FROM obs GROUP BY ALL) ORDER BY n DESC, w, proto LIMIT 20""")
-def win1_tumbling_counts(spark, sf):
-    """Event-time windows; the streaming form adds a watermark."""
-    return _tumbling_counts(spark, sf).orderBy(F.desc("n"), "w", "proto").limit(20)
-
-
 def _tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
     o = A.observations(spark, sf).withColumn("at", F.timestamp_micros(F.floor(F.col("ts_complete_ns") / 1000)))
     g = o.groupBy("proto", F.window("at", "1 hour").alias("win")).agg(F.count("*").alias("n"))
@@ -1236,5 +1159,8 @@ def _tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""{OBS}, c AS (SELECT proto, date_trunc('hour', make_timestamp(ts_complete_ns // 1000)) AS w, count(*) AS n FROM obs GROUP BY ALL)
     SELECT *, row_number() OVER (ORDER BY n DESC, w, proto) AS place FROM c""")
-def win1_tumbling_counts_all(spark, sf):
+def win1_tumbling_counts(spark, sf):
     return order.with_place(_tumbling_counts(spark, sf), F.desc("n"), F.col("w"), F.col("proto"))
+
+
+from wiretally import wire_queries  # noqa: E402, F401  it registers its queries here
