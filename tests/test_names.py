@@ -153,3 +153,44 @@ def test_redis_errors_and_secrets():
     assert redis.secret_arguments("CONFIG|SET", b"CONFIG SET requirepass x maxmemory 1".split()) == {3}
     assert redis.secret_arguments("ACL|SETUSER", b"ACL SETUSER bob >pw on".split()) == {3}
     assert redis.secret_arguments("MIGRATE", b"MIGRATE h 1 k 0 9 AUTH2 u p".split()) == {8}
+
+
+ARGVS = [
+    "get k", "blpop a 0", "xread streams a 0", "XREAD block 5 STREAMS a 0", "xread streams block 0", "xreadgroup group g c block 0 streams s >", "wait 1 0", "select 3", "select 03", "select 2000", "select x", "select", "select 1 2",
+    "auth pw", "auth bob pw", "auth bo'b pw", "auth a b c", "auth", "hello 3 auth bob pw", "hello 3 setname x auth ann pw", "hello 3 auth bob", "hello auth x y", "hello 3", "reset", "acl setuser bob on >pw ~* #hash", "acl setuser >x",
+    "config set requirepass pw maxmemory 5", "config set maxmemory 5 masterauth pw", "config set x", "config get requirepass", "migrate h 1 k 0 5 auth pw", "migrate h 1 k 0 5 AUTH2 u pw", "migrate h 1 k 0 5 auth", "nope",
+]
+
+
+def test_redis_columns_agree_with_the_parser(spark):
+    """What a command may wait for, does to its session and must hide: as expressions and as the parser has them."""
+    df = spark.createDataFrame([(i, a.split(" ")) for i, a in enumerate(ARGVS)], "i int, a array<string>")
+    a = F.col("a")
+    rows = df.select("i", redis.may_block(a).alias("b"), redis.session_change(a).alias("s"), redis.secret_places(a).alias("p")).orderBy("i").collect()
+    for r, text in zip(rows, ARGVS, strict=True):
+        argv = [w.encode() for w in text.split(" ")]
+        name = redis.command(argv)
+        assert r["b"] == redis.blocking(name.split("|")[0], argv), text
+        assert tuple(r["s"]) == redis.session_effect(name, argv), text
+        assert set(r["p"]) == redis.secret_arguments(name, argv), text
+
+
+def test_sampling_hash(spark):
+    """The share is decided by xxHash64 of the start, the connection and the seed, chained as Spark chains columns."""
+    import struct
+
+    import xxhash
+
+    from wiretally.plans import spans
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(1 << 60), rng.randrange(1 << 30)) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "ts_start_ns long, conn long")
+    for ratio in (0.0, 0.1, 0.5, 0.999, 1.0):
+        got = [r[0] for r in df.select(spans.hash_below(ratio, 7, "ts_start_ns", "conn")).collect()]
+        want = []
+        for ts, conn in rows:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", ts), 42)
+            h = xxhash.xxh64_intdigest(struct.pack("<q", conn), h)
+            want.append(xxhash.xxh64_intdigest(struct.pack("<i", 7), h) < int(ratio * 2**64))
+        assert got == want

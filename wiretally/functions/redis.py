@@ -176,3 +176,60 @@ def shown(label: Column, argc: Column) -> Column:
     """A command as it may be shown: its words, and a mark for each argument, at most 32."""
     marks = F.greatest(F.least(argc, F.lit(32)), F.lit(0)).cast("int")
     return F.concat(F.replace(label, F.lit("|"), F.lit(" ")), F.repeat(F.lit(" ?"), marks), F.when(argc > 32, " ...").otherwise(""))
+
+
+def words_of(argv: Column) -> Column:
+    return F.transform(argv, F.upper)
+
+
+def may_block(argv: Column) -> Column:
+    """Whether a command may wait on the server; XREAD and its kin only with BLOCK before STREAMS."""
+    words = words_of(argv)
+    name = F.get(words, F.lit(0))
+    stop = F.array_position(words, "STREAMS")
+    block = F.array_position(words, "BLOCK")
+    asks = (block > 1) & ((stop == 0) | (block < stop))
+    return F.coalesce(name.isin(*BLOCKING) & (~name.startswith("XREAD") | asks), F.lit(False))
+
+
+def session_change(argv: Column) -> Column:
+    """struct(kind, db, user): what a command does to its session once it succeeds; kind empty: nothing."""
+    words, n = words_of(argv), F.size(argv)
+    name = F.get(words, F.lit(0))
+    word = lambda i: F.get(argv, i)
+    at = F.array_position(F.slice(words, 3, MOST_DB), "AUTH").cast("int")  # 1: the third word
+
+    def user(x: Column) -> Column:
+        return F.when(x.rlike(r"^[!#-&(-\[\]-~]{1,63}$"), x).otherwise("?")
+
+    number = word(F.lit(1))
+    db = F.when(number.rlike("^[0-9]{1,4}$") & (number.try_cast("int") <= MOST_DB), number.try_cast("int").cast("string")).otherwise("?")
+    change = lambda kind, d, u: F.struct(F.lit(kind).alias("kind"), d.cast("string").alias("db"), u.cast("string").alias("user"))
+    none = F.lit(None)
+    return (
+        F.when((name == "SELECT") & (n == 2), change("select", db, none))
+        .when(name == "AUTH", change("auth", none, F.when(n == 3, user(word(F.lit(1)))).otherwise("default")))
+        .when((name == "HELLO") & (at > 0) & (at + 3 < n), change("auth", none, user(word(at + 2))))
+        .when(name == "RESET", change("reset", F.lit("0"), F.lit("default")))
+        .otherwise(change("", none, none))
+    )
+
+
+def secret_places(argv: Column) -> Column:
+    """Places of arguments that must be blanked wherever a command is shown, ascending."""
+    words, n = words_of(argv), F.size(argv)
+    name, sub = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    after = lambda word, k: F.when(F.array_position(words, word) > 0, F.array((F.array_position(words, word) - 1 + k).cast("int"))).otherwise(F.array().cast("array<int>"))
+    every = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    marked = F.filter(every, lambda i: (i >= 3) & F.substring(F.get(argv, i), 1, 1).isin(">", "<", "#", "!"))
+    secret = lambda i: F.lower(F.get(argv, i - 1)).rlike("|".join(SECRET_PARAMETERS))
+    values = F.filter(every, lambda i: (i >= 3) & (i % 2 == 1) & secret(i))
+    found = (
+        F.when((name == "AUTH") & (n > 1), F.array(n - 1))
+        .when(name == "HELLO", after("AUTH", 2))
+        .when((name == "ACL") & (sub == "SETUSER"), marked)
+        .when((name == "CONFIG") & (sub == "SET"), values)
+        .when(name == "MIGRATE", F.array_sort(F.array_distinct(F.concat(after("AUTH", 1), after("AUTH2", 2)))))
+        .otherwise(F.array().cast("array<int>"))
+    )
+    return F.filter(found, lambda i: (i >= 0) & (i < n))

@@ -55,8 +55,8 @@ def histogram_lines(cells: DataFrame, name: str, help_text: str, *labels: str) -
 
 
 def write_text(lines: DataFrame, path: str) -> None:
-    """The whole exposition as one ordered text file: its size is bounded by the cardinality limits, not by the input."""
-    lines.orderBy("family", "ord").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """The whole exposition in order, as text files whose names ascend: each is a range of the order."""
+    lines.orderBy("family", "ord").select("line").write.mode("overwrite").text(path)
 
 
 def long_format(rows: DataFrame, name: str, kind: str, *labels: str) -> DataFrame:
@@ -165,21 +165,75 @@ def span(row: dict) -> bytes:
     return body + (message(15, tag(3, 0) + varint(2)) if row["error"] else b"")
 
 
+def read(body: bytes) -> dict[int, list]:
+    """The fields of a message: number -> values, integers or bytes as they stand."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def number_at() -> int:
+        nonlocal at
+        x = shift = 0
+        while True:
+            byte = body[at]
+            at += 1
+            x |= (byte & 0x7F) << shift
+            shift += 7
+            if byte < 0x80:
+                return x
+
+    while at < len(body):
+        key = number_at()
+        wire = key & 7
+        if wire == 0:
+            value = number_at()
+        else:
+            n = {1: 8, 5: 4}.get(wire) or number_at()
+            value = body[at : at + n]
+            at += n
+            value = struct.unpack("<Q", value)[0] if wire == 1 else value
+        out.setdefault(key >> 3, []).append(value)
+    return out
+
+
+def real(x: int) -> float:
+    """A fixed 64-bit field as the double that it is."""
+    return struct.unpack("<d", struct.pack("<Q", x))[0]
+
+
+def attributes(fields: list[bytes]) -> dict[str, str]:
+    """Key and text of attribute messages."""
+    out = {}
+    for f in map(read, fields):
+        value = read(f[2][0])
+        out[f[1][0].decode()] = value[1][0].decode() if 1 in value else str(value[3][0])
+    return out
+
+
+#: Points of a message at most.
+POINTS = 10_000
+
+
 def encode_counters(rows: DataFrame, now: int, start: int) -> DataFrame:
-    """name and message of every metric of a long-format frame: one message for each name, points in label order."""
+    """name and message of the metrics of a long-format frame. A receiver merges messages of one name, so each task writes its own
+    from the points that it has, at most POINTS in one; no family is gathered."""
     import pandas as pd
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("tags")
-        kind = "sum" if frame["type"].iloc[0] == "counter" else "gauge"
-        points = b"".join(
-            number_point(dict(zip(k, v, strict=True)), float(x), now, start if kind == "sum" else None)
-            for k, v, x in zip(frame["keys"], frame["vals"], frame["value"], strict=True)
-        )
-        return pd.DataFrame([{"name": key[0], "message": metric(key[0], "", kind, points)}])
-
-    flat = rows.select("name", "type", F.map_keys("labels").alias("keys"), F.map_values("labels").alias("vals"), F.to_json("labels").alias("tags"), "value")
-    return flat.groupBy("name").applyInPandas(run, "name string, message binary")
+    def run(frames):
+        for frame in frames:
+            out = []
+            for (name, kind), part in frame.groupby(["name", "type"], sort=True):
+                kind = "sum" if kind == "counter" else "gauge"
+                for at in range(0, len(part), POINTS):
+                    few = part.iloc[at : at + POINTS]
+                    points = b"".join(
+                        number_point(dict(zip(k, v, strict=True)), float(x), now, start if kind == "sum" else None)
+                        for k, v, x in zip(few["keys"], few["vals"], few["value"], strict=True)
+                    )
+                    out.append({"name": name, "message": metric(name, "", kind, points)})
+            yield pd.DataFrame(out, columns=["name", "message"])
+
+    flat = rows.select("name", "type", F.map_keys("labels").alias("keys"), F.map_values("labels").alias("vals"), "value")
+    return flat.mapInPandas(run, "name string, message binary")
 
 
 def encode_latency(cells: DataFrame, name: str, now: int, start: int, *labels: str) -> DataFrame:
@@ -231,8 +285,12 @@ def spans_json(spans: DataFrame) -> DataFrame:
     return spans.select("span_id", F.to_json(F.struct(*spans.columns)).alias("json"))
 
 
+#: Size of a pushed request, roughly.
+REQUEST_BYTES = 1 << 20
+
+
 class Push:
-    """A foreachBatch sink that posts messages, one request for each partition; a Retry-After pauses the signal."""
+    """A foreachBatch sink that posts messages; a Retry-After pauses the signal."""
 
     def __init__(self, url: str, timeout_s: float = 5.0):
         self.url, self.timeout_s = url, timeout_s
@@ -256,10 +314,19 @@ class Push:
         return False
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        """Messages of a batch are bounded by the cardinality limits, so the driver posts them."""
-        body = b"".join(message(2, bytes(r["message"])) for r in batch.select("message").toLocalIterator())
-        if body:
-            self.send(message(1, message(2, body)))
+        """Messages are posted in requests of at most REQUEST_BYTES, as they come; the driver never holds more."""
+        held, size = [], 0
+        for r in batch.select("message").toLocalIterator():
+            held.append(message(2, bytes(r["message"])))
+            size += len(held[-1])
+            if size >= REQUEST_BYTES:
+                self.post(held)
+                held, size = [], 0
+        self.post(held)
+
+    def post(self, held: list[bytes]) -> None:
+        if held:
+            self.send(message(1, message(2, b"".join(held))))
 
 
 def table_sink(path: str):

@@ -311,7 +311,7 @@ def agg18_loss_counters(spark, sf):
     return o.groupBy("proto").agg(F.sum("lost").alias("lost"), F.count_if(F.col("lost") > 0).alias("gaps"))
 
 
-@query("SELECT count(*) AS counted, count(*) AS total FROM events")
+@query(f"""{RED} SELECT (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM slots GROUP BY slot, db, "user", proto, outcome)) AS counted, (SELECT count(*) FROM events) AS total""")
 def agg19_conservation(spark, sf):
     return families.conservation(red(spark, sf))
 
@@ -684,12 +684,6 @@ def smp1_should_sample(spark, sf):
     return o.select("seq", spans.should_sample(1.0, slow_s=0.2).alias("sampled"))
 
 
-@query()
-def smp2_smp3_spans(spark, sf):
-    o = red(spark, sf).withColumns({"trace_flags": F.lit(None).cast("int"), "trace_id": F.lit(None).cast("string"), "parent_id": F.lit(None).cast("string")})
-    return spans.build_spans(o.where(spans.should_sample(0.1)))
-
-
 @query(f"""{OBS} SELECT seq, sha256('0/' || conn || '/' || ts_start_ns)[1:32] AS trace_id, sha256('0/' || conn || '/' || ts_start_ns)[33:48] AS span_id FROM obs""")
 def smp3_trace_ids(spark, sf):
     trace, span = spans.trace_ids(0)
@@ -716,12 +710,6 @@ def fn1_norm_sql_simple(spark, sf):
     return out.groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query()
-def fn2_fingerprints(spark, sf):
-    out = A.statements(spark, sf).select(sql_text.norm_sql(F.col("text")).alias("s"))
-    return out.groupBy("s.fp").agg(F.first("s.label").alias("label"), F.count("*").alias("n"))
-
-
 def _opaque_sql(x: str) -> str:
     return (
         f"(strlen({x}) > 0 AND (regexp_matches({x}, '[\\x00-\\x1f\\x7f]') OR regexp_matches({x}, '{route.NUMBER}') OR strlen({x}) > 24 OR regexp_matches({x}, '{route.HEX}')"
@@ -920,22 +908,6 @@ def snk2_long_format(spark, sf):
     return out.select("name", "type", F.col("labels")["error"].alias("error"), F.col("labels")["proto"].alias("proto"), "value")
 
 
-@query()
-def snk3_otlp_metrics(spark, sf):
-    rows = expose.long_format(families.errors_total(red(spark, sf)), f"{S.PREFIX}_errors_total", "counter", "error", "db", "user", "proto")
-    return expose.encode_counters(rows, 2_000_000_000, 1_000_000_000)
-
-
-@query()
-def snk4_otlp_spans(spark, sf):
-    return expose.encode_spans(smp2_smp3_spans(spark, sf))
-
-
-@query()
-def snk8_debug_lines(spark, sf):
-    return expose.debug_lines(A.observations(spark, sf))
-
-
 # --- parsers ---------------------------------------------------------------------------------------------------------
 
 
@@ -1140,17 +1112,6 @@ def str18_s3_units(spark, sf):
     return o.select("conn", F.col("route").alias("op"), "db", "user", "err_name", F.col("obj_bytes").alias("size"))
 
 
-@query()
-def snk3_otlp_histograms(spark, sf):
-    cells = hist.latency_cells(red(spark, sf), "dur_s", "db", "proto")
-    return expose.encode_latency(cells, f"{S.PREFIX}_duration_seconds", 2_000_000_000, 1_000_000_000, "db", "proto")
-
-
-@query()
-def snk7_recorded_bytes(spark, sf):
-    return recordings.record(wire.redis_events(spark, sf))
-
-
 def _tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
     o = A.observations(spark, sf).withColumn("at", F.timestamp_micros(F.floor(F.col("ts_complete_ns") / 1000)))
     g = o.groupBy("proto", F.window("at", "1 hour").alias("win")).agg(F.count("*").alias("n"))
@@ -1163,4 +1124,4 @@ def win1_tumbling_counts(spark, sf):
     return order.with_place(_tumbling_counts(spark, sf), F.desc("n"), F.col("w"), F.col("proto"))
 
 
-from wiretally import wire_queries  # noqa: E402, F401  it registers its queries here
+from wiretally import file_queries, wire_queries  # noqa: E402, F401  they register their queries here
