@@ -126,10 +126,10 @@ def test_protobuf_points():
 
 
 def test_spans_encode(spark, sf):
-    from wiretally.queries import QUERIES
+    from wiretally.file_queries import built
 
-    row = QUERIES["snk4_otlp_spans"](spark, sf).first()
-    assert bytes(row["message"])[:2] == b"\n\x10"
+    row = expose.encode_spans(built(spark, sf)).first()
+    assert bytes(row["message"])[:2] == b"\n\x10" and expose.read(bytes(row["message"]))[1][0].hex()
 
 
 def test_rate_with_reset(spark):

@@ -31,6 +31,32 @@ def with_place(df: DataFrame, *keys: Column) -> DataFrame:
     return rows.join(F.broadcast(parts), "_pid").withColumn("place", F.col("_before") + F.col("_idx") + 1).drop("_pid", "_idx", "_before")
 
 
+def ntile(df: DataFrame, n: int, *keys: Column) -> DataFrame:
+    """df with tile: n groups of as many rows in the order of keys, the first ones with one more, as SQL's ntile has them. By global
+    ranks, so no task sorts all rows."""
+    rows = with_place(df, *keys)
+    total = F.broadcast(rows.agg(F.count("*").alias("_total")))
+    rows = rows.crossJoin(total)  # one row
+    small, larger = F.floor(F.col("_total") / n), F.col("_total") % n
+    edge = (small + 1) * larger
+    at = F.col("place") - 1
+    tile = F.when(at < edge, F.floor(at / (small + 1))).otherwise(larger + F.floor((at - edge) / F.greatest(small, F.lit(1)))) + 1
+    return rows.withColumn("tile", tile.cast("int")).drop("place", "_total")
+
+
+def interpolated_percentiles(df: DataFrame, value: str, quantiles: dict[str, float], *keys: str) -> DataFrame:
+    """Percentiles between the two nearest ranks, as SQL's percentile_cont has them, for groups of any size."""
+    ranks = {}
+    for k, q in quantiles.items():
+        at = (F.col("n") - 1) * F.lit(q)
+        ranks |= {f"{k}_lo": F.floor(at), f"{k}_hi": F.ceil(at)}
+    found = at_ranks(df, value, ranks, *keys)
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
+    out = found.join(sizes, list(keys))
+    share = {k: (F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q)) for k, q in quantiles.items()}
+    return out.select(*keys, *((F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * share[k]).alias(k) for k in quantiles))
+
+
 def at_ranks(df: DataFrame, value: str, ranks: dict[str, Column], *keys: str) -> DataFrame:
     """keys and one column for each rank: the value at that place (from 0) of the key's sorted non-null values.
 

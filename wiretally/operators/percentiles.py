@@ -22,12 +22,14 @@ def rounded_rank(df: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
 
 
 def median_spread(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Median, and the range as a percentage of it."""
-    out = df.groupBy(*keys).agg(F.median(value).alias("median"), F.max(value).alias("_hi"), F.min(value).alias("_lo"))
+    """Median, and the range as a percentage of it; the median by global ranks."""
+    ends = df.groupBy(*keys).agg(F.max(value).alias("_hi"), F.min(value).alias("_lo"))
+    out = ends.join(order.interpolated_percentiles(df, value, {"median": 0.5}, *keys), list(keys))
     return out.withColumn("spread", F.when(F.col("median") != 0, (F.col("_hi") - F.col("_lo")) / F.col("median") * 100)).drop("_hi", "_lo")
 
 
 def gate(df: DataFrame, delta: str, tolerance: float, least: int, *keys: str) -> DataFrame:
     """Whether a group has enough samples and its 90th percentile of absolute deltas is within tolerance."""
-    out = df.groupBy(*keys).agg(F.count("*").alias("samples"), F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY abs({delta}))").alias("p90"))
-    return out.withColumn("ok", (F.col("samples") >= least) & (F.col("p90") <= tolerance))
+    samples = df.groupBy(*keys).agg(F.count("*").alias("samples"))
+    out = samples.join(order.exact_percentiles(df.withColumn("_d", F.abs(delta)), "_d", {"p90": 0.9}, *keys), list(keys), "left")
+    return out.withColumn("ok", (F.col("samples") >= least) & F.coalesce(F.col("p90") <= tolerance, F.lit(False)))
