@@ -32,23 +32,27 @@ def increase(series: DataFrame) -> DataFrame:
     return series.withColumn("_series", series_key()).withColumn("delta", F.when(F.col("value") < prev, F.col("value")).otherwise(F.col("value") - prev))
 
 
-def rate(series: DataFrame, window_s: int) -> DataFrame:
-    """name, labels, at (end of the window), rate: increases in (at - window, at] over the window's length, without
-    extrapolation to its edges."""
-    at = (F.floor((F.col("ts") - 1) / window_s) + 1) * window_s
-    return (
-        increase(series)
-        .where(F.col("delta").isNotNull())
-        .groupBy("name", "_series", at.alias("at"))
-        .agg(F.first("labels").alias("labels"), (F.sum("delta") / window_s).alias("rate"))
-        .drop("_series")
-    )
+def rate(series: DataFrame, window_s: int, step_s: int | None = None) -> DataFrame:
+    """name, labels, at, rate: increases in (at - window, at] over the window's length, without extrapolation to its edges. at is every
+    multiple of the step that has a scrape in its window; without a step, of the window.
+
+    A scrape counts in as many windows as hold it, so rows grow by window / step and not with the range of time.
+    """
+    step = step_s or window_s
+    first = F.ceil(F.col("ts") / step) * step
+    at = F.explode(F.sequence(first, first + F.floor((F.col("ts") + window_s - 1 - first) / step) * step, F.lit(step).cast("long")))
+    grown = increase(series).where(F.col("delta").isNotNull()).where(first < F.col("ts") + window_s)
+    return grown.withColumn("at", at).groupBy("name", "_series", "at").agg(F.first("labels").alias("labels"), (F.sum("delta") / window_s).alias("rate")).drop("_series")
 
 
 def sum_by(rates: DataFrame, value: str, *labels: str) -> DataFrame:
     return rates.groupBy("at", *(label(x).alias(x) for x in labels)).agg(F.sum(value).alias("value"))
 
 
+def max_by(rates: DataFrame, value: str, *labels: str) -> DataFrame:
+    return rates.groupBy("at", *(label(x).alias(x) for x in labels)).agg(F.max(value).alias("value"))
+
+
 def histogram_quantile(bucket_rates: DataFrame, phi: float, *labels: str) -> DataFrame:
     """at, labels, quantile from rates of cumulative buckets with an le label."""
     le = F.when(label("le") == "+Inf", F.lit(float("inf"))).otherwise(label("le").cast("double"))

@@ -11,7 +11,7 @@ from wiretally import schema as S
 from wiretally.functions import redis, route, s3, sql_text, url
 from wiretally.operators import cardinality, expose, families, filters, hist, identity, joins, order, ordering, percentiles, reduce, streams
 from wiretally.plans import adapters as A
-from wiretally.plans import olap, panels, promql, spans, wire
+from wiretally.plans import olap, promql, spans, wire
 from wiretally.sources import recordings
 from wiretally.streaming import observe
 
@@ -1039,67 +1039,6 @@ for _name in olap.STATEMENTS:
     _olap(_name)
 
 
-# --- panels ----------------------------------------------------------------------------------------------------------
-
-PANEL_S = 21600
-
-
-def scraped(spark, sf) -> DataFrame:
-    """A scrape table of our own metric names, made of the events: counters by hour, with histogram buckets."""
-    from pyspark.sql import Window
-
-    r = red(spark, sf).withColumn("ts", (F.floor(F.col("ts_start_ns") / 3_600_000_000_000) + 1) * 3600)
-    one = lambda name, keys, value: (
-        r.groupBy("ts", *keys).agg(value.cast("double").alias("value")).where("value IS NOT NULL").select(
-            "ts", F.lit(f"{S.PREFIX}_{name}").alias("name"), F.to_json(F.struct(*(F.col(k).cast("string").alias(k) for k in keys))).alias("tags"), "value"
-        )
-    )
-    db = F.col("proto").isin("pg", "mysql")
-    rows = one("queries_total", ["proto", "outcome"], F.count_if(db)).unionByName(one("requests_total", ["db", "outcome"], F.count_if(~db)))
-    rows = rows.unionByName(one("errors_total", ["error"], F.count("error"))).unionByName(one("rows_total", ["proto"], F.sum(F.when(db, F.col("rows")))))
-    w = Window.partitionBy("name", "tags").orderBy("ts")
-    labels = F.from_json("tags", "map<string,string>")
-    return rows.withColumn("value", F.sum("value").over(w)).select("ts", "name", labels.alias("labels"), "value")
-
-
-PANEL_SQL = f"""{RED}, h AS (SELECT *, (ts_start_ns // 3600000000000 + 1) * 3600 AS ts FROM slots)"""
-
-
-def _panel_sql(what: str, keys: str, where: str = "TRUE") -> str:
-    """Rates over PANEL_S of a counter: growth between scrapes, the first scrape of a series only a base."""
-    part = f"PARTITION BY {keys} " if keys else ""
-    return f"""{PANEL_SQL}, c AS (SELECT ts, {keys}, {what} AS v FROM h GROUP BY ALL HAVING {what} IS NOT NULL),
-        d AS (SELECT *, row_number() OVER ({part}ORDER BY ts) AS k FROM c),
-        p AS (SELECT ((ts - 1) // {PANEL_S} + 1) * {PANEL_S} AS "at", {keys}, sum(v) / {PANEL_S} AS rate FROM d WHERE k > 1 GROUP BY ALL)"""
-
-
-@query(_panel_sql("count(*) FILTER (WHERE proto IN ('pg', 'mysql'))", "proto, outcome") + ' SELECT "at", sum(rate) AS value FROM p GROUP BY "at"')
-def panel_overview_qps(spark, sf):
-    return rounded(panels.total(scraped(spark, sf), "queries_total", window_s=PANEL_S), "value")
-
-
-@query(_panel_sql("count(*) FILTER (WHERE proto IN ('pg', 'mysql'))", "proto, outcome") + """
-    SELECT "at", coalesce(sum(rate) FILTER (WHERE outcome = 'error'), 0) / greatest(sum(rate), 1.0) AS value FROM p GROUP BY "at" """)
-def panel_overview_error_rate(spark, sf):
-    t = scraped(spark, sf)
-    part = panels.total(t, "queries_total", window_s=PANEL_S, outcome="error")
-    return rounded(panels.share(t, part, panels.total(t, "queries_total", window_s=PANEL_S), 1), "value")
-
-
-@query(_panel_sql("count(error)", "error") + ' SELECT "at", error, sum(rate) AS value FROM p WHERE error IS NOT NULL GROUP BY "at", error')
-def panel_overview_errors_by_state(spark, sf):
-    out = panels.total(scraped(spark, sf), "errors_total", "error", window_s=PANEL_S)
-    return rounded(out.where("error IS NOT NULL"), "value")
-
-
-@query(_panel_sql("count(*) FILTER (WHERE proto NOT IN ('pg', 'mysql'))", "db, outcome") + """
-    , s AS (SELECT "at", db, round(sum(rate), 9) AS value FROM p GROUP BY "at", db), r AS (SELECT *, row_number() OVER (PARTITION BY "at" ORDER BY value DESC, db) AS rank FROM s)
-    SELECT "at", db, value, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
-def panel_http_top_hosts(spark, sf):
-    per = rounded(panels.total(scraped(spark, sf), "requests_total", "db", window_s=PANEL_S), "value")
-    return panels.top(per, 5, "value", "db")
-
-
 # --- more parsers ----------------------------------------------------------------------------------------------------
 
 
@@ -1131,4 +1070,4 @@ def win1_tumbling_counts(spark, sf):
     return order.with_place(_tumbling_counts(spark, sf), F.desc("n"), F.col("w"), F.col("proto"))
 
 
-from wiretally import file_queries, wire_queries  # noqa: E402, F401  they register their queries here
+from wiretally import file_queries, panel_queries, wire_queries  # noqa: E402, F401  they register their queries here
