@@ -14,21 +14,23 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("P
 HEADLINES = [
     "pql4_top_p99", "agg1_queries_total", "agg2_latency_histogram", "agg10_errors_total", "agg12_sizes_http", "car4_dim_cap",
     "fn1_norm_sql", "fn1_norm_sql_simple", "fn3_route_templates", "pql1_rate", "str25_transaction_islands",
-    "str1_str19_str20_redis_units", "str15_str16_str17_http_units", "olap1_tree_revenue", "olap9_monthly_rank",
+    "str1_str19_str20_redis_units", "str15_str16_str17_http_units", "olap1_tree_revenue", "olap9_monthly_rank", "e2e_redis_metrics",
+    "panel_overview_p95",
 ]
 
 
 def rates(spark, sf: str, seconds: dict[str, float], copies: int = 20) -> dict[str, int]:
     """Observations a second over a materialised table of `copies` times the events: the latency histogram alone, and with
-    statement normalisation before it."""
+    statements normalised exactly before it; and from raw bytes to the histogram, over Redis traffic on `conns` times the
+    connections."""
     import shutil
     import tempfile
 
     from pyspark.sql import functions as F
 
-    from wiretally.functions import sql_text
-    from wiretally.operators import families, hist, reduce
-    from wiretally.plans import adapters
+    from wiretally.operators import hist, identity, reduce
+    from wiretally.plans import adapters, wire
+    from wiretally.streaming import observe
 
     folder = tempfile.mkdtemp(prefix="wiretally-bench-")
     try:
@@ -37,10 +39,17 @@ def rates(spark, sf: str, seconds: dict[str, float], copies: int = 20) -> dict[s
         obs = spark.read.parquet(f"{folder}/obs")
         n = obs.count()
         red = reduce.reduce_observations(obs)
-        named = red.withColumn("label", sql_text.norm_sql_simple(F.col("text"))).withColumn("slot", families.slot())
+        named = identity.with_slot(red)
+        conns = 5
+        raw = wire.redis_events(spark, sf).crossJoin(spark.range(conns).select(F.col("id").alias("rep")))
+        raw.withColumn("conn_id", F.col("conn_id") * conns + F.col("rep")).drop("rep").repartition(16).write.mode("overwrite").parquet(f"{folder}/raw")
+        raw = spark.read.parquet(f"{folder}/raw")
+        parsed = identity.with_slot(reduce.reduce_observations(observe.observations(observe.parse(raw, default="redis"))))
+        sizes = {"throughput_bytes_to_histogram": raw.where("dir = 1 AND type = 0").count()}
         plans = {
             "throughput_agg2": hist.latency_cells(red, "dur_s", "db", "user", "proto", "outcome"),
             "throughput_agg2_normalised": hist.latency_cells(named, "dur_s", "slot", "db", "user", "proto"),
+            "throughput_bytes_to_histogram": hist.latency_cells(parsed, "dur_s", "slot", "db", "user", "proto"),
         }
         out = {}
         for name, plan in plans.items():
@@ -50,7 +59,7 @@ def rates(spark, sf: str, seconds: dict[str, float], copies: int = 20) -> dict[s
                 plan.write.format("noop").mode("overwrite").save()
                 best = min(best, time.perf_counter() - began)
             seconds[name] = round(best, 3)
-            out[name] = round(n / best)
+            out[name] = round(sizes.get(name, n) / best)
         return out
     finally:
         shutil.rmtree(folder, ignore_errors=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wiretally import schema as S
 from wiretally.functions import route, sql_text
 from wiretally.operators import cardinality, families, reduce
+from wiretally.session import cut
 
 
 def is_db() -> Column:
@@ -38,10 +39,10 @@ def with_route(obs: DataFrame, patterns=None) -> DataFrame:
 def identified(obs: DataFrame, slots: int = cardinality.SLOTS, dims: int = cardinality.DIM_CAP, errors: int = cardinality.ERROR_CAP) -> DataFrame:
     """Parsed observations, measured, with all labels bounded: what the metric families count. No row is added or lost.
 
-    Identities beyond the dictionary, (db, user) pairs and error labels beyond their caps become other.
+    They are written once after parsing, as the dictionary, the caps and the families all read them. Identities beyond the dictionary, (db, user) pairs and error labels beyond their caps become other.
     """
     red = with_slot(reduce.reduce_observations(with_route(with_labels(obs))))
-    red = red.withColumn("depth", F.col("redis.pipeline_depth")) if "redis" in red.columns else red
+    red = cut(red.withColumn("depth", F.col("redis.pipeline_depth")) if "redis" in red.columns else red)
     red = cardinality.admit(red.withColumn("_id", F.when(F.col("slot") != S.OTHER, F.xxhash64("proto", "slot"))), slots, fp="_id")
     red = red.withColumn("slot", F.when(F.col("admitted"), F.col("slot")).otherwise(S.OTHER)).drop("_id", "admitted")
     return cardinality.cap_errors(cardinality.cap_dims(red, dims), errors)

@@ -61,10 +61,16 @@ def batches_of(report: core.Report, schema: pa.Schema) -> Iterator[pa.RecordBatc
     for kind, rows in kinds.items():
         if rows:
             n = len(rows)
-            columns = [pa.array(rows, f.type) if f.name == kind else pa.nulls(n, f.type) for f in schema if f.name != "record"]
+            columns = [struct_array(rows, f.type) if f.name == kind else pa.nulls(n, f.type) for f in schema if f.name != "record"]
             yield pa.RecordBatch.from_arrays([pa.array([kind] * n), *columns], schema=schema)
 
 
+def struct_array(rows: list[dict], kind: pa.StructType) -> pa.StructArray:
+    """Dicts as a struct array, field by field, which is several times as fast as row by row."""
+    fields = list(kind)
+    return pa.StructArray.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in fields], fields=fields)
+
+
 def proto_of(row: dict, ports: dict[int, str], default: str) -> str:
     t = row.get("tuple")
     return ports.get(t["sport"], default) if t else default
