@@ -196,7 +196,8 @@ def frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def parse_stream(events: DataFrame, ports: dict[int, str] | None = None, default: str = "pg", idle_ms: int = 600_000) -> DataFrame:
-    """RESULT rows of a stream of raw events. Needs the RocksDB state store."""
+    """RESULT rows of a stream of raw events. Needs the RocksDB state store. Because of the idle timers there is always another
+    batch to run, so the query goes on until it is stopped, whatever its trigger."""
     return events.groupBy("conn_id").transformWithStateInPandas(
         statefulProcessor=Processor(ports or {}, default, idle_ms), outputStructType=RESULT, outputMode="Append", timeMode="ProcessingTime"
     )
