@@ -82,7 +82,8 @@ S3_DATA_OPS = ("GetObject", "PutObject", "UploadPart", "CompleteMultipartUpload"
 def size_eligible(data_ops: tuple[str, ...] = S3_DATA_OPS) -> Column:
     """Whether the observation's size enters a size histogram, by protocol."""
     http = ~has(S.BODY_UNSEEN)
-    s3 = http & (F.col("obj_bytes") > 0) & (F.col("err_code") < 400) & F.col("op").isin(*data_ops)
+    # The operation of an S3 request is its route; op is the method.
+    s3 = http & (F.col("obj_bytes") > 0) & (F.col("err_code") < 400) & F.col("route").isin(*data_ops)
     redis = (F.col("bytes_out") > 0) & ~has(S.QUEUED)
     proto = F.col("proto")
     return F.coalesce(F.when(proto == "http", http).when(proto == "s3", s3).when(proto == "redis", redis), F.lit(False))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally import schema as S
-from wiretally.operators import cardinality, expose, families, identity
+from wiretally.operators import cardinality, expose, families, hist, identity, reduce
 from wiretally.plans import wire
-from wiretally.queries import query
+from wiretally.queries import bucket_sql, query
 from wiretally.sources.recordings import DATA, DECRYPTED, RECV, SEND
 from wiretally.streaming import observe
 
@@ -271,6 +271,25 @@ def e2e_conservation(spark, sf):
     return out
 
 
+@query("""WITH o AS (SELECT CASE event_type WHEN 'purchase' THEN 'PutObject' ELSE 'GetObject' END AS slot, event_id % 40 AS size FROM events WHERE event_type NOT IN ('error', 'signup'))
+    SELECT slot, CAST(0 AS INTEGER) AS cell, count(*) AS n, CAST(sum(size) AS BIGINT) AS sum FROM o WHERE size > 0 GROUP BY slot""")
+def agg12_object_sizes(spark, sf):
+    """Sizes of objects that parsed S3 requests moved, by operation: neither failed requests nor deletions count."""
+    r = reduce.reduce_observations(observe.observations(observe.parse(wire.s3_events(spark, sf), default="s3")))
+    return hist.size_cells(r.where("sized"), "obj_bytes", "s3", "route").withColumnRenamed("route", "slot")
+
+
+@query(f"""WITH t AS (SELECT CASE WHEN event_type = 'error' THEN 'aborted' ELSE 'ok' END AS status, CAST(floor(value * 1000) AS BIGINT) / 1e9 AS s FROM events)
+    SELECT 'redis' AS proto, '0' AS db, 'default' AS "user", status, {bucket_sql("s")} AS bucket, count(*) AS n, round(sum(s), 9) AS sum, count(*) FILTER (WHERE s <= 0) AS nonpos FROM t GROUP BY ALL""")
+def agg15_parsed_transactions(spark, sf):
+    """Durations of parsed transactions by protocol, labels and how they ended."""
+    request = F.concat(wire.words("MULTI"), wire.words("EXEC"))
+    end = F.when(F.col("event_type") == "error", "*-1\r\n").otherwise("*0\r\n")
+    result = observe.parse(wire.conversation(spark, sf, [(RECV, request), (SEND, F.concat(F.lit("+OK\r\n"), end))]), default="redis")
+    t = observe.transactions(result).withColumns({"status": F.when(F.col("aborted"), "aborted").otherwise("ok"), "s": (F.col("end_ns") - F.col("start_ns")) / 1e9})
+    return hist.latency_cells(t, "s", "proto", "db", "user", "status").withColumn("sum", F.round("sum", 9))
+
+
 # --- cardinality -----------------------------------------------------------------------------------------------------
 
 SLOTS, DOORS = 6, 16
