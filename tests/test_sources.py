@@ -157,3 +157,20 @@ def test_self_stats(spark):
     got = {r["name"]: r["value"] for r in logs.self_stats(spark).where(F.col("value") > 0).collect()}
     assert len(got) == 3 and 0 <= time.time() - got["wt_process_start_time_seconds"] < 3600
     assert 1e6 < got["wt_process_resident_memory_bytes"] < 1e11
+
+
+def test_trace_objects_in_parts(monkeypatch):
+    """Parts that end anywhere, also inside of strings, numbers and escapes, give the objects of the whole text."""
+    text = '{rubbish}{"a": -12.5e3, "b": "x{\\u00e9\\"}"} {"c": {"d": [true, null, {"e": "' + "y" * 99 + '"}]}}{"open": "{"f": 1}{{"g": NaN}{"h": ['
+    want = ['{"a": -12500.0, "b": "x{\\u00e9\\"}"}', '{"c": {"d": [true, null, {"e": "' + "y" * 99 + '"}]}}', '{"f": 1}', '{"g": NaN}']
+    for part in range(2, 80):
+        monkeypatch.setattr(logs, "PART", part)
+        assert list(logs.json_objects(text)) == want
+
+
+def test_trace_time_follows_its_length():
+    """Rubbish late in a long text costs no more than rubbish at its beginning."""
+    text = "".join(f'{{"api":"s3.view","path":"/b/{{k}}","callStats":{{"duration":{i},"tx":5}}}}{{rubbish}} ' for i in range(40_000))
+    began = time.process_time()
+    assert sum(1 for _ in logs.json_objects(text)) == 40_000
+    assert time.process_time() - began < 5

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,17 +35,30 @@ def access_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", number("status", "int"), "method", "uri", number("rt", "double"), number("urt", "double"), number("bs", "bigint"))
 
 
+#: Characters that are decoded at a time, those at the end of a part whose errors a longer part may mend, and objects of a batch.
+PART, EDGE, OBJECTS = 1 << 14, 16, 1 << 13
+
+
 def json_objects(text: str) -> Iterator[str]:
-    """The top-level objects of a text in which they follow each other; what isn't one is skipped."""
-    decoder, at = json.JSONDecoder(), 0
+    """The top-level objects of a text in which they follow each other; what isn't one is skipped.
+
+    A failure costs as much as there is text before it, since the decoder counts its lines. So it is given a part of the text; if
+    what it finds wrong may be the end of the part, the part is made twice as long.
+    """
+    decoder, at, start, part = json.JSONDecoder(), 0, 0, text[:PART]
     while (at := text.find("{", at)) >= 0:
+        if at - start >= PART // 2:
+            start, part = at, text[at : at + PART]
         try:
-            value, end = decoder.raw_decode(text, at)
-        except json.JSONDecodeError:
-            at += 1
+            value, end = decoder.raw_decode(part, at - start)
+        except json.JSONDecodeError as e:
+            if start + len(part) < len(text) and (e.pos >= len(part) - EDGE or e.msg.startswith("Unterminated")):
+                start, part = at, text[at : at + 2 * max(len(part), PART)]
+            else:
+                at += 1
             continue
         yield json.dumps(value)
-        at = end
+        at = start + end
 
 
 TRACE_DDL = (
@@ -59,7 +73,9 @@ def object_trace(spark: SparkSession, path: str) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            yield pd.DataFrame({"object": [o for text in f["value"] for o in json_objects(text)]}, dtype=object)
+            for text in f["value"]:
+                for some in batched(json_objects(text), OBJECTS):
+                    yield pd.DataFrame({"object": some}, dtype=object)
 
     return files.mapInPandas(run, "object string").select(F.from_json("object", TRACE_DDL).alias("o")).select("o.*").where("api IS NOT NULL")
 
