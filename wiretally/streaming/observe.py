@@ -131,7 +131,9 @@ def parse(events: DataFrame, ports: dict[int, str] | None = None, default: str =
                 table.feed(row, report)
             yield from batches_of(report, schema)
 
-    dealt = events.select(*S.RAW_EVENT.names).repartition("conn_id").sortWithinPartitions("conn_id", "seq", "ts_ns", "off")
+    # By a hash of the connection, as no events come dealt by that: a repartition by the connection itself is left out where events
+    # are already dealt so, and what then coalesces or reads their shuffles (each side of a union by itself) may part a connection.
+    dealt = events.select(*S.RAW_EVENT.names).repartition(F.xxhash64("conn_id")).sortWithinPartitions("conn_id", "seq", "ts_ns", "off")
     return dealt.mapInArrow(run, RESULT)
 
 
