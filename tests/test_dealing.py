@@ -30,6 +30,7 @@ def coalesced(spark):
     "name",
     [
         "agg15_parsed_transactions",
+        "e2e_postgres_metrics",
     ],
 )
 def test_connections_stay_whole(coalesced, sf, name):
