@@ -32,6 +32,7 @@ def coalesced(spark):
         "agg15_parsed_transactions",
         "e2e_postgres_metrics",
         "str1_str19_str20_redis_units",
+        "e2e_redis_metrics",
     ],
 )
 def test_connections_stay_whole(coalesced, sf, name):
