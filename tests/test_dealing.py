@@ -33,6 +33,7 @@ def coalesced(spark):
         "e2e_postgres_metrics",
         "str1_str19_str20_redis_units",
         "e2e_redis_metrics",
+        "str9_str10_str12_postgres_units",
     ],
 )
 def test_connections_stay_whole(coalesced, sf, name):
